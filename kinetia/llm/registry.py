@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetia.llm import quality_rules
+from kinetia.llm import packing, quality_rules, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": quality_rules.query}
+    return {
+        "op1_quality_rules": quality_rules.query,
+        "op5_simhash": simhash.query,
+        "op8_packing": packing.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
