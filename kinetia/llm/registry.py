@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetia.llm import packing, pii, quality_rules, simhash
+from kinetia.llm import decontaminate, packing, pii, quality_rules, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": pii.query,
         "op5_simhash": simhash.query,
         "op8_packing": packing.query,
+        "op10_decontaminate": decontaminate.query,
     }
 
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: As _SPACE, with the ASCII marks: words are runs of letters, digits and what isn't ASCII.
+MARKS = np.array([not (chr(c).isalnum() or c > 127) for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _VALUE = np.random.default_rng(20).integers(1, 1 << 63, 256).astype(np.uint64)  # fixed by the seed: hashes must agree between tasks
@@ -50,10 +52,10 @@ class Words:
         return len(self.starts)
 
 
-def words(data: np.ndarray, bounds: np.ndarray, lower: bool = True, hashed: bool = True) -> Words:
-    """data: bytes of texts; bounds: where each begins, and the end."""
+def words(data: np.ndarray, bounds: np.ndarray, lower: bool = True, hashed: bool = True, space: np.ndarray = _SPACE) -> Words:
+    """data: bytes of texts; bounds: where each begins, and the end; space: by byte, whether it parts words."""
     n = len(data)
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     begins = np.zeros(n + 1, bool)
     begins[bounds] = True
     before = np.concatenate([[False], inside[:-1]]) if n else inside
@@ -105,7 +107,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             lo = hi
 
 
-def seeded(text: str) -> np.ndarray:
+def hashes(text: str, space: np.ndarray = _SPACE) -> np.ndarray:
     """Word hashes of one text."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    return words(data, np.array([0, len(data)])).hash
+    return words(data, np.array([0, len(data)]), space=space).hash

@@ -27,6 +27,6 @@ def test_words_match_split():
 
 
 def test_grams():
-    h = t.seeded("a b c a b c d")
+    h = t.hashes("a b c a b c d")
     g = t.grams(h, 3)
     assert g[0] == g[3] and g[1] != g[4] and len(np.unique(g)) == 6
