@@ -18,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ class Params:
     tokenizer: str | None = None  #: path of a tokenizers file; None: word_bpe_49k.json of the installed public vocabularies
     window: int = 2048
     end_id: int = 1
-    cached_words: int = 400_000  #: a task forgets its word cache beyond this size
+    cached_words: int = 500_000  #: a worker keeps the ids of so many words, and of as many that it met before these
 
     def path(self) -> str:
         if self.tokenizer:
@@ -55,12 +56,24 @@ class Encoder:
     def __init__(self, path: str, cached_words: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), cached_words, {}
+        self.tokenizer, self.most, self.known, self.older = Tokenizer.from_file(path), cached_words, {}, {}
+
+    @staticmethod
+    @lru_cache(maxsize=1)
+    def of_worker(path: str, cached_words: int) -> Encoder:
+        """The Python worker's own, which its later tasks find filled."""
+        return Encoder(path, cached_words)
 
     def words(self, text: str) -> list[bytes]:
         return _MARKS.sub(rb" \1", text.encode("utf-8", "replace").lower()).split()
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        words = words - self.known.keys()
+        again = words & self.older.keys()
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        words = list(words - again)
         for k in range(0, len(words), 5000):
             part = words[k : k + 5000]
             e = self.tokenizer.encode([w.decode("utf-8") for w in part], is_pretokenized=True, add_special_tokens=False)
@@ -72,10 +85,8 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Special tokens' strings hold ``<|``; such texts are encoded as they are."""
-        if len(self.known) > self.most:
-            self.known.clear()
         split = [self.words(t) if "<|" not in t else None for t in texts]
-        self._learn(list(set().union(*(w for w in split if w)) - self.known.keys()))
+        self._learn(set().union(*(w for w in split if w)))
         get = self.known.__getitem__
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
 
@@ -96,7 +107,7 @@ def pieces(docs: DataFrame, params: Params = Params()) -> DataFrame:
     path, window, end, most = params.path(), params.window, np.array([params.end_id], "<u4").tobytes(), params.cached_words
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, most)
+        encoder = Encoder.of_worker(path, most)
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
             for lo, hi in _chunks(texts):
