@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetia.llm import decontaminate, packing, pii, quality_rules, simhash
+from kinetia.llm import decontaminate, packing, pii, quality_classifier, quality_rules, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.query,
+        "op3_quality_classifier": quality_classifier.query,
         "op4_pii": pii.query,
         "op5_simhash": simhash.query,
         "op8_packing": packing.query,

@@ -15,6 +15,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 MARKS = np.array([not (chr(c).isalnum() or c > 127) for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_SIGN = np.array([65 if 65 <= c < 91 else 97 if 97 <= c < 123 or c > 127 else 48 if 48 <= c < 58 else c for c in range(256)], np.uint8)
 _VALUE = np.random.default_rng(20).integers(1, 1 << 63, 256).astype(np.uint64)  # fixed by the seed: hashes must agree between tasks
 _POWERS: list[np.ndarray] = []
 
@@ -75,6 +76,19 @@ def words(data: np.ndarray, bounds: np.ndarray, lower: bool = True, hashed: bool
     return Words(data, starts, ends, doc, first, h)
 
 
+def shapes(w: Words) -> np.ndarray:
+    """Hashes of the words with each run of capitals, of small and other letters, of digits or of one mark as one sign."""
+    sign = _SIGN[w.data]
+    kept = np.ones(len(sign), bool)
+    kept[1:] = sign[1:] != sign[:-1]
+    kept[w.starts] = True
+    rank = np.concatenate([[0], np.cumsum(kept)])
+    up, down = _powers(len(sign) + 1)
+    sums = np.zeros(len(sign) + 1, np.uint64)
+    np.cumsum(np.where(kept, _VALUE[sign] * up[rank[:-1]], np.uint64(0)), out=sums[1:])
+    return mix((sums[w.ends] - sums[w.starts]) * down[rank[w.starts]])
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-word runs that begin at each word. Runs over the end wrap round: callers mask them."""
     out = h.copy()
