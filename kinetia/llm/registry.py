@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetia.llm import decontaminate, packing, pii, quality_classifier, quality_rules, simhash
+from kinetia.llm import decontaminate, packing, pii, quality_classifier, quality_rules, simhash, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.query,
+        "op2_suffixes": suffixes.query,
         "op3_quality_classifier": quality_classifier.query,
         "op4_pii": pii.query,
         "op5_simhash": simhash.query,
+        "op6_toxicity": toxicity.query,
         "op8_packing": packing.query,
         "op10_decontaminate": decontaminate.query,
     }
