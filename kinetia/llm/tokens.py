@@ -125,3 +125,15 @@ def hashes(text: str, space: np.ndarray = _SPACE) -> np.ndarray:
     """Word hashes of one text."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     return words(data, np.array([0, len(data)]), space=space).hash
+
+
+class Runs:
+    """Hashes of any runs of words of a chunk, from one pass of prefix sums."""
+
+    def __init__(self, h: np.ndarray):
+        up, self.down = _powers(len(h) + 1)
+        self.sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * up[: len(h)], out=self.sums[1:])
+
+    def hash(self, start: np.ndarray, n: int) -> np.ndarray:
+        return mix((self.sums[start + n] - self.sums[start]) * self.down[start])
