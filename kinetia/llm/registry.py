@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetia.llm import decontaminate, language_model, packing, pii, quality_classifier, quality_rules, simhash, suffixes, toxicity
+from kinetia.llm import decontaminate, html_text, language_model, packing, pii, quality_classifier, quality_rules, simhash, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": pii.query,
         "op5_simhash": simhash.query,
         "op6_toxicity": toxicity.query,
+        "op7_html_text": html_text.query,
         "op8_packing": packing.query,
         "op9_language_model": language_model.query,
         "op10_decontaminate": decontaminate.query,
