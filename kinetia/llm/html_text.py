@@ -6,8 +6,9 @@ article text. Decoding takes the most likely labelling of the page in which a no
 nodes below, one of them; it is a dynamic programme over the tree. The text runs that are kept are the article's blocks.
 
 The trees are fitted on a bounded sample: ``sample_pages`` pages of the table, labelled by their own article or main
-elements, and ``made_pages`` generated ones whose truth is known. In half of the generated pages, and in
-a copy of each sampled one, semantic elements and attributes are hidden, so that the trees don't lean on these alone. Scoring is one pass over all pages and whole texts.
+elements, and ``made_pages`` generated ones whose truth is known. In half of the generated pages, and in a copy of each
+sampled one, semantic elements and attributes are hidden, so that the trees don't lean on these alone. Scoring is one pass
+over all pages and whole texts.
 
 Defined results: null and empty pages, and pages without article text, give an empty text; repeated rows give equal rows; a
 null page_id is kept; extra columns are ignored by ``extract``; empty tables give no rows.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetia.llm import dom
-from kinetia.llm.common import table
+from kinetia.llm.common import few, table
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 MARK = ""  #: before article text of generated pages
@@ -174,7 +175,7 @@ def made(rng: random.Random) -> str:
         return f"<{tag}>{MARK}{inner}{end}"
 
     def advert() -> str:
-        return box(rng.choice([words(3, 25), f"<p>{words(5, 30)}</p>", f'<a href="#">{words(3, 12)}</a>']), "div div aside section p", "advert")
+        return box(rng.choice([words(3, 25), f"<p>{words(5, 30)}</p>", f'<a href="#">{words(3, 12)}</a>']), "div div aside section", "advert")
 
     def teasers() -> str:
         return box(f"<h3>{words(1, 4)}</h3>" + "".join(f'<div><a href="#">{words(3, 9)}</a>{rng.choice(["", "<p>" + words(6, 18) + "</p>"])}</div>' for _ in range(rng.randint(2, 6))), "div section aside", "related")
@@ -187,7 +188,7 @@ def made(rng: random.Random) -> str:
 
     blocks = [good(words(3, 10), rng.choice(["h1", "h1", "h2"]))] if rng.random() < 0.85 else []
     if rng.random() < 0.3:
-        blocks.append(box(words(2, 6), "div p", "share") if rng.random() < 0.6 else box(links(2, 5, "row"), "div", "share"))
+        blocks.append(box(words(2, 6), "div", "share") if rng.random() < 0.6 else box(links(2, 5, "row"), "div", "share"))
     for _ in range(rng.choice([1, 2, 3, 4, 6, 10, 16])):
         r = rng.random()
         if r < 0.72:
@@ -270,8 +271,8 @@ def examples(sources: list[str], params: Params) -> tuple[np.ndarray, np.ndarray
 
 
 def learn(pages: DataFrame, params: Params = Params()) -> Trees:
-    short = pages.where(F.octet_length("html").between(1, params.sample_bytes)).select("html")
-    rows = short.orderBy(F.xxhash64("html"), "html").limit(params.sample_pages).collect()  # at most so many pages of so many bytes
+    short = pages.where(F.octet_length("html").between(1, params.sample_bytes))
+    rows = few(short.select("html", F.xxhash64("page_id", "url").alias("place")), params.sample_pages, "place", "html").collect()  # at most so many pages of so many bytes
     return Trees(*examples([r["html"] for r in rows], params), params)
 
 

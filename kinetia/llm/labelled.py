@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetia.llm.common import crc_mod
+from kinetia.llm.common import crc_mod, few
 
 
 def held_out():
@@ -19,6 +19,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFra
     """
     marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
     marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
-    by = [marks.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for k in (0, 1)]
+    marks = marks.withColumn("place", F.xxhash64("doc_id"))
+    by = [few(marks.where(F.col("label") == k), rows // 2, "place", "doc_id").select("doc_id", "label") for k in (0, 1)]
     # at most `rows` pairs of numbers, so the broadcast is bounded
     return docs.select("doc_id", "text").join(F.broadcast(by[0].union(by[1])), "doc_id")
