@@ -92,8 +92,9 @@ def suppress(boxes: DataFrame, key: str, limit: float) -> DataFrame:
 
 def nearest(boxes: DataFrame, key: str, x: float, y: float, reach: float) -> DataFrame:
     """Each key's box nearest to a point within reach, the last of equals. Pre-aggregated."""
-    d = F.hypot(F.col("cx") - x, F.col("cy") - y)
-    return boxes.where(d <= reach).groupBy(key).agg(F.min_by(F.struct("pos", "cx", "cy"), F.struct(d, -F.col("pos"))).alias("b")).select(key, "b.*")
+    dx, dy = F.col("cx") - x, F.col("cy") - y
+    d = dx * dx + dy * dy
+    return boxes.where(d <= reach * reach).groupBy(key).agg(F.min_by(F.struct("pos", "cx", "cy"), F.struct(d, -F.col("pos"))).alias("b")).select(key, "b.*")
 
 
 def largest(boxes: DataFrame, key: str) -> DataFrame:

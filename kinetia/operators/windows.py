@@ -87,8 +87,7 @@ def single_linkage(df: DataFrame, key: str, value: str, gap: float, *ties: str)
 
 def transitions(df: DataFrame, key: str, order: str, state: str) -> DataFrame:
     """Rows whose state isn't the one before."""
-    last = F.lag(state).over(by(key, order))
-    return df.withColumn("was", last).where(last.isNotNull() & (F.col(state) != last))
+    return df.withColumn("was", F.lag(state).over(by(key, order))).where(F.col("was").isNotNull() & (F.col(state) != F.col("was")))
 
 
 def event_pairs(events: DataFrame, key: str, order: str, kind: str, first: str, second: str) -> DataFrame:
