@@ -38,7 +38,7 @@ def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     zero = F.lit(0.0)
     both = F.greatest(zero, F.least(a[2], b[2]) - F.greatest(a[0], b[0])) * F.greatest(zero, F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
     union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
-    return F.when(union > 0, both / union).otherwise(0.0)
+    return F.when(union > 0, F.try_divide(both, union)).otherwise(0.0)
 
 
 def anchor_score(cx: Column, cy: Column, w: Column, h: Column, conf: Column, width: float, height: float, margin: float = 0.03, low: float = 0.03, high: float = 0.15, most: float = 1.6) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetia.operators.folds import fold
+
 
 def numbered(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
@@ -23,20 +24,23 @@ def pair_equal_count(truth: DataFrame, pred: DataFrame, key: str) -> DataFrame:
 
 
 def pair_greedy(truth: DataFrame, pred: DataFrame, key: str) -> DataFrame:
-    """Each truth, in order, takes the nearest prediction that is left, the first of equals. Keys are sets of a few repetitions."""
+    """Each truth, in order, takes the nearest prediction that is left, the first of equals. A fold that holds a key's free predictions."""
     both = truth.select(key, "pos", F.col("gt").alias("x"), F.lit(True).alias("is_gt")).unionByName(pred.select(key, "pos", F.col("pred").alias("x"), F.lit(False).alias("is_gt")))
 
-    def match(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("pos")
-        free, out = f.loc[~f["is_gt"], "x"].tolist(), []
-        for pos, x in f.loc[f["is_gt"], ["pos", "x"]].itertuples(index=False):
-            if free:
+    def start():
+        free = []
+
+        def step(is_gt, pos, x):
+            if not is_gt:
+                free.append(x)
+            elif free:
                 at = min(range(len(free)), key=lambda i: (abs(free[i] - x), i))
-                out.append((f[key].iloc[0], pos, x, free.pop(at)))
-        return pd.DataFrame(out, columns=[key, "pos", "gt", "pred"])
+                return [(pos, x, free.pop(at))]
+            return []
+
+        return step
 
-    kind = dict(truth.dtypes)[key]
-    return both.groupBy(key).applyInPandas(match, f"{key} {kind}, pos int, gt double, pred double")
+    return fold(both, key, ["is_gt", "pos"], ["is_gt", "pos", "x"], "pos int, gt double, pred double", start)
 
 
 def outside(points: DataFrame, intervals: DataFrame, key: str, at: str, bucket: int = 256) -> DataFrame:

@@ -17,12 +17,12 @@ def agreement_columns(gt: str = "gt", pred: str = "pred") -> dict[str, Column]:
     grand = (mean_g + mean_p) / 2
     column_squares = F.sum(((g + p) / 2) * ((g + p) / 2))
     within = F.sum(g * g) - n * mean_g * mean_g + F.sum(p * p) - n * mean_p * mean_p
-    between = (column_squares / 2 - grand * grand * n) / (n - 1)
+    between = F.try_divide(column_squares / 2 - grand * grand * n, n - 1)
     mse = within / n
     # the standard two-way, absolute-agreement coefficient of single ratings
-    rows = 2 * (column_squares - n * grand * grand) / (n - 1)
+    rows = F.try_divide(2 * (column_squares - n * grand * grand), n - 1)
     columns = n * ((mean_g - grand) * (mean_g - grand) + (mean_p - grand) * (mean_p - grand))
-    error = (F.sum(g * g) + F.sum(p * p) - 2 * n * grand * grand - rows * (n - 1) - columns) / (n - 1)
+    error = F.try_divide(F.sum(g * g) + F.sum(p * p) - 2 * n * grand * grand - rows * (n - 1) - columns, n - 1)
     return {
         "n": n,
         "rmse": F.sqrt(F.avg(e * e)),
@@ -31,8 +31,8 @@ def agreement_columns(gt: str = "gt", pred: str = "pred") -> dict[str, Column]:
         "pearson_r": F.when(n <= 1, 0.0).otherwise(F.corr(g, p)),
         "loa_low": bias - 1.96 * sd,
         "loa_high": bias + 1.96 * sd,
-        "icc_ref": F.when((n < 3) | (mse == 0), 0.0).otherwise((between - mse) / (between + mse)),
-        "icc_2_1": F.when(n < 3, 0.0).otherwise((rows - error) / (rows + error + 2 * (columns - error) / n)),
+        "icc_ref": F.when((n < 3) | (mse == 0), 0.0).otherwise(F.try_divide(between - mse, between + mse)),
+        "icc_2_1": F.when(n < 3, 0.0).otherwise(F.try_divide(rows - error, rows + error + 2 * (columns - error) / n)),
     }
 
 
@@ -56,7 +56,7 @@ def leave_one_out(pairs: DataFrame, key: str) -> DataFrame:
     total = own.agg(*(F.sum(c).alias(f"t_{c}") for c in ("n", "sp", "sg", "spp", "spg", "sgg")))
     df = own.crossJoin(F.broadcast(total))  # one row
     n, sp, sg, spp, spg = (F.col(f"t_{c}") - F.col(c) for c in ("n", "sp", "sg", "spp", "spg"))
-    slope = (n * spg - sp * sg) / (n * spp - sp * sp)
+    slope = F.try_divide(n * spg - sp * sg, n * spp - sp * sp)
     df = df.where(n >= 2).select(key, "n", *_NAMES, slope.alias("slope"), ((sg - slope * sp) / n).alias("intercept"))
     a, b, m = F.col("slope"), F.col("intercept"), F.col("n")
     sse = F.col("sgg") - 2 * a * F.col("spg") - 2 * b * F.col("sg") + a * a * F.col("spp") + 2 * a * b * F.col("sp") + m * b * b
@@ -79,14 +79,14 @@ def cluster_bootstrap(pairs: DataFrame, key: str, draws: int = 2000, seed: int =
         term /= k + 1
     times = sum(F.when(u > x, 1).otherwise(0) for x in limits)
     s = reps.withColumn("k", times).where("k > 0").groupBy("draw").agg(*(F.sum(F.col(c) * F.col("k")).alias(c) for c in ("n", *_NAMES)))
-    slope = (F.col("n") * F.col("spg") - F.col("sp") * F.col("sg")) / (F.col("n") * F.col("spp") - F.col("sp") * F.col("sp"))
+    slope = F.try_divide(F.col("n") * F.col("spg") - F.col("sp") * F.col("sg"), F.col("n") * F.col("spp") - F.col("sp") * F.col("sp"))
     return s.select(slope.alias("slope")).agg(F.percentile("slope", 0.025).alias("low"), F.percentile("slope", 0.975).alias("high"), F.avg("slope").alias("mean"))
 
 
 def bias_report(pairs: DataFrame) -> DataFrame:
     e, n = F.col("pred") - F.col("gt"), F.count("*")
     se = F.stddev_samp(e) / F.sqrt(n)
-    return pairs.agg(n.alias("n"), F.avg(e).alias("bias"), F.stddev_samp(e).alias("sd"), se.alias("se"), (F.avg(e) / se).alias("t"), (F.avg(e) - 1.96 * se).alias("low"), (F.avg(e) + 1.96 * se).alias("high"), F.regr_slope("pred", "gt").alias("slope"))
+    return pairs.agg(n.alias("n"), F.avg(e).alias("bias"), F.stddev_samp(e).alias("sd"), se.alias("se"), F.try_divide(F.avg(e), se).alias("t"), (F.avg(e) - 1.96 * se).alias("low"), (F.avg(e) + 1.96 * se).alias("high"), F.regr_slope("pred", "gt").alias("slope"))
 
 
 def bias_bands(pairs: DataFrame, edges: list[float]) -> DataFrame:
@@ -123,7 +123,7 @@ def scale_lock(samples: DataFrame, key: str, order: str, value: str, first: int
     q = early.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
     iqr = F.col("_q")[1] - F.col("_q")[0]
     held = early.join(q, key).where(F.col(value).between(F.col("_q")[0] - 1.5 * iqr, F.col("_q")[1] + 1.5 * iqr))
-    return held.groupBy(key).agg(F.count("*").alias("n"), F.median(value).alias("median"), F.avg(value).alias("mean"), (F.stddev_pop(value) / F.avg(value)).alias("cv")).withColumn("mpp", diameter / F.col("median"))
+    return held.groupBy(key).agg(F.count("*").alias("n"), F.median(value).alias("median"), F.avg(value).alias("mean"), F.try_divide(F.stddev_pop(value), F.avg(value)).alias("cv")).withColumn("mpp", F.try_divide(F.lit(diameter), "median"))
 
 
 def coverage(frames: DataFrame, missed_runs: DataFrame, key: str, detected: Column, present: Column) -> DataFrame:

@@ -74,7 +74,7 @@ def jumps(df: DataFrame, key: str, order: str, position: str, size: str, valid:
     ok = valid & F.coalesce(F.lag(valid).over(w), F.lit(False))
     last = F.lag(size).over(w)
     pos = ok & (F.abs(F.col(position) - F.lag(position).over(w)) > 0.5 * last)
-    scale = ok & (F.abs(F.col(size) - last) / last > 0.3)
+    scale = ok & (F.abs(F.col(size) - last) > 0.3 * last)
     return df.withColumn("jump", F.when(pos & scale, "POS+SCALE").when(pos, "POS").when(scale, "SCALE"))
 
 

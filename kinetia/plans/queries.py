@@ -187,7 +187,7 @@ def sg5_interior(spark, d):
     return rounded(windows.smooth(frames(spark, d), "video_id", "idx", "conf", [x / 35 for x in (-3, 12, 17, 12, -3)]).select("video_id", "idx", "smooth"))
 
 
-@query(f"WITH {FRAMES} SELECT video_id, idx, CASE WHEN p AND s THEN 'POS+SCALE' WHEN p THEN 'POS' WHEN s THEN 'SCALE' END AS jump FROM (SELECT *, coalesce(ok AND lok AND abs(t - lt) > 0.5 * lc * 86400, false) AS p, coalesce(ok AND lok AND abs(conf - lc) / lc > 0.3, false) AS s FROM (SELECT *, y IS NOT NULL AS ok, coalesce(lag(y IS NOT NULL) OVER w, false) AS lok, lag(t) OVER w AS lt, lag(conf) OVER w AS lc FROM f WINDOW w AS (PARTITION BY video_id ORDER BY idx)))")
+@query(f"WITH {FRAMES} SELECT video_id, idx, CASE WHEN p AND s THEN 'POS+SCALE' WHEN p THEN 'POS' WHEN s THEN 'SCALE' END AS jump FROM (SELECT *, coalesce(ok AND lok AND abs(t - lt) > 0.5 * lc * 86400, false) AS p, coalesce(ok AND lok AND abs(conf - lc) > 0.3 * lc, false) AS s FROM (SELECT *, y IS NOT NULL AS ok, coalesce(lag(y IS NOT NULL) OVER w, false) AS lok, lag(t) OVER w AS lt, lag(conf) OVER w AS lc FROM f WINDOW w AS (PARTITION BY video_id ORDER BY idx)))")
 def jump_detect(spark, d):
     f = frames(spark, d).withColumn("x", F.col("t") / 86400)
     return windows.jumps(f, "video_id", "idx", "x", "conf", F.col("y").isNotNull()).select("video_id", "idx", "jump")
