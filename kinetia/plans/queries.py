@@ -198,10 +198,10 @@ def jump_summary(spark, d):
     return metrics.jump_summary(jump_detect(spark, d), "video_id")
 
 
-@query(f"""WITH {FRAMES} SELECT video_id, idx, coalesce(n = 3 AND lo > 0.4, false) AS rises, coalesce(n = 3 AND hi < -0.02, false) AS falls FROM (SELECT video_id, idx, min(conf) OVER w AS lo, max(conf) OVER w AS hi, count(conf) OVER w AS n FROM f WINDOW w AS (PARTITION BY video_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING))""")
+@query(f"""WITH {FRAMES} SELECT video_id, idx, coalesce(n = 3 AND lo > 0.1, false) AS rises, coalesce(n = 3 AND hi < -0.1, false) AS falls FROM (SELECT video_id, idx, min(conf - 0.5) OVER w AS lo, max(conf - 0.5) OVER w AS hi, count(conf) OVER w AS n FROM f WINDOW w AS (PARTITION BY video_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING))""")
 def sustained_lookahead(spark, d):
-    up = windows.sustained(frames(spark, d), "video_id", "idx", "conf", 3, 0.4).select("video_id", "idx", F.coalesce("rises", F.lit(False)).alias("rises"), F.lit(False).alias("falls"))
-    return up
+    df = windows.sustained(frames(spark, d).withColumn("x", F.col("conf") - 0.5), "video_id", "idx", "x", 3, 0.1)
+    return df.select("video_id", "idx", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("rises", "falls")))
 
 
 @query(f"""WITH {BOXES} SELECT frame, pos, CAST(sum(fresh) OVER (PARTITION BY frame ORDER BY cx, pos) AS BIGINT) AS cluster FROM (SELECT *, CASE WHEN cx - lag(cx) OVER (PARTITION BY frame ORDER BY cx, pos) > 50 THEN 1 ELSE 0 END AS fresh FROM b)""")
