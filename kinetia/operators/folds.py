@@ -17,21 +17,25 @@ from pyspark.sql import functions as F
 
 
 def fold(df: DataFrame, key: str, order: list[str], columns: list[str], schema: str, start: Callable) -> DataFrame:
-    """start() gives a step: a function of (*columns) that returns a list of output rows, each without the key. schema is theirs."""
+    """start() gives a step: a function of (*columns) that returns a list of output rows, each without the key. schema is theirs. Rows with a null key are a group of their own."""
     kind = dict(df.dtypes)[key]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, step, names = None, None, [key, *(x.split()[0] for x in schema.split(", "))]
+        last, step, names = None, None, [key, "_null", *(x.split()[0] for x in schema.split(", "))]
         for f in frames:
             out = []
-            for k, *row in zip(f[key], *(f[c] for c in columns)):
+            for *k, row in zip(f["_key"], f["_null"], zip(*(f[c] for c in columns))):
                 if step is None or k != last:
                     last, step = k, start()
-                out += [(k, *x) for x in step(*row)]
+                out += [(*k, *x) for x in step(*row)]
             yield pd.DataFrame(out, columns=names)
 
-    rows = df.where(F.col(key).isNotNull()).select(key, *dict.fromkeys([*order, *columns])).repartition(key).sortWithinPartitions(key, *order)
-    return rows.mapInPandas(run, f"{key} {kind}, {schema}")
+    # the flag stands for null, as pandas would make doubles of whole numbers with nulls
+    some = F.lit("1970-01-01" if kind.startswith(("date", "timestamp")) else "0").cast(kind)
+    held = df.select(F.coalesce(F.col(key), some).alias("_key"), F.col(key).isNull().alias("_null"), *dict.fromkeys([*order, *columns]))
+    rows = held.repartition("_key", "_null").sortWithinPartitions("_key", "_null", *order)
+    out = rows.mapInPandas(run, f"{key} {kind}, _null boolean, {schema}")
+    return out.withColumn(key, F.when(~F.col("_null"), F.col(key))).drop("_null")
 
 
 def missing(x) -> bool:

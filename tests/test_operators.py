@@ -148,3 +148,12 @@ def test_detections_to_repetitions(spark):
     df = spark.createDataFrame(rows, "video_id string, frame_idx int, pts_s double, candidates array<struct<cx: double, cy: double, w: double, h: double, conf: double>>")
     path, reps = engine.analyze(df)
     assert path.count() == 480 and reps.count() >= 3
+
+
+def test_null_keys_fold_as_a_group(spark):
+    from kinetia.operators import folds
+
+    big = 2**60 + 1
+    rows = [(big, 0, 1.0), (None, 0, 3.0), (0, 0, 5.0), (None, 1, 4.0), (0, 1, 6.0), (big, 1, 2.0)]
+    got = folds.decayed(spark.createDataFrame(rows, "k long, i long, v double"), "k", "i", "v").collect()
+    assert {(r["k"], r["i"]): round(r["average"], 6) for r in got} == {(big, 0): 1.0, (big, 1): 1.7, (None, 0): 3.0, (None, 1): 3.7, (0, 0): 5.0, (0, 1): 5.7}
