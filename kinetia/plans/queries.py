@@ -263,7 +263,7 @@ def lovo_cv(spark, d):
 
 @query()
 def slope_bootstrap(spark, d):
-    return rounded(metrics.cluster_bootstrap(pairs(spark, d), "video_id", draws=400))
+    return rounded(metrics.cluster_bootstrap(pairs(spark, d), "video_id"))
 
 
 @query(f"WITH {PAIRS} SELECT band, count(*) AS n, round(avg(pred - gt), 6) AS bias, round(sqrt(avg((pred - gt) * (pred - gt))), 6) AS rmse FROM (SELECT *, CASE WHEN gt >= 0 AND gt < 1 THEN '0.0-1.0' WHEN gt >= 1 AND gt < 2 THEN '1.0-2.0' WHEN gt >= 2 AND gt < 9 THEN '2.0-9.0' END AS band FROM pairs) WHERE band IS NOT NULL GROUP BY 1")

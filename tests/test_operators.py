@@ -157,3 +157,14 @@ def test_null_keys_fold_as_a_group(spark):
     rows = [(big, 0, 1.0), (None, 0, 3.0), (0, 0, 5.0), (None, 1, 4.0), (0, 1, 6.0), (big, 1, 2.0)]
     got = folds.decayed(spark.createDataFrame(rows, "k long, i long, v double"), "k", "i", "v").collect()
     assert {(r["k"], r["i"]): round(r["average"], 6) for r in got} == {(big, 0): 1.0, (big, 1): 1.7, (None, 0): 3.0, (None, 1): 3.7, (0, 0): 5.0, (0, 1): 5.7}
+
+
+def test_registered_bootstrap_has_the_references_draws(spark, monkeypatch):
+    from kinetia.plans import queries
+
+    rng = random.Random(74)
+    rows = [(f"v{k % 9}", float(x := rng.random()), x + rng.gauss(0, 0.2)) for k in range(90)]
+    df = spark.createDataFrame(rows, "video_id string, gt double, pred double")
+    monkeypatch.setattr(queries, "pairs", lambda *_: df)
+    got, want = queries.slope_bootstrap(spark, "").first(), metrics.cluster_bootstrap(df, "video_id", draws=2000).first()
+    assert list(got) == pytest.approx(list(want), abs=1e-5)
