@@ -42,8 +42,9 @@ TRIGGERS = "token|key|secret|password|passwd|api|auth|bearer|credential|ssn|soci
 COUNTER = "version|commit|build|isbn|issn|doi|page|figure|chapter|order|item|model|part|serial|revision|hash|checksum|sha|md5"
 LEFT = 32  #: characters before a span that context labelers see
 
-SPAN = "array<struct<start:bigint,end:bigint,ord:int,kind:string>>"
-CANDIDATE = "array<struct<start:bigint,end:bigint,ord:int,kind:string,votes:string,features:string>>"
+#: Sorted, spans are by start, then by kind as listed.
+SPAN = "array<struct<start:bigint,ord:int,end:bigint,kind:string>>"
+CANDIDATE = "array<struct<start:bigint,ord:int,end:bigint,kind:string,votes:string,features:string>>"
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,7 @@ def _matches(kind: str, pattern: str, text: Column, fields) -> Column:
     def fold(gaps: Column, found: Column) -> Column:
         def step(a: Column, k: Column) -> Column:
             m, start = F.get(found, k), a["at"] + F.length(F.get(gaps, k))
-            span = F.struct(start.alias("start"), (start + F.length(m)).alias("end"), F.lit(KINDS.index(kind)).alias("ord"), F.lit(kind).alias("kind"), *fields(kind, m, F.get(gaps, k)))
+            span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), (start + F.length(m)).alias("end"), F.lit(kind).alias("kind"), *fields(kind, m, F.get(gaps, k)))
             return F.struct((start + F.length(m)).alias("at"), F.when(_ok(kind, m), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
         empty = F.array().cast(CANDIDATE if kind in ADDED else SPAN)
@@ -121,7 +122,7 @@ def _field_columns(kind: str, m: Column, gap: Column) -> list[Column]:
 
 
 def base_spans(text: Column) -> Column:
-    """array<struct<start, end, ord, kind>> of the base kinds, by start, then kind."""
+    """array<struct<start, ord, end, kind>> of the base kinds, by start, then kind."""
     return F.sort_array(F.concat(*[_matches(k, p, text, lambda *_: []) for k, p in BASE.items()]))
 
 
@@ -201,11 +202,11 @@ def span_score(model: tuple[float, list[dict[str, float]]], c: Column) -> Column
 
 
 def find(docs: DataFrame, params: Params = Params(), keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns in keep), base and spans: arrays of struct<start, end, ord, kind>, by start, then kind."""
+    """doc_id (or the columns in keep), base and spans: arrays of struct<start, ord, end, kind>, by start, then kind."""
     columns = keep or ["doc_id"]
     spans = with_spans(docs.select(*dict.fromkeys([*columns, "text"])))
     model = learn(with_spans(docs.select("text")), params)
-    plain = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["ord"].alias("ord"), c["kind"].alias("kind"))
+    plain = lambda c: F.struct(c["start"].alias("start"), c["ord"].alias("ord"), c["end"].alias("end"), c["kind"].alias("kind"))
     added = F.transform(F.filter("proposed", lambda c: span_score(model, c) >= params.threshold), plain)
     return spans.select(*columns, "base", F.sort_array(F.concat("base", added)).alias("spans"))
 
