@@ -19,16 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, under a local master where it is unset, a folder of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    if spark.sparkContext.master.startswith("local"):
-        own = tempfile.mkdtemp(prefix="kinetia-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        own = f"file://{own}"
-    else:
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kinetia"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    own = tempfile.mkdtemp(prefix="kinetia-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    own = f"file://{own}"
     spark.sparkContext.setCheckpointDir(own)
     return own
 
@@ -40,6 +39,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a stored() frame that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A frame of a few short columns as a join's right side: broadcast if it has at most so many rows, else merged."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
+def free(name: str, columns: list[str]) -> str:
+    """A name that no column has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def typed(schema: str, df: DataFrame, *names: str) -> str:
+    """schema with the types that the named columns, longs in it, have in df."""
+    for n in names:
+        schema = schema.replace(f"{n} long", f"{n} {df.schema[n].dataType.simpleString()}")
+    return schema
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -11,8 +11,9 @@ Those that share a key are verified without forming pairs: two fingerprints diff
 linked and each is joined to the least of its group. Large groups cost one row for each member and word, not each pair.
 
 Defined results: a null text counts as empty; texts without words share fingerprint zero and are linked; repeated rows are
-linked; rows with a null id get a fingerprint and a null component; a doc_id in several rows is returned as often; extra
-columns are not returned by ``classes`` and are kept by ``keep_one``.
+linked; very long texts are read whole; rows with a null id get a fingerprint and a null component from ``classes``, and are
+members of their group like others for ``keep_one``; a doc_id in several rows is returned as often by ``classes`` and keeps its
+type; an empty table gives no rows; extra columns are not returned by ``classes`` and are kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetia.llm.common import stored, table
+from kinetia.llm.common import free, sized, stored, table, typed
 from kinetia.llm.components import components
 
 SHINGLE = 3
@@ -92,8 +93,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, key (a hash of id and text) and fp, the fingerprint as a signed long."""
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(_fingerprints, typed("doc_id long, key long, fp long", docs, "doc_id"))
 
 
 def _golay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,27 +121,43 @@ def links(prints: DataFrame) -> DataFrame:
     """(u, v): links that connect all of the distinct fingerprints fp that differ in two bits at most."""
     keys = prints.mapInPandas(_golay, "fp long, key long")
     shared = keys.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b").select("key")
-    candidates = stored(keys.join(shared, "key", "left_semi").select("fp").distinct(), "simhash-candidates")
+    candidates = stored(keys.join(shared.hint("merge"), "key", "left_semi").select("fp").distinct(), "simhash-candidates")
     points = candidates.mapInPandas(_near, "fp long, point long")
     centres = points.groupBy("point").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low != high")
-    return points.join(centres, "point").where("fp != low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct()
+    return points.join(centres.hint("merge"), "point").where("fp != low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct()
+
+
+def _roots(prints: DataFrame) -> DataFrame:
+    """(fp, root) of each distinct fingerprint."""
+    every = stored(prints.select("fp").distinct(), "simhash-distinct")
+    groups = components(links(every), "simhash-links").withColumnRenamed("node", "fp")
+    return stored(every.join(groups.hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-roots")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of each row: the least doc_id that links of two bits at most reach."""
     prints = stored(with_fingerprints(docs), "simhash-prints")
-    first = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-first")
-    groups = components(links(first.select("fp")), "simhash-links").withColumnRenamed("node", "fp")
-    joined = first.join(groups, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    members = joined.join(least, "root").select("fp", "component_id")
-    return prints.join(members, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    roots = _roots(prints)
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots.hint("merge"), "fp")
+    least = stored(first.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
+    members = roots.join(least.hint("merge"), "root").select("fp", "component_id")
+    return prints.join(members.hint("merge"), "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its component's, with all columns. Rows with a null id stay, and so do all rows that repeat a kept id."""
-    kept = classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(docs.columns))
+    """One row of docs of each component, with all columns: that of the least doc_id (null: only where all are), and of its texts the one of the least hash;
+    of rows that repeat that id and text one stays. What goes is joined to docs, not what stays, so texts are shuffled only where very many rows go."""
+    prints = stored(with_fingerprints(docs), "simhash-prints")
+    rows = prints.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.count("*").alias("n")).join(_roots(prints).hint("merge"), "fp")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
+    stays = F.col("key") == F.col("best.key")
+    marks = stored(rows.join(best.hint("merge"), "root").where(~stays | (F.col("n") > 1)).select("key", stays.alias("stays")), "simhash-marks")
+    key = free("_key", docs.columns)
+    gone, again = (marks.where(x).select(F.col("key").alias(key)) for x in ("not stays", "stays"))
+    left = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(sized(gone), key, "left_anti")
+    if not again.isEmpty():
+        left = left.join(sized(again), key, "left_anti").unionByName(left.join(sized(again), key, "left_semi").dropDuplicates([key]))
+    return left.select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ def frame(spark, texts, extra=False):
     if extra:
         from pyspark.sql import functions as F
 
-        for name in ("n_words", "score", "row", "key", "h", "hash", "text_lower", "length", "component_id", "spans", "label", "value", "start"):
+        for name in ("n_words", "score", "row", "key", "h", "hash", "text_lower", "length", "component_id", "spans", "label", "value", "start", "_row", "_key", "place", "fp"):
             df = df.withColumn(name, F.lit("clash"))
     return df
 

@@ -92,7 +92,11 @@ def test_empty_repeated_and_null_ids(spark):
     rows = [(5, "a b c d"), (5, "a b c d"), (3, "a b c d"), (None, "a b c d"), (9, "other words are here now")]
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in s.classes(frame(spark, rows)).collect())
     assert got == [(-1, -1), (3, 3), (5, 3), (5, 3), (9, 9)]
-    assert sorted(r["doc_id"] or -1 for r in s.keep_one(frame(spark, rows)).collect()) == [-1, 3, 9]
+    assert sorted(r["doc_id"] or -1 for r in s.keep_one(frame(spark, rows)).collect()) == [3, 9]
+    # a table loaded twice, ids that repeat with other texts, and null ids only: one row of each group
+    twice = [(1, "a b c d"), (1, "a b c d"), (1, "quite other words than these"), (None, "null ids only here"), (None, "null ids only here"), (None, None), (4, "")]
+    kept = s.keep_one(frame(spark, twice, extra=True))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("1", "a b c d"), ("1", "quite other words than these"), ("4", ""), ("None", "null ids only here")]
 
 
 def test_a_long_chain_is_one_component(spark):
@@ -101,3 +105,9 @@ def test_a_long_chain_is_one_component(spark):
     df = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "u long, v long")
     got = {r["node"]: r["root"] for r in components(df).collect()}
     assert got == {k: 0 for k in range(201)} | {500: 500, 501: 500}
+
+
+def test_ids_of_other_types(spark):
+    df = spark.createDataFrame([("b", "one two three"), ("a", "one two three"), (None, "x")], "doc_id string, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in s.classes(df).collect()} == {("b", "a"), ("a", "a"), (None, None)}
+    assert sorted(str(r["doc_id"]) for r in s.keep_one(df).collect()) == ["None", "a"]
