@@ -5,8 +5,9 @@ marks themselves), whether a word repeats the last one or the one before, and bi
 of its smoothed shares among the documents of either label, over the root of the document's indicators. The linear
 hinge loss is minimised by dual coordinate descent on a bounded sample of labelled rows; scoring is numpy over Arrow batches.
 
-Defined results: a null text counts as empty and gets the score of its few indicators; repeated rows get the same score; an
-empty table gives no rows; with one label only, or none, every score is that label's share, or 0.5. Extra columns are ignored.
+Defined results: a null text counts as empty and gets the score of its few indicators; very long texts are scored whole;
+repeated rows get the same score, and a doc_id in several rows of docs is learned from once (see ``labelled``); ties of the
+sample's hash are all taken or left; doc_id keeps its type; an empty table gives no rows; with one label only, or none, every score is that label's share, or 0.5. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetia.llm import labelled, tokens
-from kinetia.llm.common import table
+from kinetia.llm.common import stored, table, typed
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -28,6 +29,7 @@ SCORED = "doc_id long, held_out boolean, score double, predicted int"
 @dataclass(frozen=True)
 class Params:
     sample_rows: int = 12_000  #: labelled rows that the model is fitted on, at most
+    sample_codes: int = 20_000_000  #: indicators of these rows, at most: of longer rows fewer are taken
     bits: int = 18
     smoothing: float = 1.0
     cost: float = 1.0
@@ -65,7 +67,7 @@ def _features(bits: int):
         for b, data, bounds in tokens.chunks(batches):
             doc, code = indicators(data, bounds, bits)
             at = np.searchsorted(doc, np.arange(len(b) + 1))
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([code[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())], names=["label", "codes"])
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("place"), pa.array(np.diff(at)), pa.array([code[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())], names=["label", "place", "n", "codes"])
 
     return run
 
@@ -78,7 +80,12 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, params: Params = Params(), label: str = "quality") -> Model:
-    rows = labelled.sample(docs, labels, label, params.sample_rows).select("label", "text").mapInArrow(_features(params.bits), "label int, codes binary").collect()
+    sample = labelled.sample(docs, labels, label, params.sample_rows).select("label", F.xxhash64("doc_id").alias("place"), "text")
+    held = stored(sample.mapInArrow(_features(params.bits), "label int, place long, n long, codes binary"), "classifier-sample")
+    # a window over a few numbers of at most sample_rows rows
+    upto = held.select("place", "n", F.sum("n").over(Window.orderBy("place", "label", "n")).alias("total"))
+    last = upto.where((F.col("total") <= params.sample_codes) | (F.col("total") == F.col("n"))).agg(F.max("place")).first()[0]
+    rows = held.where(F.col("place") <= last).select("label", "codes").collect() if last is not None else []
     rows = sorted((r["label"], bytes(r["codes"])) for r in rows)
     y = np.array([r[0] for r in rows])
     if len(set(y.tolist())) < 2:
@@ -94,10 +101,17 @@ def learn(docs: DataFrame, labels: DataFrame, params: Params = Params(), label:
     sign, square = np.where(y == 1, 1.0, -1.0), np.array([float(v @ v) + 1 for v in values])
     # rarer labels cost more, by the root of their share
     cost = params.cost * np.where(y == 1, np.sqrt(0.5 / max(1e-9, y.mean())), np.sqrt(0.5 / max(1e-9, 1 - y.mean())))
-    w, bias, alpha = np.zeros(size, np.float32), 0.0, np.zeros(len(y))
+    w, bias = descend(codes, values, sign, square, cost, size, params.epochs)
+    return Model(w * ratio, bias)
+
+
+def descend(codes: list[np.ndarray], values: list[np.ndarray], sign: np.ndarray, square: np.ndarray, cost: np.ndarray, size: int, epochs: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of the least squared norm (bias included) plus cost-weighed hinge losses, by dual coordinate descent: a row's
+    multiplier moves to its optimum between 0 and its cost, rows in an order drawn anew for each epoch. square: rows' squared norms, 1 for the bias included."""
+    w, bias, alpha = np.zeros(size, np.float32), 0.0, np.zeros(len(sign))
     order = np.random.default_rng(22)
-    for _ in range(params.epochs):
-        for i in order.permutation(len(y)):
+    for _ in range(epochs):
+        for i in order.permutation(len(sign)):
             c, v = codes[i], values[i]
             g = sign[i] * (float(w[c] @ v) + bias) - 1
             new = min(max(alpha[i] - g / square[i], 0.0), cost[i])
@@ -106,7 +120,7 @@ def learn(docs: DataFrame, labels: DataFrame, params: Params = Params(), label:
                 w[c] += np.float32(step) * v
                 bias += step
                 alpha[i] = new
-    return Model(w * ratio, bias)
+    return w, bias
 
 
 def _score(model: Model, params: Params):
@@ -125,8 +139,8 @@ def _score(model: Model, params: Params):
 def score(docs: DataFrame, labels: DataFrame, params: Params = Params(), label: str = "quality") -> DataFrame:
     """SCORED. Labels are learned from rows that aren't held out only."""
     model = learn(docs, labels, params, label)
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(labelled.held_out(), F.lit(False)).alias("held_out"), "text")
-    return held.mapInArrow(_score(model, params), SCORED)
+    held = docs.select("doc_id", F.coalesce(labelled.held_out(), F.lit(False)).alias("held_out"), "text")
+    return held.mapInArrow(_score(model, params), typed(SCORED, docs, "doc_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
