@@ -6,7 +6,8 @@ automaton (its row of edit distances) down the trie and meets the terms within o
 document's hits are weighed by the window around each: quotation marks about it and words of speech before it make it a
 quotation. A logistic model over these sums, fitted to the same sample, gives the score.
 
-Defined results: a null text counts as empty and scores like any text without hits; repeated rows score the same; empty tables
+Defined results: a null text counts as empty and scores like any text without hits; very long texts are read whole; repeated rows score the same, and a doc_id in
+several rows of docs is learned from once (see ``labelled``); of terms that match alike the longest, then the first taken; doc_id keeps its type; empty tables
 give no rows; with no toxic rows to learn from the lexicon is empty and all scores are that share (0.0 without labels).
 Extra columns are ignored.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetia.llm import labelled
-from kinetia.llm.common import table
+from kinetia.llm.common import stored, table, typed
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 EDGE = "\"'`.,;:!?()[]{}<>*_~#$%&|«»“”„‚‘’…-–—/\\=+"
@@ -37,8 +38,7 @@ PREFIXES = range(3, 9)
 @dataclass(frozen=True)
 class Params:
     sample_rows: int = 12_000  #: labelled rows that lexicon and weights are fitted on, at most
-    toxic_rows: int = 3_000  #: of these, toxic rows whose words may become terms
-    terms: int = 400
+    toxic_rows: int = 3_000  #: of these, toxic rows whose words may become terms, as many as the cover takes
     least_share: float = 0.004  #: of toxic rows that a term occurs in
     purity: float = 0.1  #: most that a term's share of other rows may be, against that of toxic rows
     edits_from: int = 5  #: letters of a term that may be misspelled by one edit
@@ -185,36 +185,32 @@ def _parts(words: set[str]) -> set[tuple[str, bool]]:
     return {(w, True) for w in words if len(w) >= 3} | {(w[:n], False) for w in words for n in PREFIXES if len(w) > n}
 
 
-def apart(rows: list[set[str]]) -> list[set[str]]:
-    """One of each group of near copies: rows that share two of three minimal word hashes with an earlier one go."""
+def _heads(words: set[str]) -> list[int]:
+    """Three minimal word hashes."""
+    return [min((zlib.crc32(w.encode(), seed) * 0x9E3779B1 & 0xFFFFFFFF for w in words), default=0) for seed in (1, 2, 3)]
+
+
+def apart(rows: list[tuple[int, list[int]]]) -> list[int]:
+    """Of (place, three hashes) the places of one of each group of near copies: rows that share two of the hashes with an earlier one go."""
     seen, out = set(), []
-    for words in rows:
-        least = [min((zlib.crc32(w.encode(), seed) * 0x9E3779B1 & 0xFFFFFFFF for w in words), default=0) for seed in (1, 2, 3)]
+    for place, least in rows:
         pairs = {(j, k, least[j], least[k]) for j, k in ((0, 1), (0, 2), (1, 2))}
         if not pairs & seen:
-            out.append(words)
+            out.append(place)
         seen |= pairs
     return out
 
 
-def choose(toxic: list[set[str]], clean: Counter, n_clean: int, params: Params) -> list[tuple[str, bool]]:
-    """Greedy cover of the toxic rows by pure terms. A row counts less with each term that it has already, so chance words
-    of covered rows aren't taken; a beginning isn't taken where a longer form of it covers nearly as much."""
-    n = len(toxic)
-    rows: dict[tuple[str, bool], list[int]] = {}
-    for k, words in enumerate(toxic):
-        for p in _parts(words):
-            rows.setdefault(p, []).append(k)
-    least = max(3, params.least_share * n)
-    pure = {p: np.array(r) for p, r in rows.items() if len(r) >= least and clean[p] / max(1, n_clean) <= params.purity * len(r) / n}
+def choose(rows: dict[tuple[str, bool], list[int]], n: int) -> list[tuple[str, bool]]:
+    """Greedy cover of the n toxic rows by pure terms; rows: of each, those that hold it. A row counts less with each term that it has already, so chance
+    words of covered rows aren't taken; a beginning isn't taken where a longer form of it covers nearly as much."""
+    pure = {p: np.array(r) for p, r in rows.items()}
     longer: dict[str, int] = {}
     for (text, whole), r in pure.items():
         for k in range(3, len(text) + whole):
             longer[text[:k]] = max(longer.get(text[:k], 0), len(r))
     have, taken = np.zeros(n), []
     for p in sorted(pure, key=lambda p: (-len(pure[p]), -len(p[0]) - p[1], p)):
-        if len(taken) == params.terms:
-            break
         if not p[1] and longer.get(p[0], 0) >= 0.9 * len(pure[p]) or any(p[0].startswith(t) or t.startswith(p[0]) for t, _ in taken):
             continue  # another form of a term that covers as much
         if (1.0 / (1 + have[pure[p]]) ** 2).sum() >= max(3, 0.02 * len(pure[p])):
@@ -223,55 +219,95 @@ def choose(toxic: list[set[str]], clean: Counter, n_clean: int, params: Params)
     return taken
 
 
-def learn(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
-    rows = labelled.sample(docs, labels, "toxic", params.sample_rows)
-    none = np.zeros(5)
+def count_parts(rows: DataFrame, wanted: set | None = None) -> DataFrame:
+    """(part, whole, n): how many rows hold each part of a word; wanted: only these."""
 
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([sorted(_distinct(t)) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], names=["doc_id", "words"])
+            total: Counter = Counter()
+            for t in b.column("text"):
+                found = _parts(_distinct(t.as_py()))
+                total.update(found if wanted is None else found & wanted)
+            keys = list(total)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], names=["part", "whole", "n"])
 
-    held = rows.where("label = 1").select("doc_id", "text").mapInArrow(words_of, "doc_id long, words array<string>")
-    toxic = sorted((r["doc_id"], r["words"]) for r in held.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(params.toxic_rows).collect())
-    toxic = apart([set(w) for _, w in toxic])
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if not toxic or not counts.get(0):
-        return Model([], [], none, 1.0 if toxic else 0.0)
-    wanted = Counter(p for w in toxic for p in _parts(w))
-    wanted = {p for p, n in wanted.items() if n >= max(3, params.least_share * len(toxic))}
+    return rows.select("text").mapInArrow(run, "part string, whole boolean, n long").groupBy("part", "whole").agg(F.sum("n").alias("n"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+
+def lexicon_terms(rows: DataFrame, n_clean: int, params: Params) -> list[tuple[str, bool]]:
+    """Terms of the stored sample (place, text, label). The driver gets three hashes of each toxic row, the parts that enough of them share, and
+    for each row the numbers of the pure ones among these; texts and their words stay in tasks."""
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column("text").to_pylist():
-                total.update(_parts(_distinct(t)) & wanted)
-        keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], names=["part", "whole", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("place"), pa.array([_heads(_distinct(t.as_py())) for t in b.column("text")], pa.list_(pa.int64()))], names=["place", "heads"])
+
+    toxic = rows.where("label = 1").select("place", "text")
+    first = toxic.mapInArrow(heads, "place long, heads array<long>").orderBy(F.xxhash64("place", F.lit(1)), "place").limit(params.toxic_rows).collect()
+    places = apart([(r["place"], r["heads"]) for r in first])
+    n, number = len(places), {place: k for k, place in enumerate(places)}
+    chosen = toxic.where(F.col("place").isin(places)) if n < 100 else toxic.join(F.broadcast(toxic.sparkSession.createDataFrame([(x,) for x in places], "place long")), "place")
+    least = max(3, params.least_share * n)
+    counts = {(r["part"], r["whole"]): r["n"] for r in count_parts(chosen).where(F.col("n") >= least).collect()}
+    clean = {(r["part"], r["whole"]): r["n"] for r in count_parts(rows.where("label = 0"), set(counts)).collect()}
+    pure = sorted(p for p, k in counts.items() if clean.get(p, 0) / max(1, n_clean) <= params.purity * k / n)
+    numbers = {p: k for k, p in enumerate(pure)}
 
-    grouped = rows.where("label = 0").select("text").mapInArrow(count, "part string, whole boolean, n long").groupBy("part", "whole").agg(F.sum("n").alias("n"))
-    clean = Counter({(r["part"], r["whole"]): r["n"] for r in grouped.collect()})  # no more rows than wanted has
-    terms = choose(toxic, clean, counts[0], params)
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sorted(numbers[p] for p in _parts(_distinct(t.as_py())) & numbers.keys()) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("place"), pa.array(found, pa.list_(pa.int32()))], names=["place", "parts"])
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    holders: dict[tuple[str, bool], list[int]] = {p: [] for p in pure}
+    for r in sorted(chosen.mapInArrow(held, "place long, parts array<int>").collect(), key=lambda r: number[r["place"]]):
+        for k in r["parts"]:
+            holders[pure[k]].append(number[r["place"]])
+    return choose(holders, n)
+
+
+def learn(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
+    rows = stored(labelled.sample(docs, labels, "toxic", params.sample_rows).select(F.xxhash64("doc_id").alias("place"), "text", "label"), "toxicity-sample")
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not counts.get(1) or not counts.get(0):
+        return Model([], [], np.zeros(5), 1.0 if counts.get(1) else 0.0)
+    terms = lexicon_terms(rows, counts[0], params)
+
+    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = matcher(terms, params)
         for b in batches:
-            n, x = zip(*(hits(t or "", m, params.window) for t in b.column("text").to_pylist())) if len(b) else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(n, pa.int64()), pa.array(x, pa.list_(pa.int32()))], names=["label", "n", "hits"])
+            total: Counter = Counter()
+            for t, label in zip(b.column("text"), b.column("label").to_pylist()):
+                total.update((label, c) for c in {c >> 1 for c in hits(t.as_py() or "", m, params.window)[1]})
+            keys = list(total)
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in keys], pa.int32()) for j in (0, 1)), pa.array([total[k] for k in keys], pa.int64())], names=["label", "code", "n"])
 
-    seen = sorted((r["label"], r["n"], r["hits"]) for r in rows.select("label", "text").mapInArrow(measured, "label int, n long, hits array<int>").collect())
     # shares of either label's rows with each term, spelled well and not
     held = np.zeros((2, len(terms), 2))
-    for label, _, codes in seen:
-        for c in {c >> 1 for c in codes}:
-            held[label, c >> 1, c & 1] += 1 / counts[label]
+    for r in rows.select("label", "text").mapInArrow(presence, "label int, code int, n long").groupBy("label", "code").agg(F.sum("n").alias("n")).collect():
+        held[r["label"], r["code"] >> 1, r["code"] & 1] = r["n"] / counts[r["label"]]
     few = 0.5 / min(counts.values())
     # a misspelled form is taken to be a twentieth as common as the term itself, if its look-alikes are no more so among clean rows
     weights = [(max(0.0, float(np.log((t[0] + few) / (c[0] + few)))), max(0.0, float(np.log((0.05 * t[0] + few) / (c[1] + few))))) for c, t in zip(held[0], held[1])]
-    # misspelled copies of the toxic rows stand beside them, so that misspelling alone doesn't clear a row
     able = [len(text) >= params.edits_from for text, _ in terms]
-    seen += [(1, n, [c | 2 if able[c >> 2] else c for c in codes]) for label, n, codes in seen if label and codes]
-    y = np.array([r[0] for r in seen], float)
-    x = np.column_stack([_curve(np.array([sums(n, codes, weights) for _, n, codes in seen]).reshape(-1, 4)), np.ones(len(y))])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = matcher(terms, params)
+        for b in batches:
+            out = []
+            for t, label in zip(b.column("text"), b.column("label").to_pylist()):
+                n, codes = hits(t.as_py() or "", m, params.window)
+                out.append((label, sums(n, codes, weights)))
+                if label and codes:  # misspelled copies of the toxic rows stand beside them, so that misspelling alone doesn't clear a row
+                    out.append((1, sums(n, [c | 2 if able[c >> 2] else c for c in codes], weights)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.list_(pa.float64()))], names=["label", "sums"])
+
+    seen = sorted((r["label"], r["sums"]) for r in rows.select("label", "text").mapInArrow(measured, "label int, sums array<double>").collect())  # four numbers a row
+    return Model(terms, weights, fit_linear(np.array([r[1] for r in seen]).reshape(-1, 4), np.array([r[0] for r in seen], float)))
+
+
+def fit_linear(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights of _curve(x)'s columns, and the bias, by Newton steps; those of hits stay above 0."""
+    x = np.column_stack([_curve(x), np.ones(len(y))])
     # misspelled hits have few examples: they start from the exact hits' weight, and the ridge holds them there
     start = np.array([2.0, 1.6, 0.3, 0.5, -3.0])
     linear = start.copy()
@@ -282,7 +318,7 @@ def learn(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Mode
         bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-6)
         linear = linear - np.clip(np.linalg.solve(bend, slope), -1, 1)
         linear[:2] = np.maximum(linear[:2], 0.05)
-    return Model(terms, weights, linear)
+    return linear
 
 
 def _score(model: Model, params: Params):
@@ -303,8 +339,8 @@ def _score(model: Model, params: Params):
 def score(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
     """SCORED. Labels are learned from rows that aren't held out only."""
     model = learn(docs, labels, params)
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(labelled.held_out(), F.lit(False)).alias("held_out"), "text")
-    return held.mapInArrow(_score(model, params), SCORED)
+    held = docs.select("doc_id", F.coalesce(labelled.held_out(), F.lit(False)).alias("held_out"), "text")
+    return held.mapInArrow(_score(model, params), typed(SCORED, docs, "doc_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
