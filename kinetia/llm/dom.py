@@ -58,6 +58,7 @@ def read(source: str | None) -> Page:
     stack = [page.add("html", -1)]
     held: list[str] = []
     linked, link = 0, -1  # link: the stack's depth where a link began
+    unclosed: set[str] = set()  # elements that no end tag follows
 
     def flush() -> None:
         nonlocal linked
@@ -93,11 +94,13 @@ def read(source: str | None) -> Page:
             tag = tag.lower()
             rest = m[3] if m[2] else m[5]
             if tag in RAW or tag in HIDDEN:
-                found = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
+                found = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
                 if found:
                     at = found.end()
                 elif tag in RAW:
                     at = n
+                else:
+                    unclosed.add(tag)
                 held.append(" " if tag not in RAW else "")
             elif tag == "a":
                 link = len(stack)

@@ -6,12 +6,12 @@ article text. Decoding takes the most likely labelling of the page in which a no
 nodes below, one of them; it is a dynamic programme over the tree. The text runs that are kept are the article's blocks.
 
 The trees are fitted on a bounded sample: ``sample_pages`` pages of the table, labelled by their own article or main
-elements, and ``made_pages`` generated ones whose truth is known. In half of the generated pages, and in a copy of each
+elements (of each at most ``sample_nodes`` nodes, whatever its length), and ``made_pages`` generated ones whose truth is known. In half of the generated pages, and in a copy of each
 sampled one, semantic elements and attributes are hidden, so that the trees don't lean on these alone. Scoring is one pass
 over all pages and whole texts.
 
 Defined results: null and empty pages, and pages without article text, give an empty text; repeated rows give equal rows; a
-null page_id is kept; extra columns are ignored by ``extract``; empty tables give no rows.
+null page_id is kept, and page_id keeps its type; very long pages are read whole; of labellings that are equally likely the smaller is taken; extra columns are ignored by ``extract``; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetia.llm import dom
-from kinetia.llm.common import few, table
+from kinetia.llm.common import few, table, typed
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 MARK = ""  #: before article text of generated pages
@@ -35,7 +35,7 @@ MARK = ""  #: before article text of generated pages
 @dataclass(frozen=True)
 class Params:
     sample_pages: int = 300
-    sample_bytes: int = 200_000  #: of a sampled page; longer ones aren't in the sample
+    sample_nodes: int = 2_000  #: of a sampled page that are learned from, evenly spread over it
     made_pages: int = 700
     trees: int = 60
     depth: int = 4
@@ -251,15 +251,28 @@ def made(rng: random.Random) -> str:
     return f"<html><head><title>{words(2, 6)}</title><script>var a='</p>';</script></head><body>{inner}" + ("</body></html>" if rng.random() < 0.9 else "")
 
 
-def examples(sources: list[str], params: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes' features and labels: of sampled pages with an article of their own, and of generated ones."""
+def sampled(params: Params):
+    """Features and labels of nodes of each page that has an article of its own, as it is and hidden."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for source, place in zip(b.column("html"), b.column("place")):
+                page = dom.read(source.as_py())
+                if (y := semantic(page)) is None or not y.any():
+                    continue
+                n = len(page.tag)
+                at = np.arange(n) if n <= params.sample_nodes else np.linspace(0, n - 1, params.sample_nodes).astype(np.int64)
+                for p in (page, hidden(page)):
+                    cells = (x.tobytes() for x in (dom.numbers([p])[at], labels(page, y)[at].astype(np.float32)))
+                    yield pa.RecordBatch.from_arrays([pa.array([place.as_py()], pa.int64()), *(pa.array([c], pa.binary()) for c in cells)], names=["place", "x", "y"])
+
+    return run
+
+
+def examples(found: list[tuple[np.ndarray, np.ndarray]], params: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes' features and labels: of sampled pages, and of generated ones."""
     rng = random.Random(params.seed)
     pages, ys = [], []
-    for source in sources:
-        page = dom.read(source)
-        if (y := semantic(page)) is not None and y.any():
-            pages += [page, page]  # as it is, and hidden
-            ys += [labels(page, y)] * 2
     for _ in range(params.made_pages):
         page = dom.read(made(rng))
         y = np.array([t.startswith(MARK) for t in page.text])
@@ -267,13 +280,15 @@ def examples(sources: list[str], params: Params) -> tuple[np.ndarray, np.ndarray
         pages.append(page)
         ys.append(labels(page, y))
     shown = [hidden(p) if k % 2 else p for k, p in enumerate(pages)]
-    return dom.numbers(shown), np.concatenate(ys)
+    xs = [*(x for x, _ in found), *([dom.numbers(shown)] if shown else [])]
+    return np.concatenate(xs), np.concatenate([*(y for _, y in found), *ys])
 
 
 def learn(pages: DataFrame, params: Params = Params()) -> Trees:
-    short = pages.where(F.octet_length("html").between(1, params.sample_bytes))
-    rows = few(short.select("html", F.xxhash64("page_id", "url").alias("place")), params.sample_pages, "place", "html").collect()  # at most so many pages of so many bytes
-    return Trees(*examples([r["html"] for r in rows], params), params)
+    some = few(pages.where("html != ''").select("html", F.xxhash64("page_id", "url").alias("place")), params.sample_pages, "place", "html")
+    rows = some.mapInArrow(sampled(params), "place long, x binary, y binary").collect()  # of at most so many pages, so many nodes each
+    found = [(np.frombuffer(y, np.float32), x) for _, x, y in sorted((r["place"], r["x"], r["y"]) for r in rows)]
+    return Trees(*examples([(np.frombuffer(x, np.float32).reshape(len(y), -1), y) for y, x in found], params), params)
 
 
 def _extract(trees: Trees):
@@ -295,8 +310,8 @@ def _extract(trees: Trees):
 
 def extract(pages: DataFrame, params: Params = Params()) -> DataFrame:
     """EXTRACTED: each page's main text."""
-    held = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return held.mapInArrow(_extract(learn(pages, params)), EXTRACTED)
+    held = pages.select("page_id", F.col("url").cast("string").alias("url"), "html")
+    return held.mapInArrow(_extract(learn(pages, params)), typed(EXTRACTED, pages, "page_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
