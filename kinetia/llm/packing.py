@@ -7,7 +7,7 @@ fill, its counts are traced back, and the pattern is used as often as the counts
 a step of tokens or more, a piece of the largest length left is cut at a multiple of the step to fill it. Pieces are then
 dealt to the patterns' slots by their rank within their length; ranks are counted in salted groups, so no length is gathered.
 
-Defined results: a null or blank text is the end id alone; a document is one row for each piece; a null id stays null; repeated rows are packed
+Defined results: a null or blank text is the end id alone; a document is one row for each piece; a null id stays null, and doc_id keeps its type; repeated rows are packed
 each; an empty table gives no rows; extra columns are not returned. Special tokens' strings in a text are read as the
 tokenizer's encode() reads them.
 """
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetia.llm.common import partitions, stored, table
+from kinetia.llm.common import partitions, stored, table, typed
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -126,9 +126,9 @@ def pieces(docs: DataFrame, params: Params = Params()) -> DataFrame:
                             whole = zlib.crc32(part)
                         out.append((i, s, len(part) // 4, whole, n, np.array(crcs[:-1], "<u4").tobytes()))
                 cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "crcs"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("doc_id").type), *(pa.array(c, pa.int64()) for c in cols[1:5]), pa.array(cols[5], pa.binary())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "crcs"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES + ", crcs binary")
+    return docs.select("doc_id", "text").mapInArrow(cut, typed(PIECES, docs, "doc_id") + ", crcs binary")
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -268,7 +268,7 @@ def pack(docs: DataFrame, params: Params = Params()) -> DataFrame:
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = cut.withColumn("rn", F.row_number().over(within)).join(offsets, ["length", "salt"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "crcs", (F.col("rn") - 1 + F.col("earlier")).alias("rank"))
-    return ranked.mapInPandas(_place(slots(histogram, found)), PACKED)
+    return ranked.mapInPandas(_place(slots(histogram, found)), typed(PACKED, docs, "doc_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ Sequential covering: rules that reject are grown one condition at a time on two
 ``CASE WHEN`` expression. What the fit sees is a table of binned statistics, one row for each distinct cell.
 
 Defined results: a null or blank text has no words, fails the base test and is not kept; repeated rows are judged alike;
-rows without a label, or with a null label or id, aren't learned from; with no labels of both kinds the list is empty and
+very long texts are judged whole; rows without a label, or with a null label or id, aren't learned from; an id whose labels differ counts as rejected;
+of rules that cover alike the first statistic's lowest threshold is taken; with no labels of both kinds the list is empty and
 the base test decides. Extra columns of the input are left out of the result of ``score``, and kept by ``keep_good``.
 """
 
@@ -124,7 +125,7 @@ Condition = tuple[str, bool, float]  #: statistic, whether it must be above, thr
 def learn(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> list[list[Condition]]:
     """The rules that reject, in order. Rows with crc32(doc_id) mod 3 = 1 are held out; sampling goes by a hash of the id."""
     fit = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (crc_mod(F.col("doc_id"), 3) != 1))
-    fit = fit.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.sample_rows)
+    fit = fit.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.sample_rows)
     stats = statistics(docs.select("doc_id", "text").join(F.broadcast(fit.select("doc_id")), "doc_id", "left_semi"))
     rows = stats.where(~F.col("base_failed")).join(F.broadcast(fit), "doc_id").select("quality", (F.xxhash64("doc_id", F.lit(7)) % 3 == 0).alias("hold"), *FEATURES)
     points = [k / params.bins for k in range(params.bins + 1)]

@@ -7,13 +7,13 @@ prefixes are neighbours and a frequent one is split over several partitions. Nei
 and to the right as far as the rest of ``least`` words; longer matches hold further places, whose spans join them.
 
 Two suffixes with one prefix, and suffixes whose surroundings are all equal, are settled by that comparison. Where more than
-two differ, or where a partition's edge may cut a group, the one match that reaches ``least`` words need not be a neighbour:
+two differ, or where the edge of a partition or of what a task holds at once may cut a group, the one match that reaches ``least`` words need not be a neighbour:
 each distinct surrounding then gives its windows of ``least`` words around the prefix, and equal windows of different rows
 are found by one pre-aggregated grouping. So the spans are exactly the words of all ``least``-word windows that occur in two
 rows or more. Words of the surroundings are compared by 16 bits (prefixes by 64): one edge in 65,000 may be a word too long.
 
 Defined results: null and wordless texts, and texts of fewer than ``least`` words, have no spans; passages that repeat within
-one row only don't count; repeated rows match each other, also those that share a doc_id or have none; extra columns are
+one row only don't count; very long texts are read whole; doc_id keeps its type; repeated rows match each other, also those that share a doc_id or have none; extra columns are
 ignored; empty tables give no rows.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetia.llm import tokens
-from kinetia.llm.common import partitions, stored, table
+from kinetia.llm.common import partitions, stored, table, typed
 
 SUFFIXES = "key long, right binary, left binary, row long, doc_id long, pos int"
 FOUND = "window long, many boolean, row long, doc_id long, start int, end int"
@@ -188,8 +188,9 @@ def _neighbours(params: Params):
             if cut:
                 yield from _compare(t.slice(0, cut), params, opens, False)
                 opens, held, n = False, t.slice(cut).to_batches(), len(key) - cut
-            else:
-                held = t.combine_chunks().to_batches()
+            else:  # a prefix that goes on: its suffixes so far are compared as a group that is open on both sides
+                yield from _compare(t, params, True, True)
+                opens, held, n = True, [], 0
         if n:
             yield from _compare(pa.Table.from_batches(held), params, opens, True)
 
@@ -198,11 +199,11 @@ def _neighbours(params: Params):
 
 def repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """(row, doc_id, start, end): the words, by number from 0 and end exclusive, of each row that lie in a passage of ``least`` words which another row has too."""
-    held = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    suffixes = held.mapInArrow(_suffixes(params), SUFFIXES)
+    held = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    suffixes = held.mapInArrow(_suffixes(params), typed(SUFFIXES, docs, "doc_id"))
     order = ["key", "right", "left", "row", "pos"]
     placed = suffixes.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    found = stored(placed.mapInArrow(_neighbours(params), FOUND), "suffix-matches")
+    found = stored(placed.mapInArrow(_neighbours(params), typed(FOUND, docs, "doc_id")), "suffix-matches")
     windows = found.where("window is not null")
     shared = windows.groupBy("window").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.max("many").alias("many")).where("a != b or many").select("window")
     more = windows.join(shared, "window", "left_semi")

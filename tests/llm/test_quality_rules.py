@@ -60,3 +60,30 @@ def test_main_path_is_native(spark):
     texts, labels = labelled(spark, 60)
     plan = q.score(frame(spark, texts), labels)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_cover_matches_a_plain_search(spark):
+    """Each first condition that sequential covering takes has the best gain of all thresholds, tried one by one."""
+    import math
+
+    rng = random.Random(3)
+    for _ in range(30):
+        cells = [((rng.randint(0, 3), rng.randint(0, 2)), rng.random() < 0.33, rng.randint(0, 9), rng.randint(0, 9)) for _ in range(20)]
+        rules = q.cover(cells, [3, 2], q.Params(max_conditions=1, max_rules=1, min_precision=0.0))
+        inside = [c for c in cells if not c[1]]
+        bad, good = sum(c[2] for c in inside), sum(c[3] for c in inside)
+        gains = {}
+        for k, n in enumerate((3, 2)):
+            for e in range(n):
+                for above in (True, False):
+                    p, m = (sum(c[j] for c in inside if (c[0][k] > e) == above) for j in (2, 3))
+                    if p >= 4:
+                        gains[k, above, e] = p * (math.log2(p / (p + m)) - math.log2(bad / (bad + good)))
+        best = max(gains.values(), default=0)
+        assert (not rules and best <= 1e-9) or abs(gains[rules[0][0]] - best) < 1e-9
+
+
+def test_labels_that_differ_count_as_rejected(spark):
+    texts, labels = labelled(spark, 300)
+    both = labels.unionByName(labels.select("doc_id", (1 - q.F.col("quality")).alias("quality"), "toxic").where("doc_id % 5 = 0"))
+    assert q.learn(frame(spark, texts), both) == q.learn(frame(spark, texts), labels)

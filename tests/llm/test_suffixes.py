@@ -71,3 +71,17 @@ def test_null_and_repeated_ids_and_empty(spark):
     rows = suffixes.repeats(frame(spark, [(None, same), (5, same), (5, same), (6, None), (7, " ".join(same.split()[:49]))])).collect()
     assert sorted((str(r["doc_id"]), r["start"], r["end"]) for r in rows) == [("5", 0, 70), ("5", 0, 70), ("None", 0, 70)]
     assert suffixes.repeats(frame(spark, [])).count() == 0
+
+
+def test_a_hot_prefix_is_held_in_parts(spark, monkeypatch):
+    """Many rows with one passage, each in other surroundings: its suffixes are one group, larger than a task holds."""
+    rng = random.Random(63)
+    shared = prose(rng, 55)
+    texts = [" ".join([prose(rng, 30), shared, prose(rng, 30)]) for _ in range(60)] + [prose(rng, 25) + " " + shared] * 5
+    monkeypatch.setattr(suffixes, "MANY", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = suffixes.repeats(frame(spark, texts)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r["doc_id"], r["start"], r["end"]) for r in got} == brute(texts, 50)
