@@ -7,8 +7,8 @@ posterior; a naive Bayes span classifier is then fitted to the posteriors on fea
 sum of CASE expressions. Both fits see one table of (votes, features) counts, whose rows are bounded by the number of
 patterns, not by the corpus.
 
-Positions are code points, ends exclusive. Defined results: a null text counts as empty and has no spans; repeated rows are
-treated alike; with no candidates nothing is added; candidates within a base span are dropped; of overlapping spans
+Positions are code points, ends exclusive. Defined results: a null text counts as empty and has no spans; very long texts are
+read whole; repeated rows are treated alike; an empty table gives no rows; with no candidates nothing is added; candidates within a base span are dropped; of overlapping spans
 ``redact`` masks the union, under the first one's kind. Extra columns stay in ``redact`` and are left out of ``find``.
 """
 
@@ -164,9 +164,10 @@ def fit_reliabilities(counts: dict[str, float], params: Params) -> tuple[float,
     return prior, rates, post
 
 
-def learn(spans: DataFrame, params: Params = Params()) -> tuple[float, list[dict[str, float]]]:
-    """The span classifier: a bias and, for each feature, the log-odds of its values. spans: of with_spans()."""
-    cells = spans.select(F.explode("proposed").alias("c")).groupBy(F.col("c.votes").alias("votes"), F.col("c.features").alias("features")).count().collect()
+def learn(docs: DataFrame, params: Params = Params()) -> tuple[float, list[dict[str, float]]]:
+    """The span classifier: a bias and, for each feature, the log-odds of its values. Base spans are looked for only in texts with candidates."""
+    some = docs.select("text").where(F.size(candidates(F.coalesce(F.col("text"), F.lit("")))) > 0)
+    cells = with_spans(some).select(F.explode("proposed").alias("c")).groupBy(F.col("c.votes").alias("votes"), F.col("c.features").alias("features")).count().collect()
     if not cells:
         return -1.0, []
     counts: dict[str, float] = {}
@@ -205,7 +206,7 @@ def find(docs: DataFrame, params: Params = Params(), keep: list[str] | None = No
     """doc_id (or the columns in keep), base and spans: arrays of struct<start, ord, end, kind>, by start, then kind."""
     columns = keep or ["doc_id"]
     spans = with_spans(docs.select(*dict.fromkeys([*columns, "text"])))
-    model = learn(with_spans(docs.select("text")), params)
+    model = learn(docs, params)
     plain = lambda c: F.struct(c["start"].alias("start"), c["ord"].alias("ord"), c["end"].alias("end"), c["kind"].alias("kind"))
     added = F.transform(F.filter("proposed", lambda c: span_score(model, c) >= params.threshold), plain)
     return spans.select(*columns, "base", F.sort_array(F.concat("base", added)).alias("spans"))
