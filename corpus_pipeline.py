@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next one's docs.
 All but the last return the columns of documents. What a stage decides holds for all later ones.
+
+Defined results: a null or blank text has no words and goes with the first stage; very long texts are read whole by each stage; of
+rows that are near copies, repeat each other or share an id and a text one stays, that of the least id (a row with a null id only
+where no other is in its group); extra columns, whatever their names, are carried to the last stage, which returns the columns of
+packing; empty tables give no rows, and a stage whose side table (labels, benchmark) is empty keeps all that its fixed rules keep.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the least doc_id stays."""
+    """Of each group of near copies the row with the least doc_id stays, one row whatever repeats."""
     return simhash.keep_one(docs)
 
 
