@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Plate diameters in metres by normalised name.
-PLATES = {"45lb": 0.45, "20kg": 0.45, "25kg": 0.45}
+PLATES = {"45lb": 0.45, "25kg": 0.45, "20kg": 0.45, "35lb": 0.42, "25lb": 0.40, "15kg": 0.38, "10lb": 0.28, "10kg": 0.32}
 
 
 def clip(x: Column, low: float, high: float) -> Column:
@@ -42,9 +42,10 @@ def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
 
 
 def anchor_score(cx: Column, cy: Column, w: Column, h: Column, conf: Column, width: float, height: float, margin: float = 0.03, low: float = 0.03, high: float = 0.15, most: float = 1.6) -> Column:
-    """0 outside the gates (edge margin, height share, ratio), else confidence weighed by how central the box is."""
-    inside = cx.between(width * margin, width * (1 - margin)) & cy.between(height * margin, height * (1 - margin))
-    central = 1 - F.abs(cx / width - 0.5) * 2
+    """0 outside the gates (beyond the edge margin, height share, ratio), else confidence weighed by how central the box is on both axes."""
+    within = lambda c, size: (c > size * margin) & (c < size * (1 - margin))
+    off = lambda c, size: F.abs(c - size / 2) / (size / 2)
+    inside, central = within(cx, width) & within(cy, height), F.greatest(F.lit(0.0), 1 - (off(cx, width) + off(cy, height)) / 2)
     return F.when(inside & (h / height).between(low, high) & (ratio(w, h) <= most), conf * (0.4 + 0.6 * central)).otherwise(0.0)
 
 
@@ -66,8 +67,8 @@ def frame_class(detected: Column, conf: Column, n_plates: Column, cy: Column, he
 
 
 def regrind_verdict(corr: Column, ncc: Column, conf: Column, r: Column, small: float = 0.2) -> Column:
-    """What a correction at the bottom is: none below a trusted match, micro within a small share of the radius, else snap."""
-    return F.when((ncc < 0.5) | (conf < 0.5), F.lit(None)).when(F.abs(corr) <= small * r, "micro").otherwise("snap")
+    """What a correction at the bottom is: null where neither match nor confidence is trusted, micro below a small share of the radius, else snap."""
+    return F.when(~((ncc >= 0.5) | (conf >= 0.5)), F.lit(None)).when(corr < small * r, "micro").otherwise("snap")
 
 
 def plate_diameter(name: Column, specs: dict[str, float] = PLATES, default: float = 0.45) -> Column:
@@ -92,3 +93,40 @@ def short_hash(text: Column, kind: str = "sha256") -> Column:
 
 def gray(r: Column, g: Column, b: Column) -> Column:
     return F.shiftright(77 * r + 150 * g + 29 * b + 128, 8)
+
+
+def unrotate(cx: Column, cy: Column, width: Column) -> tuple[Column, Column]:
+    """Centres in a frame that was turned by 90 degrees clockwise, from those in the turned one; width: of that."""
+    return cy, width - cx
+
+
+def boot_gate(w: Column, h: Column, frame_area: float) -> Column:
+    """Boxes that a first detection may have: 0.1 to 30 % of the frame, height 0.2 to 3.5 times the width."""
+    return (w * h).between(0.001 * frame_area, 0.30 * frame_area) & (h / F.greatest(w, F.lit(1e-6))).between(0.2, 3.5)
+
+
+def round_gate(w: Column, h: Column, conf: Column) -> Column:
+    return (ratio(w, h) <= 1.4) & (conf >= 0.35)
+
+
+def candidate_score(cx: Column, cy: Column, w: Column, h: Column, conf: Column, width: float, height: float) -> Column:
+    """Confidence weighed by a middling size and a central place."""
+    size = F.when((h > 80) & (h < 350) & (w > 50) & (w < 400), 1.0).otherwise(0.2)
+    central = F.greatest(F.lit(0.0), 1 - (F.abs(cx - width / 2) / (width / 2) + F.abs(cy - height / 2) / (height / 2)) / 2)
+    return conf * (0.4 + 0.6 * size) * (0.5 + 0.5 * central)
+
+
+def brightness_class(brightness: Column, deviation: Column) -> Column:
+    return F.when(brightness < 80, "dark").when(brightness > 140, "bright").when(deviation < 3000, "low_contrast").otherwise("normal")
+
+
+def plausible_speed(mcv: Column, low: float = 0.05, high: float = 2.5) -> tuple[Column, Column]:
+    """Whether a mean velocity is outside the plausible range, and the velocity clipped to it."""
+    return ~mcv.between(low, high), clip(mcv, low, high)
+
+
+def in_crop(cx: Column, cy: Column, w: Column, h: Column, x0: Column, y0: Column, width: Column, height: Column) -> tuple[Column, Column, Column, Column]:
+    """A box's centre and sizes as shares of a crop at (x0, y0), after clipping to it."""
+    cut = lambda c, size: F.greatest(F.lit(0.0), F.least(size, c))
+    a, b, c, d = cut(cx - w / 2 - x0, width), cut(cy - h / 2 - y0, height), cut(cx + w / 2 - x0, width), cut(cy + h / 2 - y0, height)
+    return (a + c) / 2 / width, (b + d) / 2 / height, (c - a) / width, (d - b) / height

@@ -150,71 +150,71 @@ def fixed_step_filter(df: DataFrame, key: str, order: str, value: str, dt: float
 
 
 def associate(df: DataFrame, key: str, order: str, reach: float = 400.0, anchor_frames: int = 5, timeout_frames: int = 15) -> DataFrame:
-    """States of a target's detections (cx, cy; null where there is none): (key, order, state, valid, gap)."""
+    """States of a target's detections (cx, cy; null where there is none): (key, order, state, valid, gap, cx, cy, is_anchor). A target is anchored at the
+    median of its first detections; lost, it is held at the anchor's height; found in time it has RECOVERED, later it has DRIFTED and is anchored anew."""
 
     def start():
-        state, seen, anchor, lost = "INIT", [], None, 0
+        state, seen, anchor, lost, held = "INIT", [], (0.0, 0.0), 0, None
 
         def blend(a, x, y):
             return (a * x + (1 - a) * anchor[0], a * y + (1 - a) * anchor[1])
 
         def step(i, x, y):
-            nonlocal state, seen, anchor, lost
+            nonlocal state, seen, anchor, lost, held
             there = not missing(x) and not missing(y)
-            if state == "INIT":
+            x, y = (x, y) if there else (None, None)
+            if state in ("INIT", "ANCHORING"):
                 if there:
-                    state, seen = "ANCHORING", [(x, y)]
-                return [(i, state, there, 0)]
-            if state == "ANCHORING":
-                if there:
-                    seen.append((x, y))
+                    state, seen = "ANCHORING", [*seen, (x, y)]
                 if len(seen) >= anchor_frames:
-                    state, anchor = "TRACKING", (median(a for a, _ in seen), median(b for _, b in seen))
-                return [(i, state, there, 0)]
+                    state, anchor, seen = "TRACKING", (median(a for a, _ in seen), median(b for _, b in seen)), []
+                return [(i, state, there, 0, x, y, there)]
             if state == "TRACKING":
                 if not there:
-                    state, lost = "LOST", i
+                    state, lost, held = "LOST", i, anchor[1]
                 elif math.hypot(x - anchor[0], y - anchor[1]) < reach:
                     anchor = blend(0.7, x, y)
-                return [(i, state, there, 0)]
+                return [(i, state, there, 0, x, y, False)]
             gap = i - lost
             if not there:
-                return [(i, "DRIFTED" if gap > timeout_frames else "LOST", False, gap)]
+                return [(i, "LOST", True, gap, None, held, False)]
             if gap <= timeout_frames:
                 state, anchor = "TRACKING", blend(0.5, x, y)
-                return [(i, "RECOVERED", True, gap)]
+                return [(i, "RECOVERED", True, gap, x, y, False)]
             state, seen = "ANCHORING", [(x, y)]
-            return [(i, "ANCHORING", True, gap)]
+            return [(i, "DRIFTED", True, gap, x, y, True)]
 
         return step
 
-    return fold(df, key, [order], [order, "cx", "cy"], f"{order} long, state string, valid boolean, gap long", start)
+    return fold(df, key, [order], [order, "cx", "cy"], f"{order} long, state string, valid boolean, gap long, cx double, cy double, is_anchor boolean", start)
 
 
 def bottoms(df: DataFrame, key: str, order: str, value: str, radius: float, arm: float = 1.5, back: float = 0.3, frames: int = 4) -> DataFrame:
-    """Triggers after the lowest point (largest value, y down) of each descent: armed by a descent of arm radii, fired when for so many frames
-    the value has been back radii above the lowest. (key, order, bottom, at)."""
+    """Triggers after the lowest point (largest value, y down) of each descent: (key, order, bottom, at). A descent of arm radii from the top arms; it fires when
+    for so many frames in a row the value has been back radii above the lowest. Then the value must climb arm radii, to a new top, before the next descent counts."""
 
     def start():
-        top, low, low_at, armed, held = math.inf, -math.inf, 0, False, 0
+        up, top, low, low_at, armed, held, high = False, None, 0.0, 0, False, 0, 0.0
 
         def step(i, y):
-            nonlocal top, low, low_at, armed, held
+            nonlocal up, top, low, low_at, armed, held, high
             if missing(y):
                 return []
-            if y > low:
+            if top is None:
+                top, low, low_at = y, y, i
+            elif up:
+                high = min(high, y)
+                if low - high >= arm * radius:
+                    up, top, low, low_at = False, high, high, i
+            elif y > low:
                 low, low_at, held = y, i, 0
-            if not armed:
-                if y < top:
-                    top, low, low_at = y, y, i
-                armed = low - top >= arm * radius
-                return []
-            held = held + 1 if low - y >= back * radius else 0
-            if held < frames:
-                return []
-            found = (i, low, low_at)
-            top, low, low_at, armed, held = y, y, i, False, 0
-            return [found]
+                armed = armed or low - top >= arm * radius
+            elif armed:
+                held = held + 1 if low - y >= back * radius else 0
+                if held >= frames:
+                    up, armed, held, high = True, False, 0, y
+                    return [(i, low, low_at)]
+            return []
 
         return step
 

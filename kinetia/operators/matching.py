@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ def pair_equal_count(truth: DataFrame, pred: DataFrame, key: str) -> DataFrame:
 
 
 def pair_greedy(truth: DataFrame, pred: DataFrame, key: str) -> DataFrame:
-    """Each truth, in order, takes the nearest prediction that is left, the first of equals. A fold that holds a key's free predictions."""
+    """Each truth, in order, takes the nearest prediction that is left, the first of equals. A fold that holds a key's free predictions, sorted: a
+    truth costs a bisection, not a scan."""
     both = truth.select(key, "pos", F.col("gt").alias("x"), F.lit(True).alias("is_gt")).unionByName(pred.select(key, "pos", F.col("pred").alias("x"), F.lit(False).alias("is_gt")))
 
     def start():
@@ -32,10 +35,14 @@ def pair_greedy(truth: DataFrame, pred: DataFrame, key: str) -> DataFrame:
 
         def step(is_gt, pos, x):
             if not is_gt:
-                free.append(x)
+                insort(free, (x, pos))
             elif free:
-                at = min(range(len(free)), key=lambda i: (abs(free[i] - x), i))
-                return [(pos, x, free.pop(at))]
+                k = bisect_left(free, (x, -1))
+                near = [k] if k < len(free) else []
+                if k:
+                    near.append(bisect_left(free, (free[k - 1][0], -1)))  # of equal values the first prediction
+                at = min(near, key=lambda i: (abs(free[i][0] - x), free[i][1]))
+                return [(pos, x, free.pop(at)[0])]
             return []
 
         return step
@@ -54,12 +61,10 @@ def outside(points: DataFrame, intervals: DataFrame, key: str, at: str, bucket:
 def asof(left: DataFrame, right: DataFrame, key: str, at: str, after: float = 0.0, forward: bool = True) -> DataFrame:
     """left with ``found``: the first time of right beyond at + after, strictly (forward), or the last one at or before it. One window over both, no range join."""
     both = left.withColumn("_t", F.col(at) + after).withColumn("_right", F.lit(False)).unionByName(right.select(key, F.col(at).alias("_t")).withColumn("_right", F.lit(True)), allowMissingColumns=True)
-    # of equal times right's rows come first: not beyond, but at
-    w = Window.partitionBy(key).orderBy("_t", F.desc("_right"))
-    w = w.rowsBetween(1, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, -1)
-    held = F.when(F.col("_right"), F.col("_t"))
-    found = F.first(held, True) if forward else F.last(held, True)
-    return both.withColumn("found", found.over(w)).where("not _right").drop("_t", "_right")
+    # of equal times right's rows come first: not beyond, but at. Forward is backward in the reverse order, whose frames grow with the rows
+    w = Window.partitionBy(key).orderBy(F.desc("_t"), F.col("_right")) if forward else Window.partitionBy(key).orderBy("_t", F.desc("_right"))
+    found = F.last(F.when(F.col("_right"), F.col("_t")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return both.withColumn("found", found).where("not _right").drop("_t", "_right")
 
 
 def far_from(left: DataFrame, right: DataFrame, key: str, at: str, reach: float) -> DataFrame:
@@ -82,13 +87,13 @@ def differences(sets: dict[str, DataFrame], column: str) -> DataFrame:
 
 def suppress(boxes: DataFrame, key: str, limit: float) -> DataFrame:
     """Non-maximum suppression of a frame's boxes: by confidence, then pos; a box goes if a kept one overlaps it by more than limit. A fold over the frame's few boxes."""
+    from kinetia.functions.columns import corners, iou
+
     box = F.struct((-F.col("conf")).alias("o"), "pos", "cx", "cy", "w", "h", "conf")
     grouped = boxes.groupBy(key).agg(F.array_sort(F.collect_list(box)).alias("all"))
 
     def overlap(a, b):
-        wide = lambda p, s: F.greatest(F.lit(0.0), F.least(a[p] + a[s] / 2, b[p] + b[s] / 2) - F.greatest(a[p] - a[s] / 2, b[p] - b[s] / 2))
-        both = wide("cx", "w") * wide("cy", "h")
-        return both > limit * (a["w"] * a["h"] + b["w"] * b["h"] - both)
+        return iou(*(corners(x["cx"], x["cy"], x["w"], x["h"]) for x in (a, b))) > limit
 
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, b: F.when(F.exists(acc, lambda a: overlap(a, b)), acc).otherwise(F.concat(acc, F.array(b))))
     return grouped.select(key, F.explode(kept).alias("b")).select(key, "b.pos", "b.cx", "b.cy", "b.w", "b.h", "b.conf")
@@ -111,3 +116,31 @@ def quota(df: DataFrame, key: str, category: str, order: list[str], quotas: dict
     most = F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv))
     n = F.row_number().over(Window.partitionBy(key, category).orderBy(*order))
     return df.withColumn("_n", n).where(F.col("_n") <= F.coalesce(F.try_element_at(most, F.col(category)), F.lit(0))).drop("_n")
+
+
+def top(boxes: DataFrame, key: str, k: int, by: str = "conf") -> DataFrame:
+    """Each key's k boxes with the largest by, numbered from 1; of equals the first."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(by), "pos"))
+    return boxes.withColumn("n", n).where(F.col("n") <= k)
+
+
+def clear_of(spans: DataFrame, others: DataFrame, key: str, bucket: int = 256) -> DataFrame:
+    """Spans (key, start, end, inclusive) that overlap none of the others. Both are cut at buckets, so a span meets those of its buckets only."""
+    cut = lambda df: df.select(key, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))).alias("_b"))
+    a, b = cut(spans).alias("a"), cut(others).alias("b")
+    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._b") == F.col("b._b")) & (F.col("a.start") <= F.col("b.end")) & (F.col("a.end") >= F.col("b.start"))
+    return spans.join(a.join(b, on, "left_semi").select(key, "start", "end").distinct(), [key, "start", "end"], "left_anti")
+
+
+def expand(spans: DataFrame, key: str, last: DataFrame | None = None) -> DataFrame:
+    """(key, idx): the distinct rows of overlapping inclusive spans, none below 0 and, with last (key, last), none beyond it."""
+    df = spans if last is None else spans.join(last, key).withColumn("end", F.least("end", "last"))
+    df = df.withColumn("start", F.greatest(F.col("start"), F.lit(0))).where("start <= end")
+    return df.select(key, F.explode(F.sequence("start", "end")).alias("idx")).distinct()
+
+
+def near_prediction(boxes: DataFrame, key: str, x: str, y: str, speed: str, missed: str, reach: float = 150.0, k: int = 2) -> DataFrame:
+    """The k boxes of each key nearest to where a track must be: (x, y + speed for each missed frame and this one), nearer than reach."""
+    dx, dy = F.col("cx") - F.col(x), F.col("cy") - (F.col(y) + F.col(speed) * (F.col(missed) + 1))
+    df = boxes.withColumn("dist", F.sqrt(dx * dx + dy * dy)).where(F.col("dist") < reach)
+    return df.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("dist", "pos"))).where(F.col("n") <= k)

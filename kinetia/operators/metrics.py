@@ -98,20 +98,37 @@ def bias_bands(pairs: DataFrame, edges: list[float]) -> DataFrame:
     return pairs.withColumn("band", band).where("band is not null").groupBy("band").agg(F.count("*").alias("n"), F.avg(e).alias("bias"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
-def count_check(truth: DataFrame, pred: DataFrame, key: str) -> DataFrame:
-    """Keys' counts of truths and predictions, and whether they differ by one at most."""
-    n = truth.groupBy(key).agg(F.count("*").alias("n_gt")).join(pred.groupBy(key).agg(F.count("*").alias("n_pred")), key, "left")
-    n = n.withColumn("n_pred", F.coalesce("n_pred", F.lit(0)))
-    return n.withColumn("count_ok", F.abs(F.col("n_pred") - F.col("n_gt")) <= 1).withColumn("false_reject", F.col("n_pred") == 0)
+def counts(truth: DataFrame, pred: DataFrame, key: str) -> DataFrame:
+    """(key, n_gt, n_pred) of all keys that either has."""
+    n = truth.groupBy(key).agg(F.count("*").alias("n_gt")).join(pred.groupBy(key).agg(F.count("*").alias("n_pred")), key, "full")
+    return n.select(key, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_gt", "n_pred")))
 
 
-def golden_check(truth: DataFrame, pred: DataFrame, keys: DataFrame, key: str, tolerance: float = 0.005) -> DataFrame:
-    """Whether each key's largest error stays within tolerance and at most one prediction lacks."""
+def count_check(videos: DataFrame, truth: DataFrame, pred: DataFrame, key: str) -> DataFrame:
+    """videos (key, status, bar_only) with n_gt, n_pred, count_ok and false_reject. Counts may differ by one where both have repetitions; a video without
+    predictions is right only if its status says that no plate was found and it shows a bare bar; with a plate that is a false rejection (null for others)."""
+    n = videos.join(counts(truth, pred, key), key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_gt", "n_pred")})
+    both = (F.col("n_gt") > 0) & (F.col("n_pred") > 0)
+    refused = (F.col("n_pred") == 0) & (F.col("status") == "NO_PLATE_DETECTED")
+    ok = F.when(both, F.abs(F.col("n_pred") - F.col("n_gt")) <= 1).when(refused, F.col("bar_only")).otherwise(False)
+    return n.withColumn("count_ok", ok).withColumn("false_reject", F.when(~both & refused, ~F.col("bar_only")))
+
+
+def golden_check(base: DataFrame, pred: DataFrame, base_status: DataFrame, pred_status: DataFrame, key: str, tolerance: float = 0.005, both_ways: bool = False) -> DataFrame:
+    """One row of each predicted video (key, status): compared (it has a baseline), status_match, n_base, n_pred, max_err over the pairs in order (0 without any)
+    and pass: equal status, errors within tolerance and at most one repetition too few (both_ways: or too many). Without a baseline pass is null: skipped, not failed."""
     from kinetia.operators.matching import pair_truncate
 
-    worst = pair_truncate(truth, pred, key).groupBy(key).agg(F.max(F.abs(F.col("pred") - F.col("gt"))).alias("max_err"))
-    counted = count_check(truth, pred, key).join(worst, key, "left")
-    return keys.join(counted, key).withColumn("pass", F.coalesce(F.col("max_err") <= tolerance, F.lit(False)) & (F.col("n_pred") >= F.col("n_gt") - 1))
+    worst = pair_truncate(base, pred, key).groupBy(key).agg(F.max(F.abs(F.col("pred") - F.col("gt"))).alias("max_err"))
+    n = counts(base, pred, key).withColumnRenamed("n_gt", "n_base")
+    df = pred_status.select(key, "status").join(base_status.select(key, F.col("status").alias("_base")), key, "left").join(n, key, "left").join(worst, key, "left")
+    df = df.withColumns({"n_base": F.coalesce("n_base", F.lit(0)), "n_pred": F.coalesce("n_pred", F.lit(0)), "max_err": F.coalesce("max_err", F.lit(0.0)), "compared": F.col("_base").isNotNull(), "status_match": F.col("status").eqNullSafe(F.col("_base"))})
+    lacking = F.abs(F.col("n_pred") - F.col("n_base")) <= 1 if both_ways else F.col("n_pred") >= F.col("n_base") - 1
+    return df.withColumn("pass", F.when(F.col("compared"), F.col("status_match") & (F.col("max_err") <= tolerance) & lacking)).drop("_base", "status")
+
+
+def golden_totals(checked: DataFrame) -> DataFrame:
+    return checked.agg(F.count_if(F.col("pass")).alias("n_pass"), F.count_if(~F.col("pass")).alias("n_fail"), F.count_if(~F.col("compared")).alias("n_skipped"), F.max("max_err").alias("max_err"))
 
 
 def scale_lock(samples: DataFrame, key: str, order: str, value: str, first: int = 20, diameter: float = 0.45) -> DataFrame:
@@ -145,3 +162,89 @@ def jump_summary(marked: DataFrame, key: str) -> DataFrame:
     """Counts of jumps; a jump of both kinds counts for either and for both."""
     j = F.col("jump")
     return marked.groupBy(key).agg(F.count(j).alias("total"), F.count_if(j.contains("POS")).alias("pos"), F.count_if(j.contains("SCALE")).alias("scale"), F.count_if(j == "POS+SCALE").alias("both"))
+
+
+def velocity_diagnostics(df: DataFrame, key: str, value: str, up: float = 0.01, down: float = -0.01) -> DataFrame:
+    """Range, mean and deviation of a value, how often it is above up and below down, and how often it misses."""
+    v = F.col(value)
+    return df.groupBy(key).agg(F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.count_if(v > up).alias("n_up"), F.count_if(v < down).alias("n_down"), F.count_if(v.isNull()).alias("n_missing"))
+
+
+def coverage_gate(covered: DataFrame, key: str) -> DataFrame:
+    """covered: coverage() with n_jumps. jump_rate (of detected frames), and whether the video passes: present frames found, no critical gap, few jumps."""
+    rate = F.when(F.col("n_detected") > 0, F.col("n_jumps") / F.col("n_detected")).otherwise(0.0)
+    return covered.withColumn("jump_rate", rate).withColumn("pass_all", (F.col("vdr_present") >= 0.995) & (F.col("critical") == 0) & (F.col("jump_rate") <= 0.005))
+
+
+def coverage_summary(gated: DataFrame) -> DataFrame:
+    """Of a data set: means and extremes of the coverage, gaps, jumps, and how many videos are whole, kept and passed."""
+    c = F.col
+    return gated.agg(
+        F.count("*").alias("n_videos"), F.avg("vdr").alias("vdr_mean"), F.min("vdr").alias("vdr_min"), F.avg("vdr_present").alias("vdr_present_mean"), F.min("vdr_present").alias("vdr_present_min"),
+        F.max("max_gap").alias("max_gap_max"), F.avg("max_gap").alias("max_gap_mean"), F.sum("track_loss").alias("track_loss_total"), F.count_if(c("track_loss") > 0).alias("track_loss_videos"),
+        F.sum("critical").alias("critical_total"), F.count_if(c("critical") > 0).alias("critical_videos"), F.sum("n_jumps").alias("jumps_total"), F.avg("jump_rate").alias("jump_rate_mean"), F.max("jump_rate").alias("jump_rate_max"),
+        F.count_if(c("vdr") == 1).alias("full_coverage"), F.count_if(c("track_loss") == 0).alias("no_track_loss"), F.count_if("pass_all").alias("n_pass"),
+    )
+
+
+def detection_baseline(frames: DataFrame, key: str, position: str, least: float = 0.95) -> DataFrame:
+    """Share of frames with a position, how many lack one, the positions' span, and whether the share is enough."""
+    share = F.count(position) / F.count("*")
+    return frames.groupBy(key).agg(share.alias("share"), F.count_if(F.col(position).isNull()).alias("n_missing"), (F.max(position) - F.min(position)).alias("span"), (share >= least).alias("pass"))
+
+
+def mode_summary(rows: DataFrame, mode: str, *values: str) -> DataFrame:
+    """Means of values by mode, nulls apart, and the numbers of rows."""
+    return rows.groupBy(mode).agg(F.count("*").alias("n"), *(F.avg(v).alias(f"mean_{v}") for v in values))
+
+
+def video_errors(by_video: DataFrame, limit: float = 2.0) -> DataFrame:
+    """by_video (rmse, null without pairs): mean and median of the errors, how many there are, pass the limit or lack."""
+    return by_video.agg(F.avg("rmse").alias("mean"), F.median("rmse").alias("median"), F.count("rmse").alias("n"), F.count_if(F.col("rmse") <= limit).alias("passed"), F.count_if(F.col("rmse").isNull()).alias("no_pred"))
+
+
+def worst(by_video: DataFrame, key: str, k: int = 3) -> DataFrame:
+    return by_video.where("rmse is not null").orderBy(F.desc("rmse"), key).limit(k)
+
+
+def track_diagnostics(points: DataFrame, key: str) -> DataFrame:
+    """points (source, ncc): each source's number of frames, the share of frames with one, and the mean of positive match scores."""
+    n = F.count("*")
+    named = points.groupBy(key, "source").agg(n.alias("n"), F.sum(F.when(F.col("ncc") > 0, F.col("ncc"))).alias("s"), F.count_if(F.col("ncc") > 0).alias("k"))
+    return named.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("source").isNotNull(), F.struct("source", "n"))))).alias("sources"), (F.sum(F.when(F.col("source").isNotNull(), F.col("n"))) / F.sum("n")).alias("coverage"), F.try_divide(F.sum("s"), F.sum("k")).alias("mean_ncc"))
+
+
+def stage_profile(times: DataFrame, stage: str, ms: str) -> DataFrame:
+    return times.groupBy(stage).agg(F.count(ms).alias("n"), F.avg(ms).alias("mean"), F.stddev_pop(ms).alias("std"), F.min(ms).alias("low"), F.max(ms).alias("high"))
+
+
+def plain_quartiles(samples: DataFrame, key: str, value: str) -> DataFrame:
+    """Quartiles without interpolation: the sorted values at a quarter, half and three quarters of their number, rounded down. By ranks, so no key is gathered."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key)
+    ranked = samples.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"), (F.row_number().over(w.orderBy(value)) - 1).alias("_r"), F.count("*").over(w).alias("_n"))
+    at = lambda k: F.max(F.when(F.col("_r") == F.floor(F.col("_n") * k / 4), F.col("_v")))
+    return ranked.groupBy(key).agg(at(1).alias("q1"), at(2).alias("median"), at(3).alias("q3"))
+
+
+def state_shares(states: DataFrame, key: str) -> DataFrame:
+    """Frames of an association that are tracked, lost and anchoring, and the share that is tracked."""
+    s = F.col("state")
+    n = {"n_tracking": F.count_if(s.isin("TRACKING", "RECOVERED")), "n_lost": F.count_if(s == "LOST"), "n_anchoring": F.count_if(s.isin("ANCHORING", "DRIFTED"))}
+    return states.groupBy(key).agg(*(c.alias(k) for k, c in n.items()), (n["n_tracking"] / F.count("*")).alias("coverage"))
+
+
+def rep_velocities(points: DataFrame, reps: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """reps (key, start, end) with the mean, the mean of positive, the middle and the largest velocity of their rows. An equi-join on buckets."""
+    size = 256
+    cut = reps.select(key, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.col("end") / size))).alias("_b"))
+    p = points.select(key, F.col(order).alias("_i"), F.col(value).alias("_v"), F.floor(F.col(order) / size).alias("_b"))
+    inside = cut.join(p, [key, "_b"]).where(F.col("_i").between(F.col("start"), F.col("end")))
+    middle = F.floor((F.col("start") + F.col("end")) / 2)
+    up = F.when(F.col("_v") > 0, F.col("_v"))
+    return inside.groupBy(key, "start", "end").agg(F.avg("_v").alias("mcv"), F.coalesce(F.avg(up), F.lit(0.0)).alias("mcv_pos"), F.max(F.when(F.col("_i") == middle, F.col("_v"))).alias("mcv_mid"), F.max("_v").alias("pv"))
+
+
+def percentiles(df: DataFrame, key: str, value: str, points: tuple[int, ...] = (10, 50, 90)) -> DataFrame:
+    return df.groupBy(key).agg(*(F.percentile(value, p / 100).alias(f"p{p}") for p in points))

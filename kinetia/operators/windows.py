@@ -24,10 +24,10 @@ def longest_run(df: DataFrame, key: str, order: str, flag: Column, longer_than:
 
 def neighbours(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """prev_at, prev, next_at, next: the nearest rows before and after, the row itself included, that have a value."""
-    w = by(key, order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # the next row is the last one of the reverse order: frames that end at the current row are grown, not recomputed for each row
+    back, ahead = (Window.partitionBy(key).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col(order), F.desc(order)))
     held = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("at"), F.col(value).alias("v")))
-    df = df.withColumn("_b", F.last(held, True).over(back)).withColumn("_a", F.first(held, True).over(ahead))
+    df = df.withColumn("_b", F.last(held, True).over(back)).withColumn("_a", F.last(held, True).over(ahead))
     return df.select("*", F.col("_b.at").alias("prev_at"), F.col("_b.v").alias("prev"), F.col("_a.at").alias("next_at"), F.col("_a.v").alias("next")).drop("_b", "_a")
 
 
@@ -69,10 +69,11 @@ def sustained(df: DataFrame, key: str, order: str, value: str, frames: int, band
 
 
 def jumps(df: DataFrame, key: str, order: str, position: str, size: str, valid: Column) -> DataFrame:
-    """jump: POS, SCALE or POS+SCALE against the row just before, null where either isn't valid or nothing jumps."""
+    """jump: POS, SCALE or POS+SCALE against the row just before, null where either isn't valid, nothing jumps or that row has no size."""
     w = by(key, order)
     ok = valid & F.coalesce(F.lag(valid).over(w), F.lit(False))
     last = F.lag(size).over(w)
+    ok = ok & (last > 0)
     pos = ok & (F.abs(F.col(position) - F.lag(position).over(w)) > 0.5 * last)
     scale = ok & (F.abs(F.col(size) - last) > 0.3 * last)
     return df.withColumn("jump", F.when(pos & scale, "POS+SCALE").when(pos, "POS").when(scale, "SCALE"))
@@ -101,3 +102,44 @@ def relative_gate(df: DataFrame, key: str, value: str, share: float, least: floa
     """Rows of at least least, and at least a share of the key's largest."""
     most = df.groupBy(key).agg(F.max(value).alias("_most"))
     return df.join(most, key).where(F.col(value) >= F.greatest(F.lit(least), share * F.col("_most"))).drop("_most")
+
+
+def hold_bridge(df: DataFrame, key: str, order: str, value: str, most: int = 40) -> DataFrame:
+    """held: the value, or the last one before for up to so many missing rows, null beyond."""
+    n = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("at"), F.col(value).alias("v"))), True).over(n)
+    return df.withColumn("_l", last).withColumn("held", F.when(F.col(order) - F.col("_l.at") <= most, F.col("_l.v"))).drop("_l")
+
+
+def trim_ends(points: DataFrame, reps: DataFrame, key: str, order: str, start: bool = True, end: bool = True) -> DataFrame:
+    """reps (key, start, end) with ends moved inwards past rows whose v isn't above 0; a repetition without such a row is left with one row.
+    An equi-join of repetitions and points on buckets of the order."""
+    size = 256
+    cut = reps.select(key, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.col("end") / size))).alias("_b"))
+    p = points.select(key, F.col(order).alias("_i"), "v", F.floor(F.col(order) / size).alias("_b"))
+    inside = cut.join(p, [key, "_b"]).where(F.col("_i").between(F.col("start"), F.col("end")))
+    up = F.when(F.col("v") > 0, F.col("_i"))
+    found = inside.groupBy(key, "start", "end").agg(F.min(up).alias("_a"), F.max(up).alias("_z"))
+    new_end = F.coalesce("_z", F.col("start")) if end else F.col("end")
+    new_start = F.least(F.coalesce("_a", new_end), new_end) if start else F.col("start")
+    return found.select(key, "start", "end", new_start.alias("new_start"), new_end.alias("new_end"))
+
+
+def valleys(df: DataFrame, key: str, order: str, value: str, side: int = 8, reach: int = 60, depth: float = 0.12, apart: int = 20) -> DataFrame:
+    """(key, order, depth): least values of side rows either way, as deep as the lower of the highest values up to reach rows before and after, the row
+    included; of nearer ones than apart the deeper stays."""
+    from kinetia.operators.folds import merge_peaks
+
+    w = by(key, order)
+    v = F.col(value)
+    around = F.min(v).over(w.rowsBetween(-side, side))
+    full = (F.count("*").over(w.rowsBetween(-side, 0)) == side + 1) & (F.count("*").over(w.rowsBetween(0, side)) == side + 1)
+    deep = F.least(F.max(v).over(w.rowsBetween(-reach, 0)), F.max(v).over(w.rowsBetween(0, reach - 1))) - v
+    found = df.select(key, F.col(order).cast("long").alias(order), (full & (v <= around + 1e-9)).alias("_low"), deep.alias("depth")).where(F.col("_low") & (F.col("depth") > depth))
+    return merge_peaks(found.drop("_low"), key, order, "depth", apart + 1)
+
+
+def moving_signal(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, signal): the column of the largest peak-to-peak range, the first of equals."""
+    ranges = [F.struct((F.coalesce(F.max(c) - F.min(c), F.lit(0.0))).alias("r"), F.lit(-k).alias("k"), F.lit(c).alias("c")) for k, c in enumerate(columns)]
+    return df.groupBy(key).agg(F.array_max(F.array(*ranges)).alias("b")).select(key, F.col("b.c").alias("signal"), F.col("b.r").alias("span"))

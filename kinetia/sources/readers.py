@@ -76,4 +76,8 @@ def box_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rep_pairs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.REP_PAIRS).json(path, multiLine=True).select(F.explode("rep_pairs").alias("p")).select("p.*")
+    """Pairs of a report; a report without any can't be calibrated from and fails."""
+    df = spark.read.schema(schemas.REP_PAIRS).json(path, multiLine=True).select(F.explode("rep_pairs").alias("p")).select("p.*")
+    if df.isEmpty():
+        raise ValueError(f"no pairs in {path}")
+    return df

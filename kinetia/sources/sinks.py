@@ -21,8 +21,10 @@ def trajectory_csv(points: DataFrame, path: str) -> None:
     rounded(points, {"t_s": 5, "y_m": 5, "v_mps": 5}).select("video_id", "idx", "t_s", "y_m", "v_mps").repartition("video_id").sortWithinPartitions("video_id", "idx").write.partitionBy("video_id").csv(path, header=True)
 
 
-def manifest(points: DataFrame) -> DataFrame:
-    return points.groupBy("video_id").agg(F.count("*").alias("n_traj"), F.count_if(F.col("y_m").isNull()).alias("n_nodet"))
+def manifest(points: DataFrame, revision: str | None = None, scales: DataFrame | None = None) -> DataFrame:
+    """One row a video: numbers of points and of those without a position, the revision of the code, and, with scales (video_id, mpp, fps), these."""
+    df = points.groupBy("video_id").agg(F.count("*").alias("n_traj"), F.count_if(F.col("y_m").isNull()).alias("n_nodet")).withColumn("git_sha", F.lit(revision).cast("string"))
+    return df if scales is None else df.join(scales.select("video_id", "mpp", "fps"), "video_id", "left")
 
 
 def table_json(df: DataFrame, path: str) -> None:
@@ -30,8 +32,32 @@ def table_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def per_rep_csv(pairs: DataFrame, path: str) -> None:
-    pairs.write.csv(path, header=True)
+def per_rep_csv(pairs: DataFrame, path: str, videos: DataFrame | None = None) -> None:
+    """Pairs with their videos' columns, each file with the mark that spreadsheets look for in UTF-8."""
+    df = pairs if videos is None else pairs.join(videos, "video_id", "left")
+    first = df.columns[0]
+    df.withColumnRenamed(first, "\ufeff" + first).write.csv(path, header=True)
+
+
+def detection_json(frames: DataFrame, config: dict, path: str) -> None:
+    """Raw detections (video_id, frame_idx, pts_s, candidates), one object a video, with the detector's settings. A video's frames are one row."""
+    df = frames.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("frame_idx", "pts_s", "candidates"))).alias("frames"))
+    df.withColumn("config", F.create_map(*(F.lit(str(x)) for kv in sorted(config.items()) for x in kv))).write.json(path)
+
+
+def markdown(report: DataFrame, most: int = 1000) -> str:
+    """A report of a few rows as a table; more than most is refused, not cut."""
+    rows = report.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
+    return "\n".join([line(report.columns), line("---" for _ in report.columns), *map(line, rows)])
+
+
+def as_strings(df: DataFrame) -> DataFrame:
+    """All columns as strings, as the exchange format has them; what isn't a finite number is "null"."""
+    text = lambda c, t: F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), "null").otherwise(F.col(c).cast("string")) if t in ("double", "float") else F.col(c).cast("string")
+    return df.select(*(F.coalesce(text(c, t), F.lit("null")).alias(c) for c, t in df.dtypes))
 
 
 def bland_altman_points(pairs: DataFrame) -> DataFrame:

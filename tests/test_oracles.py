@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from kinetia.plans.queries import ORACLES, QUERIES
+from kinetia.plans.registry import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DIR).exists(), reason="data not there")
