@@ -82,13 +82,13 @@ def trailing_event(events: DataFrame, ends: DataFrame, key: str, order: str, fps
     return events.unionByName(more.select(key, F.col("_at").alias(order), F.lit("t").alias("kind"), F.col("_v").alias("value")))
 
 
-def repetitions(df: DataFrame, key: str, order: str, value: str, fps: float, scale: float, clean: int = 30, max_gap: int = 10, prominence: float = 12.0, seconds: tuple[float, float] = (0.25, 4.5), least_rom: float = 0.012, keep: float = 0.45, least_speed: float = 0.10) -> DataFrame:
+def repetitions(df: DataFrame, key: str, order: str, value: str, fps: float, scale: float, window: int = 15, clean: int = 30, max_gap: int = 10, prominence: float = 12.0, seconds: tuple[float, float] = (0.25, 4.5), least_rom: float = 0.012, keep: float = 0.45, least_speed: float = 0.10) -> DataFrame:
     """The older rule over y in pixels, downwards: small gaps filled, the longest clean run smoothed, peaks merged, bottoms paired with the tops that follow, gates by
     duration, range and speed, then by the video's largest range: (key, start, end, rom, mcv, mcv_pos, mcv_mid, pv)."""
     filled = windows.interpolate(df.select(key, order, value), key, order, value, max_gap, hold_edges=False).select(key, order, F.col(f"{value}_filled").alias("y"))
     run = windows.longest_run(filled, key, order, F.col("y").isNotNull(), clean).select(key, F.col("start").alias("_a"), F.col("end").alias("_z"))
     inside = filled.join(run, key).where(F.col(order).between(F.col("_a"), F.col("_z"))).select(key, order, "y")
-    s = savgol(savgol(inside, key, order, "y", 15, 3), key, order, "y", 15, 3, 1, "_d").select(key, order, "smooth", (-F.col("_d") * fps * scale).alias("v"))
+    s = savgol(savgol(inside, key, order, "y", window, 3), key, order, "y", window, 3, 1, "_d").select(key, order, "smooth", (-F.col("_d") * fps * scale).alias("v"))
     near, apart = int(fps * seconds[0]), max(6, int(fps * 0.33))
     events = None
     for kind, sign in (("b", 1), ("t", -1)):

@@ -273,10 +273,10 @@ def test_older_segmentation(spark):
 
     y = []
     for _ in range(4):
-        y += [*np.linspace(0, 120, 30), *np.linspace(120, 0, 30), *[0] * 15]
+        y += [*np.linspace(0, 120, 30, endpoint=False), *np.linspace(120, 0, 30, endpoint=False), *[0] * 15]
     gap = [None if 120 <= k < 200 else v for k, v in enumerate(y + y)]
-    got = peaks.repetitions(series(spark, {"set": y, "gap": gap, "flat": [0.0] * 90}), "k", "i", "y", 30.0, 0.0045).collect()
-    assert [r["k"] for r in got].count("set") == 4 and all(abs(r["mcv"] - 0.54) < 0.15 * 0.54 for r in got if r["k"] == "set")
+    got = peaks.repetitions(series(spark, {"set": y[:-15], "gap": gap, "flat": [0.0] * 90}), "k", "i", "y", 30.0, 0.0045, 11).collect()
+    assert [r["k"] for r in got].count("set") == 4 and all(abs(r[c] - 0.54) < 0.15 * 0.54 for r in got for c in ("mcv", "mcv_mid") if r["k"] == "set")
     assert not any(r["start"] < 200 < r["end"] and r["end"] >= 120 for r in got if r["k"] == "gap") and not any(r["k"] == "flat" for r in got)
 
 
