@@ -88,7 +88,7 @@ def repetitions(df: DataFrame, key: str, order: str, value: str, fps: float, sca
     filled = windows.interpolate(df.select(key, order, value), key, order, value, max_gap, hold_edges=False).select(key, order, F.col(f"{value}_filled").alias("y"))
     run = windows.longest_run(filled, key, order, F.col("y").isNotNull(), clean).select(key, F.col("start").alias("_a"), F.col("end").alias("_z"))
     inside = filled.join(run, key).where(F.col(order).between(F.col("_a"), F.col("_z"))).select(key, order, "y")
-    s = savgol(savgol(inside, key, order, "y", window, 3), key, order, "y", window, 3, 1, "_d").select(key, order, "smooth", (-F.col("_d") * fps * scale).alias("v"))
+    s = savgol(savgol(inside, key, order, "y", window, 3), key, order, "y", window, 3, 1, "_d").select(key, order, F.round("smooth", 9).alias("smooth"), (-F.col("_d") * fps * scale).alias("v"))  # equal tops are equal whatever the order of sums
     near, apart = int(fps * seconds[0]), max(6, int(fps * 0.33))
     events = None
     for kind, sign in (("b", 1), ("t", -1)):
