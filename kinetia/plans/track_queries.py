@@ -165,11 +165,11 @@ def cluster_consensus(spark, d):
     return rounded(found.withColumnRenamed("video", "frame"))
 
 
-@query(f"""WITH c AS ({ORACLES['single_linkage_1d']}), {BOXES}, s AS (SELECT frame, cluster, count(*) * stddev_pop(cx + cy * 0.013 + h * 0.0017) AS score, count(*) AS n FROM c JOIN b USING (frame, pos) GROUP BY 1, 2)
+@query(f"""WITH c AS ({ORACLES['single_linkage_1d']}), {BOXES}, s AS (SELECT frame, cluster, count(*) * stddev_pop(cx + cy * 0.013 + h / 703) AS score, count(*) AS n FROM c JOIN b USING (frame, pos) GROUP BY 1, 2)
 SELECT frame, cluster, round(score, 6) AS score, n FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, cluster) AS k FROM s) WHERE k = 1""")
 def liveliest_cluster(spark, d):
     c = windows.single_linkage(boxes(spark, d), "frame", "cx", 50.0, "pos")
-    return rounded(tracks.liveliest_cluster(c.withColumn("x", F.col("cx") + F.col("cy") * 0.013 + F.col("h") * 0.0017), "frame", "x"))
+    return rounded(tracks.liveliest_cluster(c.withColumn("x", F.col("cx") + F.col("cy") * 0.013 + F.col("h") / 703), "frame", "x"))
 
 
 @query(f"""WITH {SHOTS}, m AS (SELECT video_id, pos AS track, count(*) AS hits, stddev_pop(cy) AS motion, max_by(conf, frame_idx) AS conf FROM s GROUP BY 1, 2 HAVING count(*) >= 5)
