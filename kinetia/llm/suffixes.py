@@ -2,15 +2,18 @@
 
 Suffixes are kept at content-selected places only: those whose eight-word gram has the least hash of some ``window`` grams in
 a row. A passage of ``least`` words has such a place in its first window, and the ``prefix`` words that follow there are in
-the passage too. Suffixes are range-partitioned and sorted by that prefix, then by the words after it and before it, so equal
-prefixes are neighbours and a frequent one is split over several partitions. Neighbours are compared and extended to the left
-and to the right as far as the rest of ``least`` words; longer matches hold further places, whose spans join them.
+the passage too. Suffixes are range-partitioned and sorted by that prefix, then by the words after it and by what surrounds it, so
+equal prefixes are neighbours and a frequent one is split over several partitions. Neighbours are compared and extended to the left
+and to the right as far as the rest of ``least`` words; longer matches hold further places, whose spans join them. How far two
+suffixes agree is told by the windows of ``least`` words around their prefixes: each suffix carries 32 bits of every such window's
+hash, besides the prefix's 64. The words to the right are carried by 4 bits each, for the order only: neighbours agree in them at
+least as far as any two suffixes do in their words, which tells the windows that may be shared.
 
 Two suffixes with one prefix, and suffixes whose surroundings are all equal, are settled by that comparison. Where more than
 two differ, or where the edge of a partition or of what a task holds at once may cut a group, the one match that reaches ``least`` words need not be a neighbour:
 each distinct surrounding then gives its windows of ``least`` words around the prefix, and equal windows of different rows
 are found by one pre-aggregated grouping. So the spans are exactly the words of all ``least``-word windows that occur in two
-rows or more. Words of the surroundings are compared by 16 bits (prefixes by 64): one edge in 65,000 may be a word too long.
+rows or more, as far as hashes of 96 bits for a window tell texts apart.
 
 Defined results: null and wordless texts, and texts of fewer than ``least`` words, have no spans; passages that repeat within
 one row only don't count; very long texts are read whole; doc_id keeps its type; repeated rows match each other, also those that share a doc_id or have none; extra columns are
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from kinetia.llm import tokens
 from kinetia.llm.common import partitions, stored, table, typed
 
-SUFFIXES = "key long, right binary, left binary, row long, doc_id long, pos int"
+SUFFIXES = "key long, right binary, around binary, row long, doc_id long, pos int"
 FOUND = "window long, many boolean, row long, doc_id long, start int, end int"
 MANY = 300_000  #: suffixes held before the groups that are complete are compared
 
@@ -76,33 +79,44 @@ def _suffixes(params: Params):
     side = params.least - params.prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps = np.arange(side)
         for b, data, bounds in tokens.chunks(batches, most=1_500_000):
             w = tokens.words(data, bounds, lower=False)
             at = places(w.hash, w.first, params)
             if not len(at):
                 continue
             doc = w.doc[at]
-            key = tokens.Runs(w.hash).hash(at, params.prefix).view(np.int64)
-            code = (w.hash >> np.uint64(48)).astype(np.uint16)
+            runs = tokens.Runs(w.hash)
+            key = runs.hash(at, params.prefix).view(np.int64)
+            code = (w.hash >> np.uint64(60)).astype(np.uint8)
             code[code == 0] = 1  # 0 stands for no word
             begin, end = w.first[doc], w.first[doc + 1]
-            right = at[:, None] + params.prefix + steps
-            right = np.where(right < end[:, None], code[np.minimum(right, len(code) - 1)], 0).astype(">u2")
-            left = at[:, None] - 1 - steps  # the nearest word first
-            left = np.where(left >= begin[:, None], code[np.maximum(left, 0)], 0).astype(">u2")
-            cells = np.arange(len(at) + 1, dtype=np.int32) * 2 * side
-            binary = lambda x: pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cells), pa.py_buffer(x.tobytes())])
+            right = at[:, None] + params.prefix + np.arange(side)
+            right = np.where(right < end[:, None], code[np.minimum(right, len(code) - 1)], 0).astype(np.uint8)
+            right = right[:, ::2] << 4 | np.pad(right[:, 1::2], ((0, 0), (0, side % 2)))
+            start = at[:, None] - np.arange(side + 1)  # of the windows, the one that begins with the prefix first
+            whole = (start >= begin[:, None]) & (start + params.least <= end[:, None])
+            check = (runs.hash(np.where(whole, start, 0), params.least) >> np.uint64(32)).astype("<u4")
+            around = np.where(whole, np.maximum(check, 1), 0).astype("<u4")  # 0 stands for no window
             ids = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(key), binary(right), binary(left), b.column("row").take(ids), b.column("doc_id").take(ids), pa.array((at - begin).astype(np.int32))], names=["key", "right", "left", "row", "doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), _binary(right), _binary(around), b.column("row").take(ids), b.column("doc_id").take(ids), pa.array((at - begin).astype(np.int32))], names=["key", "right", "around", "row", "doc_id", "pos"])
 
     return run
 
 
-def _codes(column: pa.Array, side: int) -> np.ndarray:
+def _binary(cells: np.ndarray) -> pa.Array:
+    """Each row of cells as one value."""
+    n, width = len(cells), cells.itemsize * cells.shape[1]
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(cells).tobytes())])
+
+
+def _cells(column: pa.Array, kind: str, width: int) -> np.ndarray:
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int32)[column.offset]
-    return np.frombuffer(data, ">u2", len(column) * side, at).reshape(len(column), side).astype(np.uint16)
+    return np.frombuffer(data, kind, len(column) * width, at).reshape(len(column), width)
+
+
+def _nibbles(cells: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([cells >> 4, cells & 15], axis=2).reshape(len(cells), -1)[:, :n]
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,11 +130,11 @@ def _compare(t: pa.Table, params: Params, opens: bool, closes: bool) -> list[pa.
     t = t.combine_chunks()
     one = lambda name: t.column(name).chunk(0)
     key, row, pos = (one(c).to_numpy() for c in ("key", "row", "pos"))
-    right, left = _codes(one("right"), side), _codes(one("left"), side)
+    around = _cells(one("around"), "<u4", side + 1)
     fresh = np.append(True, key[1:] != key[:-1])
     group = np.cumsum(fresh) - 1
     size = np.bincount(group)
-    other = np.append(True, (right[1:] != right[:-1]).any(1) | (left[1:] != left[:-1]).any(1)) | fresh
+    other = np.append(True, (around[1:] != around[:-1]).any(1)) | fresh
     run = np.cumsum(other) - 1
     first_of_run = np.nonzero(other)[0]
     same_row = row == row[first_of_run[run]]
@@ -128,20 +142,19 @@ def _compare(t: pa.Table, params: Params, opens: bool, closes: bool) -> list[pa.
     open_ = np.zeros(len(size), bool)
     open_[0] |= opens
     open_[-1] |= closes
-    n_left, n_right = (left != 0).sum(1), (right != 0).sum(1)
     settled = many[run]
-    start, end = pos - n_left, pos + params.prefix + n_right
+    furthest = lambda found: (side - np.argmax(found[:, ::-1], axis=1), np.argmax(found, axis=1))  # noqa: E731  # to the left: the last window found, to the right: the first
+    l, r = furthest(around[settled] != 0)
+    start, end = pos[settled] - l, pos[settled] - r + params.least
     # two suffixes with one prefix
     a = np.nonzero(fresh & (size[group] == 2) & ~open_[group])[0]
     a = a[(row[a] != row[a + 1]) & ~settled[a]]
-    l, r = _agree(left[a], left[a + 1]), _agree(right[a], right[a + 1])
-    ok = l + params.prefix + r >= params.least
-    a, l, r = a[ok], l[ok], r[ok]
+    same = (around[a] == around[a + 1]) & (around[a] != 0)
+    a, same = a[same.any(1)], same[same.any(1)]
+    l, r = furthest(same)
     at = np.concatenate([np.nonzero(settled)[0], a, a + 1])
-    lo = np.concatenate([start[settled], pos[a] - l, pos[a + 1] - l])
-    hi = np.concatenate([end[settled], pos[a] + params.prefix + r, pos[a + 1] + params.prefix + r])
-    keep = hi - lo >= params.least
-    at, lo, hi = at[keep], lo[keep], hi[keep]
+    lo = np.concatenate([start, pos[a] - l, pos[a + 1] - l])
+    hi = np.concatenate([end, pos[a] - r + params.least, pos[a + 1] - r + params.least])
     doc = one("doc_id")
 
     def rows(window, many_, i, lo, hi):
@@ -154,22 +167,17 @@ def _compare(t: pa.Table, params: Params, opens: bool, closes: bool) -> list[pa.
     i = np.nonzero((other | ~settled) & wanted[group])[0]
     if len(i):
         # no suffix agrees with one to the right further than with a neighbour
+        right = _nibbles(_cells(one("right"), "u1", (side + 1) // 2), side)
         near = np.zeros(n, np.int64)
         if n > 1:
             agree = np.where(fresh[1:], 0, _agree(right[1:], right[:-1]))
             near[1:] = agree
             near[:-1] = np.maximum(near[:-1], agree)
         reach = np.where(open_[group], side, near)
-        sums = np.zeros((len(i), side + 1), np.uint64)  # of the nearest words on the left
-        tail = np.zeros((len(i), side + 1), np.uint64)
-        for k in range(side):
-            sums[:, k + 1] = tokens.mix(sums[:, k] + left[i, k].astype(np.uint64))
-            tail[:, k + 1] = tokens.mix(tail[:, k] + right[i, k].astype(np.uint64) + np.uint64(1 << 20))
         for k in range(side + 1):  # words on the left
-            ok = (k <= n_left[i]) & (side - k <= n_right[i]) & (side - k <= reach[i])
-            if ok.any():
-                j = i[ok]
-                h = tokens.mix(key[j].view(np.uint64) ^ tokens.mix(sums[ok, k] * np.uint64(3) + tail[ok, side - k] + np.uint64(k)))
+            j = i[(around[i, k] != 0) & (side - k <= reach[i])]
+            if len(j):
+                h = tokens.mix(key[j].view(np.uint64) ^ tokens.mix(around[j, k].astype(np.uint64) << np.uint64(8) | np.uint64(k)))
                 out.append(rows(pa.array(h.view(np.int64)), settled[j], j, pos[j] - k, pos[j] - k + params.least))
     return out
 
@@ -201,13 +209,13 @@ def repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """(row, doc_id, start, end): the words, by number from 0 and end exclusive, of each row that lie in a passage of ``least`` words which another row has too."""
     held = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     suffixes = held.mapInArrow(_suffixes(params), typed(SUFFIXES, docs, "doc_id"))
-    order = ["key", "right", "left", "row", "pos"]
+    order = ["key", "right", "around", "row", "pos"]
     placed = suffixes.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     found = stored(placed.mapInArrow(_neighbours(params), typed(FOUND, docs, "doc_id")), "suffix-matches")
     windows = found.where("window is not null")
     shared = windows.groupBy("window").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.max("many").alias("many")).where("a != b or many").select("window")
     more = windows.join(shared, "window", "left_semi")
-    spans = found.where("window is null").unionByName(more).groupBy("row", "doc_id", "start").agg(F.max("end").alias("end"))
+    spans = found.where("window is null").unionByName(more)
     by = Window.partitionBy("row").orderBy("start")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     parted = spans.withColumn("fresh", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("part", F.sum("fresh").over(by))

@@ -1,20 +1,16 @@
 import random
 from collections import defaultdict
 
-import numpy as np
 import pytest
 
-from kinetia.llm import suffixes, tokens
+from kinetia.llm import suffixes
 from tests.llm.helpers import awkward, frame, prose
 
 
-def brute(texts, least, coded=True):
-    """Words of all windows that occur in two rows, as merged spans. coded: words that agree in the operator's 16 bits are equal."""
+def brute(texts, least):
+    """Words of all windows that occur in two rows, as merged spans."""
     where = defaultdict(set)
     rows = [[] if t is None else t.replace("\x0b", " ").replace("\x0c", " ").split() for t in texts]
-    if coded:
-        code = {w: max(1, int(tokens.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), lower=False).hash[0]) >> 48) for w in {w for r in rows for w in r}}
-        rows = [[code[w] for w in r] for r in rows]
     for k, words in enumerate(rows):
         for i in range(len(words) - least + 1):
             where[tuple(words[i : i + least])].add(k)
@@ -56,7 +52,6 @@ def test_spans_match_brute_force(spark, n_partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     spans = {(r["doc_id"], r["start"], r["end"]) for r in got}
     assert len(got) > 100 and spans == brute(texts, 50) and len(got) == len(spans)
-    assert len(spans - brute(texts, 50, coded=False)) <= 3  # a word too long
 
 
 def test_few_held_at_once(spark, monkeypatch):
