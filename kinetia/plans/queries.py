@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetia.functions import columns as C
@@ -26,9 +26,16 @@ def query(sql: str | None = None):
     return add
 
 
+def halves_away(c: Column, digits: int) -> Column:
+    """A double rounded as SQL's round does it, in binary: F.round goes by its decimal form, so ties would differ."""
+    scaled = c * 10.0**digits
+    near = F.signum(c) * F.floor(F.abs(scaled) + 0.5) / 10.0**digits
+    return F.when(F.abs(scaled) < 2.0**52, near).otherwise(F.rint(scaled) / 10.0**digits)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Sums differ in their last place with their order, so doubles are compared rounded. Counts are longs."""
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(halves_away(F.col(c), digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -442,9 +449,9 @@ UNION ALL SELECT video_id, idx, t, CASE WHEN z IS NULL THEN y ELSE y + p00 / s *
  FROM (SELECT *, p00 + 0.0004::DOUBLE AS s FROM (SELECT video_id, idx, t, z, y + v * d + a * e AS y, v + a * d AS v, a, m00 + d * m01 + e * m02 + 25.0 * e * e AS p00, m01 + d * m02 + 25.0 * e * d AS p01, m02 + 25.0 * e AS p02, m11 + d * m12 + 25.0 * d * d AS p11, m12 + 25.0 * d AS p12, p22 + 25.0::DOUBLE AS p22
  FROM (SELECT *, p00 + d * p01 + e * p02 AS m00, p01 + d * p11 + e * p12 AS m01, p02 + d * p12 + e * p22 AS m02, p11 + d * p12 AS m11, p12 + d * p22 AS m12 FROM (SELECT *, d * d / 2 AS e FROM
  (SELECT k.video_id, f.idx, f.t / 3600 AS t, f.y AS z, k.y, k.v, k.a, p00, p01, p02, p11, p12, p22, CASE WHEN f.t / 3600 - k.t > 0 THEN f.t / 3600 - k.t ELSE 1.0::DOUBLE / 60 END AS d FROM k JOIN f ON f.video_id = k.video_id AND f.idx = k.idx + 1))))))
-SELECT video_id, idx, round(y, 6) AS y, round(v, 6) AS v, round(a, 6) AS a FROM k""")
+SELECT video_id, idx, round(y, 4) AS y, round(v, 4) AS v, round(a, 4) AS a FROM k""")
 def kalman_ca(spark, d):
-    return rounded(folds.physical_filter(frames(spark, d).withColumn("t", F.col("t") / 3600), "video_id", "idx", "t", "y"))
+    return rounded(folds.physical_filter(frames(spark, d).withColumn("t", F.col("t") / 3600), "video_id", "idx", "t", "y"), 4)  # states of thousands
 
 
 @query(f"""WITH RECURSIVE {FRAMES}, k AS (SELECT f.video_id, f.idx, f.t / 3600 AS t, y, 0.0::DOUBLE AS v, 0.0::DOUBLE AS a, 10.0::DOUBLE AS p00, 0.0::DOUBLE AS p01, 0.0::DOUBLE AS p02, 10.0::DOUBLE AS p11, 0.0::DOUBLE AS p12, 10.0::DOUBLE AS p22 FROM f JOIN (SELECT video_id, min(idx) AS idx FROM f WHERE y IS NOT NULL GROUP BY 1) USING (video_id, idx)
@@ -497,7 +504,7 @@ def thin_steps(spark, d):
     return rounded(folds.thin(frames(spark, d), "video_id", "idx", "t", 3600.0))
 
 
-@query(f"""WITH RECURSIVE {FRAMES}, k AS (SELECT video_id, idx, y AS x FROM f WHERE idx = 0 UNION ALL SELECT f.video_id, f.idx, CASE WHEN f.y IS NULL THEN x * 0.6::DOUBLE WHEN x IS NULL THEN f.y ELSE 0.7::DOUBLE * f.y + 0.3::DOUBLE * x END FROM k JOIN f ON f.video_id = k.video_id AND f.idx = k.idx + 1)
+@query(f"""WITH RECURSIVE {FRAMES}, k AS (SELECT video_id, idx, y AS x FROM f WHERE idx = 0 UNION ALL SELECT f.video_id, f.idx, CASE WHEN f.y IS NULL THEN x * 0.6::DOUBLE WHEN x IS NULL THEN f.y ELSE 0.7::DOUBLE * f.y + (1 - 0.7::DOUBLE) * x END FROM k JOIN f ON f.video_id = k.video_id AND f.idx = k.idx + 1)
 SELECT video_id, idx, round(x, 6) AS average FROM k""")
 def decayed_average(spark, d):
     return rounded(folds.decayed(frames(spark, d), "video_id", "idx", "y"))

@@ -119,10 +119,10 @@ def trim_ends(spark, d):
     return windows.trim_ends(p, tens(spark, d), "video_id", "idx")
 
 
-@query(f"""WITH {TENS} SELECT video_id, "start", "end", round(avg(v), 6) AS mcv, round(coalesce(avg(v) FILTER (v > 0), 0), 6) AS mcv_pos, round(max(CASE WHEN i = floor(("start" + "end") / 2) THEN v END), 6) AS mcv_mid, round(max(v), 6) AS pv FROM j GROUP BY 1, 2, 3""")
+@query(f"""WITH {TENS} SELECT video_id, "start", "end", round(avg(v), 10) AS mcv, round(coalesce(avg(v) FILTER (v > 0), 0), 10) AS mcv_pos, round(max(CASE WHEN i = floor(("start" + "end") / 2) THEN v END), 10) AS mcv_mid, round(max(v), 10) AS pv FROM j GROUP BY 1, 2, 3""")
 def rep_velocities(spark, d):
     p = frames(spark, d).select("video_id", "idx", (F.col("conf") - 0.6).alias("v"))
-    return rounded(metrics.rep_velocities(p, tens(spark, d), "video_id", "idx", "v"))
+    return rounded(metrics.rep_velocities(p, tens(spark, d), "video_id", "idx", "v"), 10)  # means of few values of six digits: ties at six
 
 
 @query(f"""WITH {RUNS}, l AS (SELECT video_id, max(idx) - 1 AS last FROM f GROUP BY 1) SELECT DISTINCT video_id, idx FROM (SELECT video_id, unnest(range(greatest("start" - 2, 0), least("end" + 2, last) + 1)) AS idx FROM r JOIN l USING (video_id))""")
@@ -158,11 +158,11 @@ def seed_clusters(spark, d):
     return tracks.seed_clusters(boxes(spark, d), "frame", "pos", 60.0)
 
 
-@query(f"""{SEEDS} SELECT frame, CAST(cluster AS BIGINT) AS cluster, count(*) AS n, round(avg(cx), 6) AS cx, round(avg(cy), 6) AS cy, round(avg(w), 6) AS w, round(avg(h), 6) AS h, round(avg(conf), 6) AS score, max_by(pos, conf - pos * 1e-9) AS best, count(DISTINCT pos) AS n_frames FROM k JOIN b USING (frame, pos) GROUP BY 1, 2 HAVING count(*) >= 3""")
+@query(f"""{SEEDS} SELECT frame, CAST(cluster AS BIGINT) AS cluster, count(*) AS n, round(avg(cx), 10) AS cx, round(avg(cy), 10) AS cy, round(avg(w), 10) AS w, round(avg(h), 10) AS h, round(avg(conf), 10) AS score, max_by(pos, conf - pos * 1e-9) AS best, count(DISTINCT pos) AS n_frames FROM k JOIN b USING (frame, pos) GROUP BY 1, 2 HAVING count(*) >= 3""")
 def cluster_consensus(spark, d):
     c = tracks.seed_clusters(boxes(spark, d), "frame", "pos", 60.0).join(boxes(spark, d), ["frame", "pos"])
     found = tracks.consensus(c.withColumnRenamed("frame", "video").withColumn("frame", F.col("pos")), "video")
-    return rounded(found.withColumnRenamed("video", "frame"))
+    return rounded(found.withColumnRenamed("video", "frame"), 10)  # means of few values of six digits: ties at six
 
 
 @query(f"""WITH c AS ({ORACLES['single_linkage_1d']}), {BOXES}, s AS (SELECT frame, cluster, count(*) * stddev_pop(cx + cy * 0.013 + h / 703) AS score, count(*) AS n FROM c JOIN b USING (frame, pos) GROUP BY 1, 2)
