@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "video_id string, start_time double, end_time double, duration_s double, rom_m double, mcv_mps double, pcv_mps double"
@@ -53,3 +54,9 @@ def repetitions(frames: DataFrame, thresh: float = 0.08, band: float = 0.02, con
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     return frames.groupBy("video_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def statuses(frames: DataFrame, least: int = 5) -> DataFrame:
+    """(video_id, n_frames, status) of each session so far, a native streaming count: TOO_FEW_FRAMES before least frames have come. A session without frames has no row: it isn't begun."""
+    n = frames.groupBy("video_id").agg(F.count("*").alias("n_frames"))
+    return n.withColumn("status", F.when(F.col("n_frames") < least, "TOO_FEW_FRAMES").otherwise("OK"))

@@ -97,6 +97,11 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     assert got and got == want
 
 
+def test_session_statuses(spark):
+    df = spark.createDataFrame([("a", i / 30) for i in range(5)] + [("b", 0.0)] * 4, "video_id string, t double")
+    assert {tuple(r) for r in sessions.statuses(df).collect()} == {("a", 5, "OK"), ("b", 4, "TOO_FEW_FRAMES")}
+
+
 def test_filters(spark):
     line = [(k, i, i / 30, 0.3 * i / 30) for k in "ab" for i in range(120)]
     df = spark.createDataFrame(line, "k string, i long, t double, z double")
