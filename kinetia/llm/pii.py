@@ -133,8 +133,17 @@ def candidates(text: Column) -> Column:
 def with_spans(docs: DataFrame) -> DataFrame:
     """docs with the columns base and proposed (candidates that lie in no base span)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    clear = F.filter("proposed", lambda c: ~F.exists("base", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
-    return docs.select("*", base_spans(text).alias("base"), candidates(text).alias("proposed")).withColumn("proposed", clear)
+    return docs.select("*", base_spans(text).alias("base"), candidates(text).alias("proposed")).withColumn("proposed", _clear(F.col("proposed"), F.col("base")))
+
+
+def _clear(proposed: Column, base: Column) -> Column:
+    return F.filter(proposed, lambda c: ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
+
+
+def clear_candidates(text: Column) -> Column:
+    """The candidates that lie in no base span. Base spans are looked for only in texts with candidates, and once."""
+    inner = lambda c: F.when(F.size(c) == 0, c).otherwise(let(base_spans(text), lambda b: _clear(c, b)))
+    return let(candidates(text), inner)
 
 
 def fit_reliabilities(counts: dict[str, float], params: Params) -> tuple[float, list[dict], dict[str, float]]:
@@ -165,9 +174,10 @@ def fit_reliabilities(counts: dict[str, float], params: Params) -> tuple[float,
 
 
 def learn(docs: DataFrame, params: Params = Params()) -> tuple[float, list[dict[str, float]]]:
-    """The span classifier: a bias and, for each feature, the log-odds of its values. Base spans are looked for only in texts with candidates."""
-    some = docs.select("text").where(F.size(candidates(F.coalesce(F.col("text"), F.lit("")))) > 0)
-    cells = with_spans(some).select(F.explode("proposed").alias("c")).groupBy(F.col("c.votes").alias("votes"), F.col("c.features").alias("features")).count().collect()
+    """The span classifier: a bias and, for each feature, the log-odds of its values."""
+    # explode() would have candidates looked for once more, in a filter on their number
+    each = docs.select(F.explode_outer(clear_candidates(F.coalesce(F.col("text"), F.lit("")))).alias("c")).where(F.col("c").isNotNull())
+    cells = each.groupBy(F.col("c.votes").alias("votes"), F.col("c.features").alias("features")).count().collect()
     if not cells:
         return -1.0, []
     counts: dict[str, float] = {}
