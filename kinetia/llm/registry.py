@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetia.llm import decontaminate, html_text, language_model, packing, pii, quality_classifier, quality_rules, simhash, suffixes, toxicity
+from kinetia.llm import decontaminate, html_text, language_model, ngram_join, packing, periodic_runs, pii, quality_classifier, quality_rules, simhash, spelling, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.query,
         "op9_language_model": language_model.query,
         "op10_decontaminate": decontaminate.query,
+        "op11_spelling": spelling.query,
+        "op12_ngram_join": ngram_join.query,
+        "op13_periodic_runs": periodic_runs.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_ngram_join": ngram_join.ORACLE_SQL}
