@@ -13,8 +13,9 @@ set: 100 I >= 90 U just when 190 I >= 90 (a + b). Blocks of rows are chosen so t
 
 Blocks with equal members are one block. Of blocks of two the pair is multiplied. In larger ones each set is first multiplied with
 one set of its blocks only, which in groups of near copies joins nearly all; then blocks whose sets are not all connected
-are multiplied out, in tiles of a bounded size: overlap counts are summed over slices of columns, and after each slice pairs go whose
-count, even if all that is left agreed, stays below the bound. A tile returns links that connect what is linked, not its pairs.
+are multiplied out, those that share sets together, in tiles of a bounded size: overlap counts are summed over slices of columns, and
+after each slice pairs go whose count, even if all that is left agreed, stays below the bound. A tile returns links that connect
+what is linked, not its pairs.
 
 Shingles and sets are known by 64-bit hashes, which are taken as equal when these are.
 
@@ -32,11 +33,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetia.llm import tokens
-from kinetia.llm.common import sized, stored, table, typed
+from kinetia.llm.common import forget, sized, stored, table, typed
 from kinetia.llm.components import components
 
 PRINTS = "doc_id long, key long, n long, node long, parts array<long>"
@@ -168,61 +169,67 @@ def _pairs(pairs: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
     return both.where(linked(F.size(F.array_intersect("gu", "gv")), F.col("nu"), F.col("nv"), params.percent)).select("u", "v")
 
 
-def product(sizes: np.ndarray, grams: list[np.ndarray], group: np.ndarray, params: Params) -> np.ndarray:
-    """Rows (i, j), i > j, of links that connect the sets of a tile which link and are in different groups."""
-    m = len(sizes)
-    open_ = (group[:, None] != group[None, :]) & (params.percent * np.maximum(sizes[:, None], sizes[None, :]) <= 100 * np.minimum(sizes[:, None], sizes[None, :]))
+def product(rows: tuple, others: tuple, params: Params) -> np.ndarray:
+    """(i, j) of links of rows with others that are in different groups and connect what links. Both: sizes, shingles and groups, all of arrays."""
+    sizes, grams, group = (np.concatenate([np.asarray(x), np.asarray(y)]) if k != 1 else [*x, *y] for k, (x, y) in enumerate(zip(rows, others)))
+    m, total_rows = len(rows[0]), len(sizes)
+    a, b = sizes[:m, None], sizes[None, m:]
+    open_ = (group[:m, None] != group[None, m:]) & (params.percent * np.maximum(a, b) <= 100 * np.minimum(a, b))
     columns, which, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(m), sizes)
+    row = np.repeat(np.arange(total_rows), sizes)
     shared = times[which] > 1  # a shingle of one set adds to no overlap
     number = np.cumsum(times > 1) - 1
     row, column = row[shared], number[which[shared]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    overlap, left = np.zeros((m, m), np.float32), np.bincount(row, minlength=m)
-    need = params.percent * (sizes[:, None] + sizes[None, :])
-    total = int(number[-1]) + 1 if len(number) else 0
-    for a in range(0, total, params.columns):
-        lo, hi = np.searchsorted(column, [a, a + params.columns])
-        block = np.zeros((m, min(params.columns, total - a)), np.float32)
-        block[row[lo:hi], column[lo:hi] - a] = 1
-        alive = open_.any(1)
-        overlap[np.ix_(alive, alive)] += block[alive] @ block[alive].T
-        left = left - np.bincount(row[lo:hi], minlength=m)
-        open_ &= (100 + params.percent) * (overlap + np.minimum(left[:, None], left[None, :])) >= need
-    found = open_ & linked(overlap, sizes[:, None], sizes[None, :], params.percent)
-    out, fresh = [], np.ones(m, bool)
-    for k in range(m):  # a forest: breadth first over what is linked
+    overlap, left = np.zeros(open_.shape, np.float32), np.bincount(row, minlength=total_rows)
+    need, total = params.percent * (a + b), int(number[-1]) + 1 if len(number) else 0
+    for c in range(0, total, params.columns):
+        lo, hi = np.searchsorted(column, [c, c + params.columns])
+        block = np.zeros((total_rows, min(params.columns, total - c)), np.float32)
+        block[row[lo:hi], column[lo:hi] - c] = 1
+        here, there = np.nonzero(open_.any(1))[0], np.nonzero(open_.any(0))[0]
+        if not len(here):
+            break
+        overlap[np.ix_(here, there)] += block[here] @ block[m + there].T
+        left = left - np.bincount(row[lo:hi], minlength=total_rows)
+        open_ &= (100 + params.percent) * (overlap + np.minimum(left[:m, None], left[None, m:])) >= need
+    found = open_ & linked(overlap, a, b, params.percent)
+    out, fresh, met = [], np.ones(m, bool), np.zeros(total_rows - m, bool)
+    for k in range(m):  # a forest, breadth first: one link for each set that is reached
         if not fresh[k]:
             continue
         queue, fresh[k] = [k], False
         for i in queue:
-            new = np.nonzero(found[i] & fresh)[0]
-            fresh[new] = False
-            queue += new.tolist()
-            out += [(max(i, j), min(i, j)) for j in new.tolist()]
+            for j in np.nonzero(found[i] & ~met)[0].tolist():
+                met[j] = True
+                more = np.nonzero(found[:, j] & fresh)[0]
+                fresh[more] = False
+                queue += more.tolist()
+                out += [(i, j), *((x, j) for x in more.tolist())]
     return np.array(out, np.int64).reshape(-1, 2)
 
 
 def _tiles(frames: Iterator[pd.DataFrame], params: Params) -> Iterator[pd.DataFrame]:
-    """Links of each tile of a stream of rows (block, i, j, node, root, n, grams) that is sorted by tile."""
+    """Links of each tile of a stream of rows (part, i, j, side, node, root, n, grams) that is sorted by tile. side: 1 row of the product, 2 column, 3 both."""
     tile, held = None, []
 
     def done() -> pd.DataFrame:
-        nodes, roots = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-        if len(held) < 2 or (roots == roots[0]).all():
+        rows, others = ([x for x in held if x[0] & bit] for bit in (1, 2))
+        if not rows or not others:
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        out = product(np.array([x[2] for x in held], np.int64), [x[3] for x in held], roots, params)
-        return pd.DataFrame({"u": nodes[out[:, 0]], "v": nodes[out[:, 1]]})
+        sides = [([x[3] for x in part], [x[4] for x in part], [x[2] for x in part]) for part in (rows, others)]
+        out = product(*sides, params)
+        return pd.DataFrame({"u": np.array([x[1] for x in rows], np.int64)[out[:, 0]], "v": np.array([x[1] for x in others], np.int64)[out[:, 1]]})
 
     for f in frames:
         out = []
-        for *own, node, root, n, grams in zip(f["block"], f["i"], f["j"], f["node"], f["root"], f["n"], f["grams"]):
+        for *own, side, node, root, n, grams in zip(*(f[c] for c in ("part", "i", "j", "side", "node", "root", "n", "grams"))):
             if own != tile:
                 if held:
                     out.append(done())
                 tile, held = own, []
-            held.append((node, root, n, grams))
+            held.append((side, node, root, n, grams))
         if out:
             yield pd.concat(out)
     if held:
@@ -230,41 +237,60 @@ def _tiles(frames: Iterator[pd.DataFrame], params: Params) -> Iterator[pd.DataFr
 
 
 def _multiplied(blocks: DataFrame, roots: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
-    """(u, v): links between sets of a block that roots doesn't connect yet. blocks: (block, node, m), m its number of sets."""
+    """(u, v): links between sets of a block that roots doesn't connect yet. blocks: (block, node), in rows that differ.
+    Blocks that share sets are multiplied as one while those are few, so a set's shingles are sent once, not with each block. In each product the sets
+    of the most frequent root are columns only, as they are connected already."""
     rooted = blocks.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("block").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("block")
-    rooted = rooted.join(mixed.hint("merge"), "block", "left_semi")
-    sides = F.ceil(F.col("m") / params.tile)
-    own = F.pmod(F.xxhash64("node"), sides)
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), sides - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
-    dealt = rooted.join(sets.hint("merge"), "node").select("block", F.explode(pairs).alias("t"), "node", "root", "n", "grams").select("block", "t.i", "t.j", "node", "root", "n", "grams")
-    ordered = dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
-    return ordered.mapInPandas(lambda frames: _tiles(frames, params), "u long, v long")
-
-
-def links(docs: DataFrame, held: DataFrame, params: Params = Params()) -> DataFrame:
-    """(u, v): links that connect the nodes of held (PRINTS) that link."""
-    nodes = held.where("n > 0").select("node", "parts").dropDuplicates(["node"])
-    keyed = stored(nodes.select("node", F.explode("parts").alias("block")), "ngram-parts")
+    mixed = rooted.groupBy("block").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("node").alias("least")).where("a != b").select("block", "least")
+    rooted = stored(rooted.join(sized(mixed), "block"), "ngram-mixed")
+    joined = components(rooted.select(F.col("node").alias("u"), F.col("least").alias("v")), "ngram-joined").select("node", F.col("root").alias("joined"))
+    wide = joined.groupBy("joined").count().where(F.col("count") > 4 * params.tile).select("joined")
+    joined = stored(joined.join(wide.withColumn("wide", F.lit(True)), "joined", "left"), "ngram-groups")
+    part = F.when(F.col("wide"), F.struct(F.lit(1).alias("kind"), F.col("block").alias("id"))).otherwise(F.struct(F.lit(0).alias("kind"), F.col("joined").alias("id")))
+    members = stored(rooted.join(joined.hint("merge"), "node").select(F.xxhash64(part).alias("part"), "node", "root").distinct(), "ngram-parts")
+    by_root = members.groupBy("part", "root").agg(F.count("*").alias("c"))
+    shape = by_root.groupBy("part").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top")).where(F.col("m") > F.col("top.c")).select("part", "m", F.col("top.root").alias("top"), (F.col("m") - F.col("top.c")).alias("few"))
+    held = members.join(sized(shape), "part").withColumn("few_tiles", F.ceil(F.col("few") / params.tile)).withColumn("tiles", F.ceil(F.col("m") / params.tile))
+    # few x all: sets of other roots are rows, all sets are columns
+    to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    tile = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(side).alias("side"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    column = F.transform(to(F.col("few_tiles")), lambda i: tile(i, own("tiles"), 2))
+    row = F.transform(to(F.col("tiles")), lambda j: tile(own("few_tiles"), j, 1))
+    whole = F.array(tile(F.lit(0), F.lit(0), 3))
+    places = F.when(F.col("root") == F.col("top"), column).when((F.col("tiles") == 1) & (F.col("few_tiles") == 1), whole).otherwise(F.concat(column, row))
+    dealt = held.withColumn("t", F.explode(places)).select("part", "t.*", "node", "root").join(sets.hint("merge"), "node")
+    ordered = dealt.select("part", "i", "j", "side", "node", "root", "n", "grams").repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
+    return ordered.mapInPandas(lambda frames: _tiles(frames, params), "u long, v long").where("u != v")
+
+
+def links(docs: DataFrame, held: DataFrame, params: Params = Params()) -> tuple[DataFrame, list[DataFrame]]:
+    """(u, v): links that connect the nodes of held (PRINTS) that link. And the stored frames that can be forgotten with them."""
+    nodes = stored(held.where("n > 0").select("node", "parts").dropDuplicates(["node"]), "ngram-nodes")
+    keyed = nodes.select("node", F.explode("parts").alias("block"))
     mark = F.bit_xor(F.xxhash64("node")).alias("mark")
     blocks = keyed.groupBy("block").agg(F.count("*").alias("m"), mark, F.min("node").alias("v"), F.max("node").alias("u")).where("m > 1")
     once = stored(blocks.groupBy("m", "mark").agg(F.min("block").alias("block"), F.min("v").alias("v"), F.min("u").alias("u")), "ngram-blocks")
-    larger = stored(keyed.join(once.where("m > 2").select("block", "m", "v").hint("merge"), "block"), "ngram-members")
+    larger = stored(keyed.join(sized(once.where("m > 2").select("block", "v")), "block"), "ngram-members")
+    forget(nodes)
     star = larger.where("node != v").groupBy("node").agg(F.min("v").alias("v")).select(F.col("node").alias("u"), "v")
     pairs = stored(once.where("m = 2").select("u", "v").union(star).distinct(), "ngram-pairs")
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(larger.select("node")).distinct()
-    sets = stored(_grams(docs, held, stored(wanted, "ngram-wanted"), params), "ngram-sets")
+    wanted = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(larger.select("node")).distinct(), "ngram-wanted")
+    sets = stored(_grams(docs, held, wanted, params), "ngram-sets")
     first = stored(_pairs(pairs, sets, params), "ngram-first")
     roots = stored(components(first, "ngram-links"), "ngram-roots")
-    more = _multiplied(larger.select("block", "node", "m"), roots, sets, params)
-    return first.union(more)
+    more = stored(_multiplied(larger.select("block", "node"), roots, sets, params), "ngram-more")
+    return first.union(more), [once, larger, pairs, wanted, sets, roots]
 
 
 def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, n_shingles and component_id of each row: the least doc_id that links reach."""
     held = stored(prints(docs, params), "ngram-prints")
     few = held.select("doc_id", "n", "node")
-    roots = components(links(docs, held, params), "ngram-links").select("node", "root")
+    found, used = links(docs, held, params)
+    for x in used:
+        forget(x)
+    roots = components(found, "ngram-links").select("node", "root")
     first = few.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     rooted = stored(first.join(roots.hint("merge"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "ngram-all")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -105,11 +105,12 @@ class Extensions:
         return low
 
 
-def next_smaller(values: list[int], common: Callable[[int, int], int]) -> list[int]:
-    """Where the next smaller suffix of each suffix begins: the longest Lyndon word at i ends before it. The chain of these places is the stack."""
+def next_smaller(v: np.ndarray, values: list[int], common: Callable[[int, int], int]) -> list[int]:
+    """Where the next smaller suffix of each suffix begins: the longest Lyndon word at i ends before it. The chain of these places is the stack.
+    Where the next word is smaller it is the next place, for all such places at once; the others are scanned from right to left."""
     n = len(values)
-    after = [n] * n
-    for i in range(n - 1, -1, -1):
+    after = list(range(1, n + 1))
+    for i in np.nonzero(v[:-1] <= v[1:])[0][::-1].tolist():
         a, j = values[i], i + 1
         while j < n:
             b = values[j]
@@ -131,7 +132,7 @@ def _candidates(values: list[int], base: int) -> Iterator[tuple[np.ndarray, np.n
     for own in (v, np.where(v > 0, top - v, v)):
         listed = values if own is v else own.tolist()
         ext = Extensions(listed, base)
-        j = np.array(next_smaller(listed, ext.right), np.int64)
+        j = np.array(next_smaller(own, listed, ext.right), np.int64)
         i = np.nonzero((v > 0) & (j < len(v)))[0]
         j = j[i]
         goes = (v[j] == v[i]) | ((i > 0) & (v[i - 1] == v[j - 1]))

@@ -63,7 +63,7 @@ def corpus():
     return rows + [(None, near), (None, None), (rows[3][0], rows[3][1]), (-5, near.upper())]
 
 
-@pytest.mark.parametrize("params", [j.Params(), j.Params(tile=7, columns=64)])
+@pytest.mark.parametrize("params", [j.Params(), j.Params(tile=7, columns=64), j.Params(tile=2)])
 def test_components_equal_brute_force(spark, params):
     rows = corpus()
     got = sorted((tuple(r) for r in j.classes(frame(spark, rows, extra=True), params).collect()), key=str)
@@ -112,16 +112,19 @@ def test_product_counts_overlaps():
     grams = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(100, 130)], rng.integers(0, 1 << 60, rng.integers(0, 6))])) for _ in range(80)]
     sizes = np.array([len(x) for x in grams])
     for columns in (16, 4096):
-        links = j.product(sizes, grams, np.arange(80), j.Params(columns=columns))
-        root = list(range(80))
-        for a, b in links.tolist():
-            assert a > b and 190 * len(np.intersect1d(grams[a], grams[b])) >= 90 * (sizes[a] + sizes[b])
-            root = [root[b] if x == root[a] else x for x in root]
-        for a in range(80):
-            for b in range(a):
-                if 190 * len(np.intersect1d(grams[a], grams[b])) >= 90 * (sizes[a] + sizes[b]):
-                    assert root[a] == root[b]
-    assert len(j.product(sizes, grams, np.zeros(80, int), j.Params())) == 0
+        for few in (80, 30):  # rows of the product; all sets are its columns
+            group = np.array([k if k < few else -1 for k in range(80)])
+            links = j.product((sizes[:few], grams[:few], group[:few]), (sizes, grams, group), j.Params(columns=columns))
+            root = list(range(80))
+            for a, b in links.tolist():
+                assert 190 * len(np.intersect1d(grams[a], grams[b])) >= 90 * (sizes[a] + sizes[b])
+                root = [root[b] if x == root[a] else x for x in root]
+            assert len(links) < 200
+            for a in range(few):
+                for b in range(80):
+                    if 190 * len(np.intersect1d(grams[a], grams[b])) >= 90 * (sizes[a] + sizes[b]):
+                        assert root[a] == root[b]
+    assert len(j.product((sizes, grams, np.zeros(80, int)), (sizes, grams, np.zeros(80, int)), j.Params())) == 0
 
 
 def test_no_words(spark):
