@@ -45,6 +45,9 @@ class Params:
     chunk: int = 2_000_000  #: bytes of text that are scanned together; a longer text alone
 
 
+_POWERS: dict[int, list[int]] = {}
+
+
 class Extensions:
     """Longest common extensions of a sequence of numbers whose last one occurs nowhere else."""
 
@@ -55,10 +58,12 @@ class Extensions:
         self.sums: list[int] | None = None
 
     def _hashes(self) -> tuple[list[int], list[int]]:
+        p, base = _POWERS.setdefault(self.base, [1]), self.base
         if self.sums is None:
-            self.sums = list(itertools.accumulate(self.values, lambda h, x: (h * self.base + x) % PRIME, initial=0))
-            self.powers = list(itertools.accumulate(range(len(self.values)), lambda p, _: p * self.base % PRIME, initial=1))
-        return self.sums, self.powers
+            self.sums = list(itertools.accumulate(self.values, lambda h, x: (h * base + x) % PRIME, initial=0))
+            while len(p) < len(self.sums):
+                p.append(p[-1] * base % PRIME)
+        return self.sums, p
 
     def right(self, i: int, j: int) -> int:
         """How many words from i on equal those from j on, i < j."""
@@ -125,13 +130,11 @@ def next_smaller(v: np.ndarray, values: list[int], common: Callable[[int, int],
     return after
 
 
-def _candidates(values: list[int], base: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Starts and lengths, under both orders, of the longest Lyndon words that go on for a word at least at either side, with that of the order."""
-    v = np.array(values, np.int64)
+def _candidates(v: np.ndarray, ext: Extensions) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where, under both orders, the longest Lyndon words begin and end that go on for a word at least at either side. What is equal is so under both."""
     top = int(v.max(initial=0)) + 1
     for own in (v, np.where(v > 0, top - v, v)):
-        listed = values if own is v else own.tolist()
-        ext = Extensions(listed, base)
+        listed = ext.values if own is v else own.tolist()
         j = np.array(next_smaller(own, listed, ext.right), np.int64)
         i = np.nonzero((v > 0) & (j < len(v)))[0]
         j = j[i]
@@ -141,7 +144,7 @@ def _candidates(values: list[int], base: int) -> Iterator[tuple[np.ndarray, np.n
 
 def _found(values: list[int], base: int, least: int) -> np.ndarray:
     v, ext, out = np.array(values, np.int64), Extensions(values, base), []
-    for i, j in _candidates(values, base):
+    for i, j in _candidates(v, ext):
         sides = []
         for side, one in ((0, 1), (-1, -1)):  # some words directly for all of them at once, the few others by hashes
             got, left = np.zeros(len(i), np.int64), np.arange(len(i))
