@@ -21,7 +21,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -224,13 +223,12 @@ def crc_of_rest(whole: np.ndarray, head: np.ndarray, n: np.ndarray) -> np.ndarra
 def _place(table_: dict[str, np.ndarray]):
     starts = table_["length"] << 44 | table_["rank"]
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            n, r, done = f["length"].to_numpy().copy(), f["rank"].to_numpy().copy(), np.zeros(len(f), np.int64)
-            first = f["length"].to_numpy()
-            crcs, whole = f["crcs"].to_numpy(), f["ids_crc32"].to_numpy()
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # Arrow throughout: pandas would make doubles of long ids beside a null
+            first, rank, start, whole, tokens_ = (b.column(c).to_numpy() for c in ("length", "rank", "start", "ids_crc32", "doc_tokens"))
+            n, r, done, crcs = first.copy(), rank.copy(), np.zeros(len(b), np.int64), b.column("crcs").to_pylist()
             upto = lambda j, x: int.from_bytes(crcs[j][4 * (x // STEP - 1) : 4 * (x // STEP)], "little") if x else 0
-            at = np.arange(len(f))
+            at = np.arange(len(b))
             while len(at):
                 k = np.searchsorted(starts, n[at] << 44 | r[at], side="right") - 1
                 past, head = r[at] - table_["rank"][k], table_["head"][k]
@@ -238,13 +236,11 @@ def _place(table_: dict[str, np.ndarray]):
                 part = (done[at] > 0) | (head > 0)
                 crc = whole[at].copy()
                 for j in np.nonzero(part)[0]:
-                    a, b = done[at[j]], done[at[j]] + size[j]
-                    end = whole[at[j]] if b == first[at[j]] else upto(at[j], b)
-                    crc[j] = end if not a else crc_of_rest(np.array([end]), np.array([upto(at[j], a)]), np.array([size[j]]))[0]
-                yield pd.DataFrame({
-                    "doc_id": f["doc_id"].array[at], "start": f["start"].to_numpy()[at] + done[at], "length": size, "ids_crc32": crc, "doc_tokens": f["doc_tokens"].to_numpy()[at],
-                    "sequence_id": table_["sequence"][k] + past // table_["each"][k], "offset": table_["offset"][k] + past % table_["each"][k] * n[at],
-                })
+                    x, y = done[at[j]], done[at[j]] + size[j]
+                    end = whole[at[j]] if y == first[at[j]] else upto(at[j], y)
+                    crc[j] = end if not x else crc_of_rest(np.array([end]), np.array([upto(at[j], x)]), np.array([size[j]]))[0]
+                columns = (start[at] + done[at], size, crc, tokens_[at], table_["sequence"][k] + past // table_["each"][k], table_["offset"][k] + past % table_["each"][k] * n[at])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), *(pa.array(c, pa.int64()) for c in columns)], names=[x.split()[0] for x in PACKED.split(", ")])
                 more = head > 0
                 at, k, past, head = at[more], k[more], past[more], head[more]
                 done[at] += head
@@ -268,7 +264,7 @@ def pack(docs: DataFrame, params: Params = Params()) -> DataFrame:
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = cut.withColumn("rn", F.row_number().over(within)).join(offsets, ["length", "salt"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "crcs", (F.col("rn") - 1 + F.col("earlier")).alias("rank"))
-    return ranked.mapInPandas(_place(slots(histogram, found)), typed(PACKED, docs, "doc_id"))
+    return ranked.mapInArrow(_place(slots(histogram, found)), typed(PACKED, docs, "doc_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

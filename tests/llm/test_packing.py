@@ -96,3 +96,11 @@ def test_empty_and_repeated(spark):
     rows = [(1, "same words here")] * 50 + [(None, None)]
     out = p.pack(frame(spark, rows)).collect()
     assert len(out) == 51 and len({(r["sequence_id"], r["offset"]) for r in out}) == 51
+
+
+def test_ids_keep_their_types_beside_null(spark):
+    big = 2**60 + 1
+    out = p.pack(frame(spark, [(None, "a b"), (big, "a c"), (big + 1, "words " * 3000)])).collect()
+    assert {r["doc_id"] for r in out} == {None, big, big + 1}
+    named = spark.createDataFrame([("x1", "a b"), (None, "a c"), ("", "d")], "doc_id string, text string")
+    assert {r["doc_id"] for r in p.pack(named).collect()} == {"x1", None, ""}
