@@ -61,6 +61,7 @@ class Lexicon:
     def __init__(self, terms: list[tuple[str, bool]], edits_from: int):
         self.terms, self.edits_from, self.root = terms, edits_from, Node()
         self.heads: dict[int, set] = {}
+        self.longest = max((len(t) for t, _ in terms), default=0)
         for k, (text, _) in enumerate(terms):
             node = self.root
             for c in text:
@@ -83,6 +84,8 @@ class Lexicon:
         else:
             return None
         best = None
+        # with one edit a beginning reaches one letter beyond itself, and a whole term is no longer word: what follows tells nothing more
+        word, ends = word[: self.longest + 2], len(word) <= self.longest + 2
         n = len(word)
         stack = [(self.root, list(range(n + 1)), None, None)]
         while stack:
@@ -90,7 +93,7 @@ class Lexicon:
             k = node.term
             if k >= 0:
                 text, whole = self.terms[k]
-                edits = row[n] if whole else min(row)
+                edits = min(row) if not whole else row[n] if ends else n
                 if edits <= (1 if len(text) >= self.edits_from else 0) and (best is None or (edits, -len(text), k) < best):
                     best = (edits, -len(text), k)
             for c, child in node.next.items():

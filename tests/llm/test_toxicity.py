@@ -33,6 +33,27 @@ def test_automaton_matches_brute_force():
         assert (got is None) == (not want) and (got is None or (got[1], got[0]) == (min(want)[0], min(want)[2])), word
 
 
+def test_long_words_cost_no_more():
+    import time
+
+    rng = random.Random(53)
+    lexicon = t.Lexicon([("grumbold", True), ("grum", False), ("snarkel", False), ("flimzyness", True)], 5)
+    for _ in range(600):
+        text, whole = rng.choice(lexicon.terms)
+        at = rng.randrange(len(text))
+        word = rng.choice([text, text[:at] + text[at + 1 :], text[:at] + "q" + text[at:]]) + "".join(rng.choice("ness") for _ in range(rng.randint(0, 40)))
+        want = []
+        for k, (x, w) in enumerate(lexicon.terms):
+            e = min(distance(x, word[:n]) for n in ([len(word)] if w else range(len(x) + 3)))
+            if e <= (len(x) >= 5):
+                want.append((e, -len(x), k))
+        got = lexicon.match(word)
+        assert (got is None) == (not want) and (got is None or (got[1], got[0]) == (min(want)[0], min(want)[2])), word
+    start = time.time()
+    assert lexicon.match("snarkle" + "x" * 1_000_000) == (2, 1) and lexicon.match("grumbold" + "y" * 1_000_000) == (1, 0) and lexicon.match("flimzynes" + "z" * 1_000_000) is None
+    assert time.time() - start < 0.3
+
+
 def made(spark, n=700):
     rng = random.Random(51)
     texts, marks = awkward(rng), []
