@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
 
 # Names of HTML elements.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())  # their content isn't markup
-HIDDEN = frozenset("noscript template svg canvas object select button audio video math datalist".split())
+HIDDEN = frozenset("template svg select button datalist".split())  # form widgets, drawings, and what stands for no place in the page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # What an opening tag closes, and the elements that this doesn't reach beyond.
 CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "tbody": ("thead tbody tr td th", {"table"}), "tfoot": ("tbody tr td th", {"table"})}
@@ -59,6 +60,7 @@ def read(source: str | None) -> Page:
     held: list[str] = []
     linked, link = 0, -1  # link: the stack's depth where a link began
     unclosed: set[str] = set()  # elements that no end tag follows
+    places: dict[str, list[int]] = {}  # of open elements in the stack, so that no tag is looked for along it
 
     def flush() -> None:
         nonlocal linked
@@ -72,7 +74,9 @@ def read(source: str | None) -> Page:
         nonlocal link
         flush()
         while len(stack) > max(to, 1):
-            page.end[stack.pop()] = len(page.tag)
+            node = stack.pop()
+            page.end[node] = len(page.tag)
+            places[page.tag[node]].pop()
         if link > len(stack):
             link = -1
 
@@ -86,10 +90,8 @@ def read(source: str | None) -> Page:
                 link = -1
             elif tag in BLOCKS:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if page.tag[stack[k]] == tag:
-                        close(k)
-                        break
+                if places.get(tag):
+                    close(places[tag][-1])
         elif tag := (m[2] or m[4]):
             tag = tag.lower()
             rest = m[3] if m[2] else m[5]
@@ -114,15 +116,14 @@ def read(source: str | None) -> Page:
                     close(len(stack) - 1)
                 if tag in CLOSES:
                     closed, walls = CLOSES[tag]
-                    k, lowest = len(stack) - 1, len(stack)
-                    while k > 0 and page.tag[stack[k]] not in walls:
-                        lowest = k if page.tag[stack[k]] in closed.split() else lowest
-                        k -= 1
-                    close(lowest)
+                    wall = max((places[w][-1] for w in walls if places.get(w)), default=0)
+                    open_ = [places[c] for c in closed.split() if places.get(c)]
+                    close(min((x[bisect_right(x, wall)] for x in open_ if x[-1] > wall), default=len(stack)))
                 if tag not in VOID:
                     names = " ".join(a or b or c for a, b, c in NAMES.findall(rest)).lower() if rest and "=" in rest else ""
                     node = page.add(tag, stack[-1], names)
                     if not rest.endswith("/") or tag in BLOCKS:
+                        places.setdefault(tag, []).append(len(stack))
                         stack.append(node)
         elif not m[0].startswith("<") or m[0] == "<":
             text = html.unescape(m[0]) if "&" in m[0] else m[0]

@@ -18,6 +18,25 @@ def test_reading_of_malformed_markup():
     assert many.text[-1].startswith("x x")
 
 
+def test_stray_tags_and_deep_items_are_read_in_linear_time():
+    import time
+
+    start = time.time()
+    page = dom.read("<div>" * 10_000 + "</p>" * 20_000 + "x")
+    assert page.text[-1] == "x" and time.time() - start < 0.5
+    start = time.time()
+    page = dom.read("<div>" * 10_000 + "<li>y" * 10_000 + "</ul></section>" * 10_000 + "<td>z" * 5_000)
+    assert sum(t == "y" for t in page.text) == 10_000 and time.time() - start < 2
+    walls = dom.read("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><table><tr><td>1<table><tr><td>2<td>3</table><td>4</table>")
+    parents = [walls.parent[i] for i, t in enumerate(walls.tag) if t == "li"]
+    assert [t for t in walls.text if t] == list("abcd1234") and parents[0] == parents[3] and parents[1] == parents[2] != parents[0]
+
+
+def test_formulas_and_fallback_content_are_text():
+    page = dom.read("<p>Energy <math><mi>E</mi>=<mi>mc</mi></math> holds.</p><object data=x><p>shown instead</p></object><video>no film</video><noscript><p>plain form</p></noscript><button>Send</button><svg><text>no</text></svg>")
+    assert [t for t in page.text if t] == ["Energy E=mc holds.", "shown instead", "no film", "plain form"]
+
+
 def test_decoding_matches_brute_force():
     rng = random.Random(80)
     for _ in range(200):
