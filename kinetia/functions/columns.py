@@ -58,6 +58,22 @@ def step_seconds(now: Column, last: Column) -> Column:
     return F.when(now - last > 0, now - last).otherwise(1.0 / 60)
 
 
+def usable_fps(fps: Column, usual: float = 30.0, low: float = 0.0, high: float | None = None) -> Column:
+    """Frames a second; the usual number where there is none above low, or one above high."""
+    fine = fps.isNotNull() & ~F.isnan(fps) & (fps > low)
+    return F.when(fine if high is None else fine & (fps <= high), fps).otherwise(usual)
+
+
+def video_error(n_frames: Column, least: int = 30) -> Column:
+    """VIDEO_ERROR for a video of too few frames or an unknown number of them, else null."""
+    return F.when(F.coalesce(n_frames, F.lit(0)) < least, "VIDEO_ERROR")
+
+
+def frame_time(pts: Column, idx: Column, fps: Column) -> Column:
+    """A frame's time: its own where that is positive, else by its number."""
+    return F.when(pts > 0, pts).otherwise(idx / fps)
+
+
 def load_band(kg: Column) -> Column:
     return F.when(kg <= 40, "light").when(kg >= 100, "heavy").otherwise("medium")
 

@@ -10,14 +10,14 @@ import math
 from collections.abc import Callable, Iterator
 from statistics import median
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def fold(df: DataFrame, key: str, order: list[str], columns: list[str], schema: str, start: Callable) -> DataFrame:
-    """start() gives a step: a function of (*columns) that returns a list of output rows, each without the key. schema is theirs. Rows with a null key are a group of their own."""
+    """start() gives a step: a function of (*columns) that returns a list of output rows, each without the key. schema is theirs. Rows with a null key are a group of
+    their own, as are rows with a NaN key; all NaNs are one key, as Spark groups them."""
     kind = dict(df.dtypes)[key]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -25,8 +25,9 @@ def fold(df: DataFrame, key: str, order: list[str], columns: list[str], schema:
         for f in frames:
             out = []
             for *k, row in zip(f["_key"], f["_null"], zip(*(f[c] for c in columns))):
-                if step is None or k != last:
-                    last, step = k, start()
+                own = k if k[0] == k[0] else ["NaN", *k[1:]]
+                if step is None or own != last:
+                    last, step = own, start()
                 out += [(*k, *x) for x in step(*row)]
             yield pd.DataFrame(out, columns=names)
 
@@ -35,7 +36,9 @@ def fold(df: DataFrame, key: str, order: list[str], columns: list[str], schema:
     held = df.select(F.coalesce(F.col(key), some).alias("_key"), F.col(key).isNull().alias("_null"), *dict.fromkeys([*order, *columns]))
     rows = held.repartition("_key", "_null").sortWithinPartitions("_key", "_null", *order)
     out = rows.mapInPandas(run, f"{key} {kind}, _null boolean, {schema}")
-    return out.withColumn(key, F.when(~F.col("_null"), F.col(key))).drop("_null")
+    # pandas makes nulls of NaNs, too: keys that weren't null were NaN
+    own = F.coalesce(F.col(key), F.lit(float("nan")).cast(kind)) if kind in ("double", "float") else F.col(key)
+    return out.withColumn(key, F.when(~F.col("_null"), own)).drop("_null")
 
 
 def missing(x) -> bool:
@@ -93,6 +96,43 @@ def repetitions(df: DataFrame, key: str, order: str, exercise: str = "squat", th
     return fold(ready, key, [order], [order, "t", "y", "v", "rises", "falls", "v_next", "t_last", "y_last", "v_last", "live"], REPS, start)
 
 
+def traced(df: DataFrame, key: str, order: str, thresh: float = 0.08, band: float = 0.02, min_s: float = 0.20, min_rom: float = 0.12) -> DataFrame:
+    """Every candidate of the older two-row rule over (t, y, v), with why it was dropped: (key, start, end, start_time, end_time, duration_s, rom, mcv, accepted, short, shallow, reason).
+    Down faster than thresh, then up from where this row has stopped and the next one rises, to where this one has stopped and the next one doesn't rise. The first row and the last two change nothing."""
+    from pyspark.sql import Window
+
+    from kinetia.operators.windows import by
+
+    n = F.count("*").over(Window.partitionBy(key))
+    w = by(key, order)
+    ready = df.withColumn("_next", F.lead("v").over(w)).withColumn("_i", F.row_number().over(w) - 1)
+    ready = ready.withColumn("_live", (F.col("_i") >= 1) & (F.col("_i") < n - 2))
+
+    def start():
+        state, first = "idle", None
+
+        def step(i, t, y, v, ahead, live):
+            nonlocal state, first
+            if not live:
+                return []
+            if state == "idle" and v < -thresh:
+                state = "down"
+            elif state == "down" and v >= -band and ahead > band:
+                state, first = "up", (i, t, y)
+            elif state == "up" and v <= band and ahead < band:
+                state = "idle"
+                seconds, rom = t - first[1], abs(y - first[2])
+                short, shallow = seconds < min_s, rom < min_rom
+                why = "; ".join(x for x, on in ((f"dur {seconds:.3f}<{min_s}", short), (f"rom {rom:.4f}<{min_rom}", shallow)) if on)
+                return [(first[0], i, first[1], t, seconds, rom, rom / seconds if seconds > 0 else 0.0, not (short or shallow), short, shallow, why)]
+            return []
+
+        return step
+
+    schema = "start long, end long, start_time double, end_time double, duration_s double, rom double, mcv double, accepted boolean, short boolean, shallow boolean, reason string"
+    return fold(ready, key, [order], [order, "t", "y", "v", "_next", "_live"], schema, start)
+
+
 def kalman_scalar(df: DataFrame, key: str, order: str, value: str, q: float = 0.005, r: float = 0.05) -> DataFrame:
     """A random-walk filter of one value from 0 with variance 1: (key, order, filtered)."""
 
@@ -112,29 +152,54 @@ def kalman_scalar(df: DataFrame, key: str, order: str, value: str, q: float = 0.
     return fold(df, key, [order], [order, value], f"{order} long, filtered double", start)
 
 
-def kalman_motion(df: DataFrame, key: str, order: str, time: str | None, value: str, noise: np.ndarray | float, r: float, p0: tuple[float, float, float], dt: float | None = None) -> DataFrame:
+class Motion:
+    """A value with its speed and acceleration, and their six covariances written out."""
+
+    __slots__ = ("a", "p00", "p01", "p02", "p11", "p12", "p22", "v", "y")
+
+    def __init__(self, y: float, p0: tuple[float, float, float]):
+        self.y, self.v, self.a = float(y), 0.0, 0.0
+        self.p00, self.p11, self.p22 = p0
+        self.p01 = self.p02 = self.p12 = 0.0
+
+    def predict(self, d: float, q: float, jumps: bool) -> None:
+        """By a time d. q: the density of the acceleration's jumps, or else what is added to each variance."""
+        e = d * d / 2
+        self.y, self.v = self.y + self.v * d + self.a * e, self.v + self.a * d
+        m00, m01, m02 = self.p00 + d * self.p01 + e * self.p02, self.p01 + d * self.p11 + e * self.p12, self.p02 + d * self.p12 + e * self.p22
+        m11, m12 = self.p11 + d * self.p12, self.p12 + d * self.p22
+        ee, ed, e1, dd, d1 = (q * e * e, q * e * d, q * e, q * d * d, q * d) if jumps else (q, 0.0, 0.0, q, 0.0)
+        self.p00, self.p01, self.p02 = m00 + d * m01 + e * m02 + ee, m01 + d * m02 + ed, m02 + e1
+        self.p11, self.p12, self.p22 = m11 + d * m12 + dd, m12 + d1, self.p22 + q
+
+    def correct(self, z: float, r: float) -> None:
+        s, off = self.p00 + r, z - self.y
+        k0, k1, k2 = self.p00 / s, self.p01 / s, self.p02 / s
+        self.y, self.v, self.a = self.y + k0 * off, self.v + k1 * off, self.a + k2 * off
+        self.p11, self.p12, self.p22 = self.p11 - k1 * self.p01, self.p12 - k1 * self.p02, self.p22 - k2 * self.p02
+        self.p00, self.p01, self.p02 = self.p00 - k0 * self.p00, self.p01 - k0 * self.p01, self.p02 - k0 * self.p02
+
+
+def kalman_motion(df: DataFrame, key: str, order: str, time: str | None, value: str, noise: float, r: float, p0: tuple[float, float, float], dt: float | None = None) -> DataFrame:
     """Constant-acceleration filter of a position: (key, order, y, v, a). noise: spectral density of the acceleration's jumps with
     time steps from ``time`` (steps that don't go forward count as a sixtieth of a second), or with a fixed dt the variance added to each state."""
 
     def start():
-        x = p = last = None
+        held = last = None
 
         def step(i, t, z):
-            nonlocal x, p, last
-            if x is None:
-                if missing(z):
+            nonlocal held, last
+            seen = not missing(z)
+            if held is None:
+                if not seen:
                     return []
-                x, p, last = np.array([z, 0.0, 0.0]), np.diag(p0).astype(float), t
-                return [(i, z, 0.0, 0.0)]
-            d = dt if dt is not None else t - last if t - last > 0 else 1 / 60
-            last = t
-            move = np.array([[1, d, d * d / 2], [0, 1, d], [0, 0, 1]])
-            g = np.array([d * d / 2, d, 1.0])
-            x, p = move @ x, move @ p @ move.T + (np.outer(g, g) * noise if dt is None else np.eye(3) * noise)
-            if not missing(z) and math.isfinite(z):
-                gain = p[:, 0] / (p[0, 0] + r)
-                x, p = x + gain * (z - x[0]), p - np.outer(gain, p[0])
-            return [(i, *map(float, x))]
+                held, last = Motion(z, p0), t
+            else:
+                held.predict(dt if dt is not None else t - last if t - last > 0 else 1 / 60, noise, dt is None)
+                last = t
+                if seen and math.isfinite(z):
+                    held.correct(z, r)
+            return [(i, held.y, held.v, held.a)]
 
         return step
 

@@ -86,10 +86,11 @@ def differences(sets: dict[str, DataFrame], column: str) -> DataFrame:
 
 
 def suppress(boxes: DataFrame, key: str, limit: float) -> DataFrame:
-    """Non-maximum suppression of a frame's boxes: by confidence, then pos; a box goes if a kept one overlaps it by more than limit. A fold over the frame's few boxes."""
+    """Non-maximum suppression of a frame's boxes: by confidence, then pos; a box goes if a kept one overlaps it by more than limit. Boxes without a confidence come
+    last. A fold over the frame's few boxes."""
     from kinetia.functions.columns import corners, iou
 
-    box = F.struct((-F.col("conf")).alias("o"), "pos", "cx", "cy", "w", "h", "conf")
+    box = F.struct(F.coalesce(-F.col("conf"), F.lit(float("inf"))).alias("o"), "pos", "cx", "cy", "w", "h", "conf")
     grouped = boxes.groupBy(key).agg(F.array_sort(F.collect_list(box)).alias("all"))
 
     def overlap(a, b):

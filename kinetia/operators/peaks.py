@@ -73,6 +73,42 @@ def peaks(df: DataFrame, key: str, order: str, value: str, distance: int = 1, pr
     return rows.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, height double, prominence double")
 
 
+def peak_troughs(signal: DataFrame, peaks_: DataFrame, troughs: DataFrame, key: str, order: str, value: str, gap: int, reach: int, share: float = 0.6) -> DataFrame:
+    """(key, order, end, found, peak_value, end_value): each peak with the first trough more than gap rows after it that lies below the key's share quantile, or, where there is
+    none, with the lowest of its own and the next reach rows, the first of equals. signal: rows without gaps in order; peaks_ and troughs: (key, order), rows of it.
+
+    Windows whose frames grow by a row at a time (over the reversed order) or hold reach rows, so a key's rows are passed in linear time; a key's quantile holds its distinct values."""
+    level = signal.groupBy(key).agg(F.percentile(value, share).alias("_level"))
+    marks = lambda df, name: df.select(key, order).distinct().withColumn(name, F.lit(True))
+    rows = signal.select(key, order, value).join(marks(peaks_, "_peak"), [key, order], "left").join(marks(troughs, "_trough"), [key, order], "left").join(level, key)
+    at = F.struct(F.col(order).alias("at"), F.col(value).alias("v"))
+    back, w = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0), windows.by(key, order)
+    rows = rows.withColumn("_next", F.last(F.when(F.col("_trough") & (F.col(value) < F.col("_level")), at), True).over(back))
+    low = F.min(F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col(order).alias("at")))).over(w.rowsBetween(0, reach))
+    rows = rows.withColumn("_first", F.lead("_next", gap + 1).over(w)).withColumn("_low", low).where("_peak")
+    found = F.col("_first").isNotNull()
+    end = F.when(found, F.col("_first.at")).otherwise(F.col("_low.at"))
+    return rows.select(key, order, end.alias("end"), F.when(found, "trough").otherwise("lowest").alias("found"), F.col(value).alias("peak_value"), F.when(found, F.col("_first.v")).otherwise(F.col("_low.v")).alias("end_value"))
+
+
+def peak_first(df: DataFrame, key: str, order: str, value: str, speed: str, fps: float, scale: float, least_rows: int = 30, seconds: tuple[float, float] = (0.2, 7.5), least_cm: float = 8.0, prominence: float = 12.0) -> DataFrame:
+    """(key, start, end, duration_s, rom_cm, mcv, pv): repetitions from each peak of value to its trough. Peaks are apart half a second, or 20 rows if that is more, and prominent;
+    troughs are half as far apart. mcv is the mean of the positive speeds before the end (0: none), pv the largest one. Keys of fewer rows have none."""
+    apart = max(int(fps * 0.5), 20)
+    n = F.count("*").over(Window.partitionBy(key))
+    held = df.withColumn("_n", n).where(F.col("_n") >= least_rows).select(key, order, value, speed)
+    high = peaks(held, key, order, value, apart, prominence)
+    low = peaks(held.withColumn("_down", -F.col(value)), key, order, "_down", max(apart // 2, 10))
+    pairs = peak_troughs(held, high, low, key, order, value, int(fps * 0.15), max(int(fps * 3.0), 60))
+    took, rom = (F.col("end") - F.col(order)) / fps, F.abs(F.col("end_value") - F.col("peak_value")) * scale * 100.0
+    reps = pairs.select(key, F.col(order).alias("start"), F.col("end").alias("_end"), took.alias("duration_s"), rom.alias("rom_cm")).where(F.col("duration_s").between(*seconds) & (F.col("rom_cm") >= least_cm))
+    from kinetia.operators.metrics import rep_velocities
+
+    spans = reps.withColumn("end", F.col("_end") - 1)
+    v = rep_velocities(held, spans, key, order, speed)
+    return spans.join(v, [key, "start", "end"]).select(key, "start", F.col("_end").alias("end"), "duration_s", "rom_cm", F.col("mcv_pos").alias("mcv"), "pv")
+
+
 def trailing_event(events: DataFrame, ends: DataFrame, key: str, order: str, fps: float, scale: float, seconds: tuple[float, float], least_rom: float) -> DataFrame:
     """events (key, order, kind b or t, value) with one more t where a key's last event is a b, at its last row (ends: key, order, value), if that lasts and climbs enough."""
     last = events.groupBy(key).agg(F.max(F.struct(order, "kind", "value")).alias("l"))

@@ -40,11 +40,13 @@ def proportional(videos: DataFrame, key: str, size: str, target: int, slack: int
 
 
 def category_quotas(videos: DataFrame, category: str, per_video: dict[str, int], target: int) -> DataFrame:
-    """(category, n): frames of each category's videos, scaled to about target in all, at least 5."""
-    each = F.create_map(*(F.lit(x) for kv in per_video.items() for x in kv))
-    n = videos.groupBy(category).agg(F.count("*").alias("v")).where(F.col(category).isin(*per_video)).withColumn("v", F.col("v") * F.element_at(each, F.col(category)))
+    """(category, n): frames of each category of per_video, those of its videos scaled to about target in all, at least 5, also where it has no videos."""
+    each = videos.sparkSession.createDataFrame(list(per_video.items()), f"{category} string, _each int")
+    counts = videos.groupBy(category).agg(F.count("*").alias("_v"))
+    n = each.join(counts, category, "left").withColumn("v", F.coalesce("_v", F.lit(0)) * F.col("_each"))
     whole = n.agg(F.sum("v").alias("_all"))
-    return n.crossJoin(F.broadcast(whole)).select(category, F.greatest(F.lit(5), (F.col("v") * (F.lit(float(target)) / F.col("_all"))).cast("int")).cast("long").alias("n"))  # one row
+    scaled = F.when(F.col("_all") > 0, F.col("v") * (F.lit(float(target)) / F.col("_all"))).otherwise(0.0)
+    return n.crossJoin(F.broadcast(whole)).select(category, F.greatest(F.lit(5), scaled.cast("int")).cast("long").alias("n"))  # one row
 
 
 def every(df: DataFrame, order: str, stride: int) -> DataFrame:

@@ -143,3 +143,14 @@ def moving_signal(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, signal): the column of the largest peak-to-peak range, the first of equals."""
     ranges = [F.struct((F.coalesce(F.max(c) - F.min(c), F.lit(0.0))).alias("r"), F.lit(-k).alias("k"), F.lit(c).alias("c")) for k, c in enumerate(columns)]
     return df.groupBy(key).agg(F.array_max(F.array(*ranges)).alias("b")).select(key, F.col("b.c").alias("signal"), F.col("b.r").alias("span"))
+
+
+def motion_scores(df: DataFrame, key: str, order: str, array: str, stride: int = 15) -> DataFrame:
+    """motion: the mean absolute difference of each row's numbers from those of the row before, of every stride-th row of a key (the first one, which has none before it, aside).
+    Arrays of unequal length compare what both have; an empty or null one gives null."""
+    w = by(key, order)
+    held = df.withColumn("_before", F.lag(array).over(w)).withColumn("_i", F.row_number().over(w) - 1).where((F.col("_i") > 0) & (F.col("_i") % stride == 0))
+    n = F.least(F.size(array), F.size("_before"))
+    pairs = F.zip_with(F.slice(array, F.lit(1), n), F.slice("_before", F.lit(1), n), lambda a, b: F.abs(a.cast("double") - b.cast("double")))
+    total = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
+    return held.withColumn("motion", F.when(n > 0, total / n)).drop("_before", "_i")

@@ -104,10 +104,10 @@ def proportional_frames(spark, d):
     return sampling.proportional(v, "video_id", "size", 1500)
 
 
-@query("""WITH n AS (SELECT c_mktsegment AS category, count(*) * CASE c_mktsegment WHEN 'BUILDING' THEN 6 ELSE 2 END AS v FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE') GROUP BY 1)
+@query("""WITH n AS (SELECT category, frames * (SELECT count(*) FROM customer WHERE c_mktsegment = category) AS v FROM (VALUES ('BUILDING', 6), ('MACHINERY', 2), ('FURNITURE', 2), ('NOWHERE', 4)) x(category, frames))
 SELECT category, CAST(greatest(5, trunc(v * (400.0::DOUBLE / (SELECT sum(v) FROM n)))) AS BIGINT) AS n FROM n""")
 def category_quotas(spark, d):
-    return sampling.category_quotas(table(spark, d, "customer").select(F.col("c_mktsegment").alias("category")), "category", {"BUILDING": 6, "MACHINERY": 2, "FURNITURE": 2}, 400)
+    return sampling.category_quotas(table(spark, d, "customer").select(F.col("c_mktsegment").alias("category")), "category", {"BUILDING": 6, "MACHINERY": 2, "FURNITURE": 2, "NOWHERE": 4}, 400)
 
 
 @query(f"""WITH {FRAMES}, u AS (SELECT video_id, idx, idx % 5 = 0 AS r, kind = 'purchase' AS b, count(*) OVER (PARTITION BY video_id) AS n FROM f)

@@ -1,6 +1,6 @@
 """All registered queries of the engine, and their SQL."""
 
-from kinetia.plans import audit_queries, track_queries
+from kinetia.plans import audit_queries, track_queries, tracker_queries
 from kinetia.plans.queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "audit_queries", "track_queries"]
+__all__ = ["ORACLES", "QUERIES", "audit_queries", "track_queries", "tracker_queries"]

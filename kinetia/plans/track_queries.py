@@ -184,13 +184,16 @@ def near_prediction(spark, d):
     return rounded(matching.near_prediction(b, "frame", "x", "y", "speed", "missed", 60.0).select("frame", "pos", "dist", "n"))
 
 
-@query(f"""WITH RECURSIVE {FRAMES}, d AS (SELECT video_id, idx, y * 100 AS dx, conf * 100 AS dy, 120.0::DOUBLE AS dw, 100 + t % 60 AS dh, conf FROM f), k AS (SELECT video_id, idx, CASE WHEN dx IS NOT NULL THEN 'B' END AS state, dx AS x, CASE WHEN dx IS NOT NULL THEN dy END AS y, CASE WHEN dx IS NOT NULL THEN dh END AS size FROM d WHERE idx = 0
-UNION ALL SELECT video_id, i, s2, CASE s2 WHEN 'A' THEN 0.6::DOUBLE * dx + 0.4::DOUBLE * x WHEN 'B' THEN dx ELSE x END, CASE s2 WHEN 'A' THEN 0.6::DOUBLE * dy + 0.4::DOUBLE * y WHEN 'B' THEN dy ELSE y END, CASE WHEN s2 IN ('A', 'B') THEN dh ELSE size END
- FROM (SELECT *, CASE WHEN dx IS NULL THEN NULL WHEN x IS NULL THEN 'B' WHEN inter / greatest(size * size + dw * dh - inter, 1e-6) > 0.2 THEN 'A' WHEN conf > 0.65 THEN 'B' ELSE 'C' END AS s2 FROM
- (SELECT d.video_id, d.idx AS i, dx, dy, dw, dh, conf, x, y, size, greatest(0, least(x + size / 2, dx + dw / 2) - greatest(x - size / 2, dx - dw / 2)) * greatest(0, least(y + size / 2, dy + dh / 2) - greatest(y - size / 2, dy - dh / 2)) AS inter FROM k JOIN d ON d.video_id = k.video_id AND d.idx = k.idx + 1)))
-SELECT video_id, idx, state, round(x, 6) AS cx, round(y, 6) AS cy FROM k""")
+@query(f"""WITH RECURSIVE {FRAMES}, d AS (SELECT video_id, idx, y * 100 AS dx, conf * 100 AS dy, 100 + t % 60 AS dh, conf FROM f),
+k AS (SELECT video_id, idx, CASE WHEN dx IS NOT NULL THEN 'B' END AS state, dx AS x, CASE WHEN dx IS NOT NULL THEN dy END AS y, CASE WHEN dx IS NOT NULL THEN dh END AS size, 0.0::DOUBLE AS v, 0::BIGINT AS missed FROM d WHERE idx = 0
+UNION ALL SELECT video_id, i, s2, CASE s2 WHEN 'A' THEN 0.6::DOUBLE * dx + 0.4::DOUBLE * (x + v1 * (missed + 1)) WHEN 'B' THEN dx ELSE x END, CASE s2 WHEN 'A' THEN 0.6::DOUBLE * dy + 0.4::DOUBLE * (y + v1 * (missed + 1)) WHEN 'B' THEN dy ELSE y END, CASE WHEN s2 IN ('A', 'B') THEN dh ELSE size END,
+ CASE WHEN s2 = 'B' THEN 0 WHEN dx IS NULL AND x IS NOT NULL THEN v1 * 0.6::DOUBLE ELSE v1 END, CASE WHEN dx IS NULL AND x IS NOT NULL THEN missed + 1 ELSE 0 END
+ FROM (SELECT *, CASE WHEN dx IS NULL THEN NULL WHEN x IS NULL THEN 'B' WHEN inter / greatest(1.4 * size * size + 1.4 * dh * dh - inter, 1e-6) > 0.2 THEN 'A' WHEN conf > 0.65 THEN 'B' ELSE 'C' END AS s2 FROM
+ (SELECT d.video_id, d.idx AS i, dx, dy, dh, conf, x, y, size, missed, CASE WHEN dx IS NOT NULL AND x IS NOT NULL AND missed = 0 THEN 0.7::DOUBLE * (dy - y) + 0.3::DOUBLE * v ELSE v END AS v1,
+  greatest(0, least(x + 0.7 * size, dx + 0.7 * dh) - greatest(x - 0.7 * size, dx - 0.7 * dh)) * greatest(0, least(y + size / 2, dy + dh / 2) - greatest(y - size / 2, dy - dh / 2)) AS inter FROM k JOIN d ON d.video_id = k.video_id AND d.idx = k.idx + 1)))
+SELECT video_id, idx, state, round(x, 6) AS cx, round(y, 6) AS cy, round(v, 6) AS speed FROM k""")
 def fused_boxes(spark, d):
-    f = frames(spark, d).select("video_id", "idx", (F.col("y") * 100).alias("dx"), (F.col("conf") * 100).alias("dy"), F.lit(120.0).alias("dw"), (100 + F.col("t") % 60).alias("dh"), "conf")
+    f = frames(spark, d).select("video_id", "idx", (F.col("y") * 100).alias("dx"), (F.col("conf") * 100).alias("dy"), (100 + F.col("t") % 60).alias("dh"), "conf")
     return rounded(tracks.fuse(f, "video_id", "idx"))
 
 

@@ -305,7 +305,7 @@ def test_valleys_merge_and_events(spark):
     y[20], y[30], y[60] = 0.5, 0.4, 0.7
     assert [(r["i"], round(r["depth"], 6)) for r in windows.valleys(series(spark, {"a": y}), "k", "i", "y").orderBy("i").collect()] == [(30, 0.6), (60, 0.3)]
     merged = folds.merge_peaks(series(spark, {"a": [1, 3, 2, 0, 0, 0, 5]}), "k", "i", "y", 3).orderBy("i").collect()
-    assert [(r["i"], r["y"]) for r in merged] == [(1, 3.0), (4, 0.0), (6, 5.0)] or [(r["i"], r["y"]) for r in merged][-1] == (6, 5.0)
+    assert [(r["i"], r["y"]) for r in merged] == [(1, 3.0), (6, 5.0)]  # 4 begins a group, which 6 joins and tops
     events = spark.createDataFrame([("a", 10, "b", 100.0), ("z", 5, "t", 1.0)], "k string, i long, kind string, value double")
     ends = spark.createDataFrame([("a", 40, 20.0), ("z", 40, 0.0)], "k string, i long, value double")
     got = peaks.trailing_event(events, ends, "k", "i", 30.0, 0.01, (0.25, 4.5), 0.5).where("kind = 't' and k = 'a'").collect()
