@@ -89,8 +89,8 @@ def test_stream_agrees_with_batch(spark, tmp_path):
         df.where(f"t >= {k * 3.4} and t < {(k + 1) * 3.4}").union(df.where(f"t = {k * 3.4}")).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    q = sessions.repetitions(stream).writeStream.format("memory").queryName("reps").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = sessions.repetitions(stream, timeout_ms=None).writeStream.format("memory").queryName("reps").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     got = {(r["video_id"], round(r["start_time"], 6), round(r["mcv_mps"], 6)) for r in spark.table("reps").collect()}
     batch = engine.segment(df.withColumn("idx", F.round(F.col("t") * 30).cast("long"))).collect()
     want = {(r["video_id"], round(r["start_time"], 6), round(r["mcv_mps"], 6)) for r in batch}
