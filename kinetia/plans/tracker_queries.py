@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinetia.functions import columns as C
 from kinetia.operators import folds, peaks, splines, trackers, windows
+from kinetia.plans import pipelines
 from kinetia.plans.queries import query, rounded
 from kinetia.sources.testdata import FRAMES, SHOTS, frames, shots, table
 
@@ -137,3 +138,13 @@ def motion_scores(spark, d):
 def video_checks(spark, d):
     meta = table(spark, d, "customer").select(F.col("c_custkey").alias("video_id"), F.col("c_acctbal").alias("fps"), (F.col("c_custkey") % 90).alias("n"))
     return rounded(meta.select("video_id", C.usable_fps(F.col("fps")).alias("fps"), C.video_error(F.col("n")).alias("status")))
+
+
+@query()
+def named_pipelines(spark, d):
+    """The five pipelines over each frame's first box, weak ones counting as missing; frames are numbered anew, as those without a box have no row."""
+    s = shots(spark, d).where("pos = 0")
+    idx = F.row_number().over(windows.by("video_id", "frame_idx")) - 1
+    seen = F.col("conf") >= 0.1
+    points = s.select("video_id", idx.cast("long").alias("idx"), *(F.when(seen, F.col(c)).alias(c) for c in ("cx", "cy")))
+    return rounded(pipelines.run(points, pipelines.Setup(scale=0.005)))
