@@ -142,9 +142,9 @@ def video_checks(spark, d):
 
 @query()
 def named_pipelines(spark, d):
-    """The five pipelines over each frame's first box, weak ones counting as missing; frames are numbered anew, as those without a box have no row."""
-    s = shots(spark, d).where("pos = 0")
+    """The five pipelines over the heights of each frame's first box, weak ones counting as missing. A video is 400 frame numbers on end, so that videos keep their length as the table grows; frames are numbered anew, as those without a box have no row."""
+    s = shots(spark, d).where("pos = 0").withColumns({"video_id": F.floor(F.col("frame") / 400), "frame_idx": F.col("frame")})
     idx = F.row_number().over(windows.by("video_id", "frame_idx")) - 1
     seen = F.col("conf") >= 0.1
-    points = s.select("video_id", idx.cast("long").alias("idx"), *(F.when(seen, F.col(c)).alias(c) for c in ("cx", "cy")))
+    points = s.select("video_id", idx.cast("long").alias("idx"), F.when(seen, F.col("cx")).alias("cx"), F.when(seen, F.col("h")).alias("cy"))
     return rounded(pipelines.run(points, pipelines.Setup(scale=0.005)))
