@@ -254,34 +254,42 @@ def associate(df: DataFrame, key: str, order: str, reach: float = 400.0, anchor_
     return fold(df, key, [order], [order, "cx", "cy"], f"{order} long, state string, valid boolean, gap long, cx double, cy double, is_anchor boolean", start)
 
 
+class Descent:
+    """Follows a height (y down) through descents, and tells when a turn after a descent's lowest point is confirmed. Unknown until a top is given or seen."""
+
+    __slots__ = ("armed", "held", "high", "low", "low_at", "top", "up")
+
+    def __init__(self):
+        self.top = None
+
+    def begin(self, y: float, i: int = 0) -> None:
+        self.up, self.top, self.low, self.low_at, self.armed, self.held, self.high = False, y, y, i, False, 0, y
+
+    def turned(self, y: float, i: int, radius: float, arm: float = 1.5, back: float = 0.3, frames: int = 4) -> bool:
+        if self.top is None:
+            self.begin(y, i)
+        elif self.up:
+            self.high = min(self.high, y)
+            if self.low - self.high >= arm * radius:
+                self.begin(self.high, i)
+        elif y > self.low:
+            self.low, self.low_at, self.held = y, i, 0
+            self.armed = self.armed or y - self.top >= arm * radius
+        elif self.armed:
+            self.held = self.held + 1 if self.low - y >= back * radius else 0
+            if self.held >= frames:
+                self.up, self.armed, self.held, self.high = True, False, 0, y
+                return True
+        return False
+
+
 def bottoms(df: DataFrame, key: str, order: str, value: str, radius: float, arm: float = 1.5, back: float = 0.3, frames: int = 4) -> DataFrame:
     """Triggers after the lowest point (largest value, y down) of each descent: (key, order, bottom, at). A descent of arm radii from the top arms; it fires when
     for so many frames in a row the value has been back radii above the lowest. Then the value must climb arm radii, to a new top, before the next descent counts."""
 
     def start():
-        up, top, low, low_at, armed, held, high = False, None, 0.0, 0, False, 0, 0.0
-
-        def step(i, y):
-            nonlocal up, top, low, low_at, armed, held, high
-            if missing(y):
-                return []
-            if top is None:
-                top, low, low_at = y, y, i
-            elif up:
-                high = min(high, y)
-                if low - high >= arm * radius:
-                    up, top, low, low_at = False, high, high, i
-            elif y > low:
-                low, low_at, held = y, i, 0
-                armed = armed or low - top >= arm * radius
-            elif armed:
-                held = held + 1 if low - y >= back * radius else 0
-                if held >= frames:
-                    up, armed, held, high = True, False, 0, y
-                    return [(i, low, low_at)]
-            return []
-
-        return step
+        d = Descent()
+        return lambda i, y: [(i, d.low, d.low_at)] if not missing(y) and d.turned(y, i, radius, arm, back, frames) else []
 
     return fold(df, key, [order], [order, value], f"{order} long, bottom double, at long", start)
 

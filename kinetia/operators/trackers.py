@@ -111,6 +111,35 @@ def displaced_filter(frames: DataFrame, features: DataFrame, key: str, frame: st
     return fold(rows, key, [frame], [frame, time, place, "_step"], f"{frame} long, src string, y double, v double", start)
 
 
+class Watch:
+    """Clusters of all boxes seen, for a target that was lost to something at rest."""
+
+    def __init__(self, least_conf: float, reach: float, keep: int, least: int, motion: float, away: float):
+        self.least_conf, self.reach, self.keep, self.least, self.motion, self.away = least_conf, reach, keep, least, motion, away
+        self.clusters: list[list] = []  # centre x, y, observations (frame, cy, h)
+
+    def see(self, n: int, boxes, target: float) -> tuple[float, float, float, int] | None:
+        """A frame's boxes; centre, last height and observations of the cluster to adopt."""
+        for b in boxes:
+            if missing(b["conf"]) or b["conf"] < self.least_conf:
+                continue
+            hit = next((c for c in self.clusters if math.hypot(b["cx"] - c[0], b["cy"] - c[1]) < self.reach), None)
+            if hit is None:
+                hit = [b["cx"], b["cy"], []]
+                self.clusters.append(hit)
+            hit[0], hit[1] = 0.7 * b["cx"] + 0.3 * hit[0], 0.7 * b["cy"] + 0.3 * hit[1]
+            hit[2].append((n, b["cy"], b["h"]))
+        for c in self.clusters:
+            c[2] = [o for o in c[2] if o[0] >= n - self.keep]
+        self.clusters = [c for c in self.clusters if c[2]]
+        for x, y, seen in self.clusters:
+            mean = sum(o[1] for o in seen) / len(seen)
+            if len(seen) >= self.least and math.sqrt(sum((o[1] - mean) ** 2 for o in seen) / len(seen)) > self.motion and abs(seen[-1][1] - target) > self.away:
+                self.clusters = []
+                return x, y, seen[-1][2], len(seen)
+        return None
+
+
 def watch_clusters(boxes: DataFrame, key: str, frame: str, least_conf: float = 0.3, reach: float = 60.0, keep: int = 90, least: int = 4, motion: float = 40.0, away: float = 60.0) -> DataFrame:
     """(key, frame, cx, cy, h, hits): where a target is adopted from clusters that watch all boxes (key, frame, pos, cx, cy, w, h, conf).
 
@@ -120,29 +149,15 @@ def watch_clusters(boxes: DataFrame, key: str, frame: str, least_conf: float = 0
     State: the clusters of the last keep frames."""
 
     def start():
-        clusters: list[list] = []  # centre x, y, observations (frame, cy, h)
-        target = 0.0
+        watch, target = Watch(least_conf, reach, keep, least, motion, away), 0.0
 
         def step(n, found):
-            nonlocal clusters, target
-            for b in found if found is not None else []:
-                if missing(b["conf"]) or b["conf"] < least_conf:
-                    continue
-                hit = next((c for c in clusters if math.hypot(b["cx"] - c[0], b["cy"] - c[1]) < reach), None)
-                if hit is None:
-                    hit = [b["cx"], b["cy"], []]
-                    clusters.append(hit)
-                hit[0], hit[1] = 0.7 * b["cx"] + 0.3 * hit[0], 0.7 * b["cy"] + 0.3 * hit[1]
-                hit[2].append((n, b["cy"], b["h"]))
-            for c in clusters:
-                c[2] = [o for o in c[2] if o[0] >= n - keep]
-            clusters = [c for c in clusters if c[2]]
-            for x, y, seen in clusters:
-                mean = sum(o[1] for o in seen) / len(seen)
-                if len(seen) >= least and math.sqrt(sum((o[1] - mean) ** 2 for o in seen) / len(seen)) > motion and abs(seen[-1][1] - target) > away:
-                    clusters, target = [], y
-                    return [(n, x, y, seen[-1][2], len(seen))]
-            return []
+            nonlocal target
+            adopted = watch.see(n, found if found is not None else [], target)
+            if adopted is None:
+                return []
+            target = adopted[1]
+            return [(n, *adopted)]
 
         return step
 

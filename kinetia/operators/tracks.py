@@ -10,37 +10,60 @@ from pyspark.sql import functions as F
 from kinetia.operators.folds import fold, median, missing
 
 
-def by_frame(boxes: DataFrame, key: str, frame: str) -> DataFrame:
+def by_frame(boxes: DataFrame, key: str, frame: str, *more: str) -> DataFrame:
     """One row a frame with its few boxes in order; frames without any must be rows with null boxes."""
-    box = F.struct("pos", "cx", "cy", "w", "h", "conf")
+    box = F.struct("pos", "cx", "cy", "w", "h", "conf", *more)
     return boxes.groupBy(key, frame).agg(F.sort_array(F.collect_list(F.when(F.col("cx").isNotNull(), box))).alias("boxes"))
 
 
+class Candidate:
+    """A track that awaits confirmation: its last box, its hits and the mean and squared deviations of its heights."""
+
+    __slots__ = ("box", "hits", "id", "mean", "missed", "squares")
+
+    def __init__(self, id_: int, box):
+        self.id, self.box, self.hits, self.missed, self.mean, self.squares = id_, box, 1, 0, box["cy"], 0.0
+
+    def take(self, box) -> None:
+        self.box, self.hits, self.missed = box, self.hits + 1, 0
+        off = box["cy"] - self.mean
+        self.mean += off / self.hits
+        self.squares += off * (box["cy"] - self.mean)
+
+    @property
+    def motion(self) -> float:
+        return math.sqrt(self.squares / self.hits)
+
+
+class Pending:
+    """The candidates of one video. In order, each takes the nearest free box below reach; other boxes begin new ones; those that miss more frames than allowed end."""
+
+    def __init__(self, reach: float, most_missed: int):
+        self.reach, self.most_missed, self.alive, self.next_id = reach, most_missed, [], 0
+
+    def see(self, boxes) -> list[Candidate]:
+        """A frame's boxes; the candidates that took or began with one."""
+        free, taken = dict(enumerate(boxes)), []
+        for t in self.alive:
+            x, y = t.box["cx"], t.box["cy"]
+            near = min(((math.hypot(b["cx"] - x, b["cy"] - y), i) for i, b in free.items()), default=(self.reach, -1))
+            if near[0] < self.reach:
+                t.take(free.pop(near[1]))
+                taken.append(t)
+            else:
+                t.missed += 1
+        new = [Candidate(self.next_id + i, b) for i, b in enumerate(free.values())]
+        self.next_id += len(new)
+        self.alive = [t for t in self.alive if t.missed <= self.most_missed] + new
+        return taken + new
+
+
 def pending(boxes: DataFrame, key: str, frame: str, reach: float = 40.0, most_missed: int = 5) -> DataFrame:
     """(key, frame, track, pos, hits): each box's track. Tracks, in order, take the nearest free box below reach; other boxes begin tracks; a track that misses more frames than allowed ends."""
 
     def start():
-        alive, next_id = [], 0
-
-        def step(f, found):
-            nonlocal alive, next_id
-            free, out = dict(enumerate(found if found is not None else [])), []
-            for t in alive:
-                near = min(((math.hypot(b["cx"] - t[1], b["cy"] - t[2]), i) for i, b in free.items()), default=(reach, -1))
-                if near[0] < reach:
-                    b = free.pop(near[1])
-                    t[1:5] = b["cx"], b["cy"], t[3] + 1, 0
-                    out.append((f, t[0], b["pos"], t[3]))
-                else:
-                    t[4] += 1
-            for b in free.values():
-                alive.append([next_id, b["cx"], b["cy"], 1, 0])
-                out.append((f, next_id, b["pos"], 1))
-                next_id += 1
-            alive = [t for t in alive if t[4] <= most_missed]
-            return out
-
-        return step
+        candidates = Pending(reach, most_missed)
+        return lambda f, found: [(f, t.id, t.box["pos"], t.hits) for t in candidates.see(found if found is not None else [])]
 
     return fold(by_frame(boxes, key, frame), key, [frame], [frame, "boxes"], f"{frame} long, track long, pos long, hits long", start)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinetia.functions import columns as C
-from kinetia.operators import folds, peaks, splines, trackers, windows
+from kinetia.operators import folds, hybrid, peaks, splines, trackers, windows
 from kinetia.plans import pipelines
 from kinetia.plans.queries import query, rounded
 from kinetia.sources.testdata import FRAMES, SHOTS, frames, shots, table
@@ -148,3 +148,29 @@ def named_pipelines(spark, d):
     seen = F.col("conf") >= 0.1
     points = s.select("video_id", idx.cast("long").alias("idx"), F.when(seen, F.col("cx")).alias("cx"), F.when(seen, F.col("h")).alias("cy"))
     return rounded(pipelines.run(points, pipelines.Setup(scale=0.005)))
+
+
+def hybrid_tracks(spark, d):
+    """Boxes on a wave for the hybrid tracker: each frame's first box is the target's, the second one a bar that moves in each third video, others lie still. A video is 800
+    frame numbers on end. In stretches of the wave the target is hidden, or its fit wanders off."""
+    b = shots(spark, d).withColumn("video_id", F.floor(F.col("frame") / 800))
+    b = b.withColumn("k", F.dense_rank().over(Window.partitionBy("video_id").orderBy("frame")).cast("long"))
+    k, own, other = F.col("k"), F.col("pos") == 0, (F.col("pos") == 1) & (F.col("video_id") % 3 == 0)
+    wave, hidden = 300 + 60 * F.sin(k / 25), ((k % 120).between(70, 95)) | ((k % 400).between(260, 330))
+    cx = F.when(own, 320 + F.col("cx") % 5).when(other, 100 + F.col("cx") % 20).otherwise(560 + F.col("cx") % 3)
+    cy = F.when(own, wave + F.col("cy") % 7 - 3).when(other, 430 + 90 * F.sin(k / 40)).otherwise(80 + F.col("cy") % 3)
+    h, match = 45 + F.col("h") % 10, F.col("w") % 10 / 10
+    seen = b.select("video_id", "k", "pos", cx.alias("cx"), cy.alias("cy"), h.alias("w"), h.alias("h"), F.when(own & hidden, 0.1).otherwise(0.2 + 0.8 * F.col("conf")).alias("conf"), match.alias("match"))
+    off = F.when(k % 50 == 49, 100).otherwise(k % 30 / 3)
+    fits = b.where(own).select("video_id", "k", F.lit(321.0).alias("fx"), (wave + off).alias("fy"), F.when(hidden, 0.1).otherwise(0.4 + 0.6 * F.col("conf")).alias("score"))
+    return hybrid.hybrid(seen, fits, "video_id", "k", 640, 640)
+
+
+@query()
+def hybrid_tracker(spark, d):
+    return rounded(hybrid_tracks(spark, d))
+
+
+@query()
+def hybrid_report(spark, d):
+    return rounded(hybrid.report(hybrid_tracks(spark, d), "video_id"))
