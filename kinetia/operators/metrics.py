@@ -68,17 +68,23 @@ _NAMES = ("sp", "sg", "spp", "spg", "sgg")
 
 def cluster_bootstrap(pairs: DataFrame, key: str, draws: int = 2000, seed: int = 42) -> DataFrame:
     """Percentile interval of the slope when keys are drawn with replacement. Each key draws its own Poisson(1) count for each
-    replicate from a hash, so keys need not be numbered and no task sees them all; the replicates' sums are pre-aggregated."""
+    replicate from a hash, so keys need not be numbered and no task sees them all. A md5 of `seed:key:block` has the draws of four replicates, eight hexadecimal
+    digits each, and their sums are aggregated before the shuffle, so a partition sends a row for each four replicates, whatever its number of keys. Keys count as text, a null one as empty."""
     own = pairs.groupBy(key).agg(*_sums())
-    reps = own.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = (F.xxhash64(key, "draw", F.lit(seed)).cast("double") / 2.0**64) + 0.5
+    blocks = own.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((draws + 3) // 4 - 1))))
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    blocks = blocks.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), text, F.lit(":"), F.col("_block").cast("string"))))
     limits, term, total = [], 0.36787944117144233, 0.0
     for k in range(8):
         total += term
-        limits.append(total)
+        limits.append(int(total * 2**32))
         term /= k + 1
-    times = sum(F.when(u > x, 1).otherwise(0) for x in limits)
-    s = reps.withColumn("k", times).where("k > 0").groupBy("draw").agg(*(F.sum(F.col(c) * F.col("k")).alias(c) for c in ("n", *_NAMES)))
+    # digits are compared as text: they are of one length, and their characters sort as their values
+    counts = {f"_k{j}": sum(F.when(F.substring("_hash", 8 * j + 1, 8) > f"{x:08x}", 1.0).otherwise(0.0) for x in limits) for j in range(4)}
+    names = ("n", *_NAMES)
+    s = blocks.withColumns(counts).groupBy("_block").agg(*(F.sum(F.col(c) * F.col(k)).alias(f"{k}_{c}") for k in counts for c in names))
+    each = F.explode(F.array(*(F.struct((F.col("_block") * 4 + j).alias("draw"), *(F.col(f"{k}_{c}").alias(c) for c in names)) for j, k in enumerate(counts))))
+    s = s.select(each.alias("s")).select("s.*").where(F.col("draw") < draws)
     slope = F.try_divide(F.col("n") * F.col("spg") - F.col("sp") * F.col("sg"), F.col("n") * F.col("spp") - F.col("sp") * F.col("sp"))
     return s.select(slope.alias("slope")).agg(F.percentile("slope", 0.025).alias("low"), F.percentile("slope", 0.975).alias("high"), F.avg("slope").alias("mean"))
 

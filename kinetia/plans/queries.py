@@ -268,7 +268,13 @@ def lovo_cv(spark, d):
     return df.select("video_id", "n", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"), F.round("rmse", 4).alias("rmse"))
 
 
-@query()
+POISSON = [1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777, 4294923276]  # of 2^32, the shares of counts 0, at most 1, at most 2 and on
+
+
+@query(f"""WITH {PAIRS}, o AS (SELECT video_id, count(*)::DOUBLE AS n, sum(pred) AS sp, sum(gt) AS sg, sum(pred * pred) AS spp, sum(pred * gt) AS spg FROM pairs GROUP BY 1),
+h AS (SELECT o.*, b, md5('42:' || video_id || ':' || b) AS h FROM o, (SELECT unnest(range(500)) AS b)), u AS (SELECT n, sp, sg, spp, spg, b * 4 + j AS draw, ('0x' || substr(h, 8 * j + 1, 8))::BIGINT AS u FROM h, (SELECT unnest(range(4)) AS j)),
+k AS (SELECT *, len(list_filter({POISSON}::BIGINT[], lambda x: u > x)) AS k FROM u), s AS (SELECT draw, sum(n * k) AS n, sum(sp * k) AS sp, sum(sg * k) AS sg, sum(spp * k) AS spp, sum(spg * k) AS spg FROM k GROUP BY 1),
+a AS (SELECT (n * spg - sp * sg) / (n * spp - sp * sp) AS slope FROM s) SELECT round(quantile_cont(slope, 0.025), 6) AS low, round(quantile_cont(slope, 0.975), 6) AS high, round(avg(slope), 6) AS mean FROM a""")
 def slope_bootstrap(spark, d):
     return rounded(metrics.cluster_bootstrap(pairs(spark, d), "video_id"))
 
@@ -413,12 +419,12 @@ def _fsm(step: str, first: str) -> str:
  lag(t) OVER (PARTITION BY video_id ORDER BY idx) AS tl, lag(y) OVER (PARTITION BY video_id ORDER BY idx) AS yl FROM v WINDOW a AS (PARTITION BY video_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND {{c}} FOLLOWING)),
 k AS (SELECT video_id, idx, 0 AS s, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS bt, CAST(NULL AS DOUBLE) AS b_y, CAST(NULL AS BIGINT) AS e, CAST(NULL AS DOUBLE) AS et, CAST(NULL AS DOUBLE) AS ey FROM w WHERE idx = 0 AND n >= 10
 UNION ALL SELECT w.video_id, w.idx, {step}, {first}, CASE WHEN s = 2 AND ({{end}}) THEN w.idx END, w.t, w.y FROM k JOIN w ON w.video_id = k.video_id AND w.idx = k.idx + 1 WHERE w.idx < w.n - {{last}})
-SELECT video_id, b AS start_idx, e AS end_idx, round(et - bt, 6) AS duration_s, round(abs(ey - b_y), 6) AS rom_m FROM k WHERE e IS NOT NULL AND et - bt >= 0.2 AND abs(ey - b_y) >= 0.12"""
+SELECT video_id, b AS start_idx, e AS end_idx, round(et - bt, 6) AS duration_s, round(abs(ey - b_y), 6) AS rom_m, round(abs(ey - b_y) / (et - bt), 6) AS mcv_mps, round((SELECT max(p.v) FROM v p WHERE p.video_id = k.video_id AND p.idx BETWEEN b AND e), 6) AS pcv_mps FROM k WHERE e IS NOT NULL AND et - bt >= 0.2 AND abs(ey - b_y) >= 0.12"""
 
 
 DEADLIFT = _fsm("CASE WHEN s = 0 AND w.v > 0.08 AND w.vn > 0.08 THEN 2 WHEN s = 2 AND ({end}) THEN 0 ELSE s END", "CASE WHEN s = 0 AND w.v > 0.08 AND w.vn > 0.08 THEN w.idx - 1 ELSE b END, CASE WHEN s = 0 AND w.v > 0.08 AND w.vn > 0.08 THEN w.tl ELSE bt END, CASE WHEN s = 0 AND w.v > 0.08 AND w.vn > 0.08 THEN w.yl ELSE b_y END")
 SQUAT = _fsm("CASE WHEN s = 0 AND w.v < -0.08 THEN 1 WHEN s = 1 AND w.v >= -0.02 AND w.rises THEN 2 WHEN s = 2 AND ({end}) THEN 0 ELSE s END", "CASE WHEN s = 1 AND w.v >= -0.02 AND w.rises THEN w.idx ELSE b END, CASE WHEN s = 1 AND w.v >= -0.02 AND w.rises THEN w.t ELSE bt END, CASE WHEN s = 1 AND w.v >= -0.02 AND w.rises THEN w.y ELSE b_y END")
-REPS = ("video_id", "start_idx", "end_idx", "duration_s", "rom_m")
+REPS = ("video_id", "start_idx", "end_idx", "duration_s", "rom_m", "mcv_mps", "pcv_mps")
 
 
 @query(DEADLIFT.format(end="w.v < 0.02 AND w.vn < 0.02", c=3, last=4))
@@ -484,6 +490,14 @@ def associator_states(spark, d):
     return rounded(folds.associate(f, "video_id", "idx", timeout_frames=1))
 
 
+@query(ASSOCIATE.replace("g <= 1 ", "g <= 15 ").replace("g > 1)", "g > 15)").replace("SELECT video_id, idx, y * 100 AS x", "SELECT video_id, idx, CASE WHEN idx % 40 < 12 OR idx % 40 > 12 + video_id * 7 % 25 THEN conf * 1000 END AS x"))
+def associator_gaps(spark, d):
+    """The published timeout of 15 frames, on targets that are away for 1 to 25 frames of 40 and whose places jump."""
+    away = F.when((F.col("idx") % 40 < 12) | (F.col("idx") % 40 > 12 + F.col("video_id") * 7 % 25), F.col("conf") * 1000)
+    f = frames(spark, d).select("video_id", "idx", away.alias("cx"), (F.col("conf") * 100).alias("cy"))
+    return rounded(folds.associate(f, "video_id", "idx"))
+
+
 @query(f"SELECT video_id, count(*) FILTER (state IN ('TRACKING', 'RECOVERED')) AS n_tracking, count(*) FILTER (state = 'LOST') AS n_lost, count(*) FILTER (state IN ('ANCHORING', 'DRIFTED')) AS n_anchoring, round(count(*) FILTER (state IN ('TRACKING', 'RECOVERED')) / count(*), 6) AS coverage FROM ({ASSOCIATE}) GROUP BY 1")
 def state_shares(spark, d):
     return rounded(metrics.state_shares(associator_states(spark, d), "video_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinetia.functions import columns as C
 from kinetia.operators import matching, metrics, peaks, tracks, windows
-from kinetia.plans.queries import NEAR, ORACLES, RUNS, error_runs, query, rounded
+from kinetia.plans.queries import NEAR, ORACLES, RUNS, WAVES, error_runs, query, rounded, waves
 from kinetia.sources.testdata import BOXES, FRAMES, SHOTS, boxes, frames, shots, table
 
 RATIO = "CASE WHEN least(w, h) <= 0 THEN 999 ELSE greatest(w, h) / least(w, h) END"
@@ -197,8 +197,20 @@ def fused_boxes(spark, d):
     return rounded(tracks.fuse(f, "video_id", "idx"))
 
 
-@query(f"""WITH {FRAMES}, c AS (SELECT video_id, idx, y, count(y) OVER w AS n, max(y) OVER w - min(y) OVER w AS span, min(CASE WHEN y IS NOT NULL THEN idx END) OVER w AS first FROM f WINDOW w AS (PARTITION BY video_id ORDER BY idx)),
-l AS (SELECT video_id, min(idx) AS idx FROM c WHERE y IS NOT NULL AND n >= 10 AND (span > 2 * y OR idx - first >= 15) GROUP BY 1)
+@query(f"""WITH {FRAMES.replace("f AS", "f0 AS", 1)}, f AS (SELECT video_id, idx, 4 + y AS y FROM f0), c AS (SELECT video_id, idx, y, count(y) OVER w AS n, max(y) OVER w - min(y) OVER w AS span, min(CASE WHEN y IS NOT NULL THEN idx END) OVER w AS first FROM f WINDOW w AS (PARTITION BY video_id ORDER BY idx)),
+l AS (SELECT video_id, min(idx) AS idx FROM c WHERE y IS NOT NULL AND n >= 10 AND (span > 0.5 * y OR idx - first >= 15) GROUP BY 1)
 SELECT l.video_id, l.idx, round(0.45 / median(f.y), 6) AS mpp FROM l JOIN f ON f.video_id = l.video_id AND f.idx <= l.idx GROUP BY 1, 2""")
 def static_scale(spark, d):
-    return rounded(tracks.static_scale(frames(spark, d), "video_id", "idx", "y", share=2.0))
+    """Sizes above 4, so that some videos lock by the range of their sizes, others after 15 frames."""
+    return rounded(tracks.static_scale(frames(spark, d).withColumn("y", F.col("y") + 4), "video_id", "idx", "y"))
+
+
+@query(f"""WITH RECURSIVE {WAVES}, c AS (SELECT video_id, idx, y, min(y) OVER (w ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS low, least(max(y) OVER (w ROWS BETWEEN 60 PRECEDING AND CURRENT ROW), max(y) OVER (w ROWS BETWEEN CURRENT ROW AND 59 FOLLOWING)) - y AS depth, count(*) OVER (PARTITION BY video_id) AS n FROM f WINDOW w AS (PARTITION BY video_id ORDER BY idx)),
+e AS (SELECT video_id, idx, depth, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS k, count(*) OVER (PARTITION BY video_id) AS m FROM c WHERE y <= low + 1e-9 AND depth > 0.12 AND idx >= 8 AND idx < n - 8),
+g AS (SELECT video_id, k, m, idx AS i, depth AS v, NULL::BIGINT AS done, NULL::DOUBLE AS top FROM e WHERE k = 1
+UNION ALL SELECT e.video_id, e.k, e.m, CASE WHEN e.idx - g.i <= 20 AND e.depth <= g.v THEN g.i ELSE e.idx END, CASE WHEN e.idx - g.i <= 20 AND e.depth <= g.v THEN g.v ELSE e.depth END, CASE WHEN e.idx - g.i > 20 THEN g.i END, CASE WHEN e.idx - g.i > 20 THEN g.v END FROM g JOIN e ON e.video_id = g.video_id AND e.k = g.k + 1)
+SELECT video_id, done AS idx, round(top, 6) AS depth FROM g WHERE done IS NOT NULL UNION ALL SELECT video_id, i, round(v, 6) FROM g WHERE k = m""")
+def valleys_apart(spark, d):
+    """The published sides, depth and spacing, on waves whose valleys are nearer than that."""
+    w = waves(spark, d).withColumnRenamed("pos", "idx")
+    return rounded(windows.valleys(w, "video_id", "idx", "y"))

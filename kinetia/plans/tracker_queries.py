@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinetia.functions import columns as C
-from kinetia.operators import folds, hybrid, peaks, splines, trackers, windows
+from kinetia.operators import folds, hybrid, peaks, splines, trackers, tracks, windows
 from kinetia.plans import pipelines
 from kinetia.plans.queries import query, rounded
 from kinetia.sources.testdata import FRAMES, SHOTS, frames, shots, table
@@ -174,3 +174,17 @@ def hybrid_tracker(spark, d):
 @query()
 def hybrid_report(spark, d):
     return rounded(hybrid.report(hybrid_tracks(spark, d), "video_id"))
+
+
+@query(f"""WITH RECURSIVE {NUMBERED}, g AS (SELECT video_id, k, list({{'pos': pos, 'x': cx, 'y': cy}} ORDER BY pos) AS bs FROM nb GROUP BY 1, 2), l AS (SELECT video_id, max(k) AS last FROM g GROUP BY 1),
+r AS (SELECT g.video_id, k, last, 1::BIGINT AS i, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE, hits BIGINT, miss BIGINT)[] AS alive, bs AS free, 0::BIGINT AS next, NULL::BIGINT AS f, []::STRUCT(track BIGINT, pos BIGINT, hits BIGINT)[] AS o FROM g JOIN l USING (video_id) WHERE k = 1
+UNION ALL SELECT video_id, CASE WHEN over THEN k + 1 ELSE k END, last, CASE WHEN over THEN 1 ELSE i + 1 END,
+ CASE WHEN over THEN list_concat(list_filter(alive, lambda a: a.miss <= 5), list_transform(free, lambda b, j: {{'id': next + j - 1, 'x': b.x, 'y': b.y, 'hits': 1::BIGINT, 'miss': 0::BIGINT}}))
+  ELSE list_transform(alive, lambda a, j: CASE WHEN j <> i THEN a WHEN hit IS NULL THEN {{'id': a.id, 'x': a.x, 'y': a.y, 'hits': a.hits, 'miss': a.miss + 1}} ELSE {{'id': a.id, 'x': free[hit].x, 'y': free[hit].y, 'hits': a.hits + 1, 'miss': 0::BIGINT}} END) END,
+ CASE WHEN over THEN bs ELSE list_filter(free, lambda b, j: hit IS NULL OR j <> hit) END, CASE WHEN over THEN next + len(free) ELSE next END, k,
+ CASE WHEN over THEN list_transform(free, lambda b, j: {{'track': next + j - 1, 'pos': b.pos, 'hits': 1::BIGINT}}) WHEN hit IS NULL THEN [] ELSE [{{'track': alive[i].id, 'pos': free[hit].pos, 'hits': alive[i].hits + 1}}] END
+ FROM (SELECT *, CASE WHEN NOT over AND list_min(ds) < 40 THEN list_position(ds, list_min(ds)) END AS hit
+ FROM (SELECT r.*, g.bs, i > len(alive) AS over, list_transform(free, lambda b: sqrt((b.x - alive[i].x) * (b.x - alive[i].x) + (b.y - alive[i].y) * (b.y - alive[i].y))) AS ds FROM r LEFT JOIN g ON g.video_id = r.video_id AND g.k = r.k + 1 WHERE r.k <= last)))
+SELECT video_id, f AS k, u.track AS track, u.pos AS pos, u.hits AS hits FROM (SELECT video_id, f, unnest(o) AS u FROM r)""")
+def pending_tracks(spark, d):
+    return tracks.pending(numbered(spark, d), "video_id", "k")
