@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,23 +74,27 @@ _NAMES = ("sp", "sg", "spp", "spg", "sgg")
 
 def cluster_bootstrap(pairs: DataFrame, key: str, draws: int = 2000, seed: int = 42) -> DataFrame:
     """Percentile interval of the slope when keys are drawn with replacement. Each key draws its own Poisson(1) count for each
-    replicate from a hash, so keys need not be numbered and no task sees them all. A md5 of `seed:key:block` has the draws of four replicates, eight hexadecimal
-    digits each, and their sums are aggregated before the shuffle, so a partition sends a row for each four replicates, whatever its number of keys. Keys count as text, a null one as empty."""
-    own = pairs.groupBy(key).agg(*_sums())
-    blocks = own.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((draws + 3) // 4 - 1))))
-    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    blocks = blocks.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), text, F.lit(":"), F.col("_block").cast("string"))))
-    limits, term, total = [], 0.36787944117144233, 0.0
+    replicate from a hash, so keys need not be numbered and no task sees them all. A md5 of `seed:key:block` has the draws of four replicates, 32 bits each. A
+    partition adds its keys to one matrix of replicates and sends a row a replicate, whatever its number of keys. Keys count as text, a null one as empty."""
+    names, limits, term, total = ["n", *_NAMES], [], math.exp(-1), 0.0
     for k in range(8):
         total += term
         limits.append(int(total * 2**32))
         term /= k + 1
-    # digits are compared as text: they are of one length, and their characters sort as their values
-    counts = {f"_k{j}": sum(F.when(F.substring("_hash", 8 * j + 1, 8) > f"{x:08x}", 1.0).otherwise(0.0) for x in limits) for j in range(4)}
-    names = ("n", *_NAMES)
-    s = blocks.withColumns(counts).groupBy("_block").agg(*(F.sum(F.col(c) * F.col(k)).alias(f"{k}_{c}") for k in counts for c in names))
-    each = F.explode(F.array(*(F.struct((F.col("_block") * 4 + j).alias("draw"), *(F.col(f"{k}_{c}").alias(c) for c in names)) for j, k in enumerate(counts))))
-    s = s.select(each.alias("s")).select("s.*").where(F.col("draw") < draws)
+
+    def replicates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((draws, len(names)))
+        for batch in batches:
+            own = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            for text, row in zip(batch.column("_text").to_pylist(), own):
+                bits = b"".join(hashlib.md5(f"{seed}:{text}:{block}".encode()).digest() for block in range((draws + 3) // 4))
+                sums += np.searchsorted(limits, np.frombuffer(bits, ">u4")[:draws])[:, None] * row
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), *(pa.array(c) for c in sums.T)], ["draw", *names])
+
+    own = pairs.groupBy(key).agg(*_sums()).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_text"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in names))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = own.repartition(parts, "_text")  # a row a key, which adaptive plans would take for too small to be dealt out
+    s = own.mapInArrow(replicates, ", ".join(["draw long", *(f"{c} double" for c in names)])).groupBy("draw").agg(*(F.sum(c).alias(c) for c in names))
     slope = F.try_divide(F.col("n") * F.col("spg") - F.col("sp") * F.col("sg"), F.col("n") * F.col("spp") - F.col("sp") * F.col("sp"))
     return s.select(slope.alias("slope")).agg(F.percentile("slope", 0.025).alias("low"), F.percentile("slope", 0.975).alias("high"), F.avg("slope").alias("mean"))
 
