@@ -105,6 +105,24 @@ def bias_report(pairs: DataFrame) -> DataFrame:
     return pairs.agg(n.alias("n"), F.avg(e).alias("bias"), F.stddev_samp(e).alias("sd"), se.alias("se"), F.try_divide(F.avg(e), se).alias("t"), (F.avg(e) - 1.96 * se).alias("low"), (F.avg(e) + 1.96 * se).alias("high"), F.regr_slope("pred", "gt").alias("slope"))
 
 
+def pooled(pairs: DataFrame, key: str) -> DataFrame:
+    """One row over all pairs: keys, pairs, agreement and the standard error of the mean error."""
+    e = F.col("pred") - F.col("gt")
+    sums = {name: c for name, c in agreement_columns().items() if name != "n"}
+    return pairs.agg(F.countDistinct(key).alias("n_keys"), F.count("*").alias("n"), *(c.alias(name) for name, c in sums.items()), (F.stddev_samp(e) / F.sqrt(F.count("*"))).alias("std_error"))
+
+
+def roll_up(videos: DataFrame) -> DataFrame:
+    """videos (status, count_ok, rmse, ms), nulls where there is no pair or time: a row a status (n), each with the totals: videos, right counts and their share, videos with pairs, mean
+    and median of their errors, mean time of a frame (0 doesn't count). Statuses are aggregated first; the median alone reads the errors. A null status is one."""
+    timed = F.when(F.col("ms") != 0, F.col("ms"))
+    by = videos.groupBy("status").agg(F.count("*").alias("n"), F.count_if("count_ok").alias("ok"), F.count("rmse").alias("k"), F.sum("rmse").alias("s"), F.count(timed).alias("kt"), F.sum(timed).alias("st"))
+    n, ok, k = F.sum("n"), F.sum("ok"), F.sum("k")
+    total = by.agg(n.alias("n_videos"), ok.alias("n_count_ok"), F.try_divide(ok, n).alias("count_accuracy"), k.alias("n_paired"), F.try_divide(F.sum("s"), k).alias("rmse_mean"), F.try_divide(F.sum("st"), F.sum("kt")).alias("ms_mean"))
+    one = total.crossJoin(F.broadcast(videos.agg(F.median("rmse").alias("rmse_median"))))  # one row each
+    return by.select("status", "n").crossJoin(F.broadcast(one))
+
+
 def bias_bands(pairs: DataFrame, edges: list[float]) -> DataFrame:
     """Bias by half-open bands of the truth."""
     band = F.lit(None).cast("string")

@@ -19,20 +19,30 @@ def savgol_weights(window: int, degree: int, deriv: int = 0) -> np.ndarray:
     return np.where(powers >= deriv, scale * x[:, None].astype(float) ** np.maximum(powers - deriv, 0), 0.0) @ fit
 
 
-def savgol(df: DataFrame, key: str, order: str, value: str, window: int, degree: int, deriv: int = 0, name: str = "smooth") -> DataFrame:
+def savgol(df: DataFrame, key: str, order: str, value: str, window: int, degree: int, deriv: int = 0, name: str = "smooth", least: int | None = None) -> DataFrame:
     """Savitzky-Golay smoothing or derivative by unit steps; the first and last half window take the polynomial of the first and the last whole window.
-    Null for keys with fewer rows than the window. One native window over lags and leads."""
-    half, w = window // 2, windows.by(key, order)
-    rows = savgol_weights(window, degree, deriv)
+    Null for keys with fewer rows than the window. With least, keys of no more rows than the window take the largest odd window below their number of rows, from least
+    on, and a degree below it; keys too short for that are null. One native window over lags and leads."""
+    w = windows.by(key, order)
     i, n = F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy(key))
     near = [F.lag(value, -k).over(w) if k < 0 else F.lead(value, k).over(w) for k in range(1 - window, window)]
     held = df.withColumn("_near", F.array(*near)).withColumn("_i", i).withColumn("_n", n)
-    first = F.greatest(F.lit(0), F.least(F.col("_i") - half, F.col("_n") - window))  # the window's first row
-    place = F.col("_i") - first
-    weights = F.get(F.array(*(F.array(*(F.lit(float(x)) for x in r)) for r in rows)), place.cast("int"))
-    values = F.slice("_near", (window - place).cast("int"), F.lit(window))
-    total = F.aggregate(F.zip_with(values, weights, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return held.withColumn(name, F.when(F.col("_n") >= window, total)).drop("_near", "_i", "_n")
+
+    def total(width: int):
+        rows = savgol_weights(width, min(degree, width - 1), deriv)
+        first = F.greatest(F.lit(0), F.least(F.col("_i") - width // 2, F.col("_n") - width))  # the window's first row
+        place = F.col("_i") - first
+        weights = F.get(F.array(*(F.array(*(F.lit(float(x)) for x in r)) for r in rows)), place.cast("int"))
+        values = F.slice("_near", (window - place).cast("int"), F.lit(width))
+        return F.aggregate(F.zip_with(values, weights, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+
+    if least is None:
+        smooth = F.when(F.col("_n") >= window, total(window))
+    else:
+        smooth = F.when(F.col("_n") > window, total(window))
+        for width in range(window - 2, least - 1, -2):
+            smooth = smooth.when(F.col("_n") > width, total(width))
+    return held.withColumn(name, smooth).drop("_near", "_i", "_n")
 
 
 def find(y: np.ndarray, distance: int = 1, prominence: float = 0.0) -> tuple[np.ndarray, np.ndarray]:

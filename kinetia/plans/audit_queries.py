@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinetia.operators import metrics, sampling
 from kinetia.plans.queries import AGREE, ORACLES, RUNS, coverage_metrics, error_runs, jump_summary, pairs, query, rounded
-from kinetia.sources.testdata import FRAMES, PAIRS, frames, table, videos
+from kinetia.sources.testdata import FRAMES, PAIRS, VIDEOS, frames, predictions, table, truth, videos
 
 GATED = f"""WITH c AS ({ORACLES['coverage_metrics']}), j AS ({ORACLES['jump_summary']}), g AS (SELECT c.*, j.total AS n_jumps, CASE WHEN n_detected > 0 THEN j.total / n_detected ELSE 0 END AS jump_rate FROM c JOIN j USING (video_id)),
 p AS (SELECT *, vdr_present >= 0.995 AND critical = 0 AND jump_rate <= 0.005 AS pass_all FROM g)"""
@@ -149,3 +149,18 @@ def policies(spark, d):
         part = engine.evaluate(predictions(spark, d), truth(spark, d), p).drop("icc_ref", "icc_2_1").withColumn("policy", F.lit(p))
         out = part if out is None else out.unionByName(part)
     return rounded(out)
+
+
+@query(f"""WITH {PAIRS}, e AS (SELECT *, pred - gt AS e FROM pairs) SELECT count(DISTINCT video_id) AS n_keys, count(*) AS n, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae, round(avg(e), 6) AS bias, round(corr(gt, pred), 6) AS pearson_r, round(stddev_samp(e) / sqrt(count(*)), 6) AS std_error FROM e""")
+def pooled_agreement(spark, d):
+    return rounded(metrics.pooled(pairs(spark, d), "video_id").select("n_keys", "n", "rmse", "mae", "bias", "pearson_r", "std_error"))
+
+
+@query(f"""WITH {PAIRS}, {VIDEOS}, c AS (SELECT v.*, coalesce((SELECT count(*) FROM g WHERE g.video_id = v.video_id), 0) AS a, coalesce((SELECT count(*) FROM p WHERE p.video_id = v.video_id), 0) AS b FROM vids v),
+r AS (SELECT video_id, sqrt(avg((pred - gt) * (pred - gt))) AS rmse FROM pairs GROUP BY 1), x AS (SELECT status, CASE WHEN a > 0 AND b > 0 THEN abs(a - b) <= 1 WHEN b = 0 AND status = 'NO_PLATE_DETECTED' THEN bar_only ELSE false END AS ok, rmse, nullif(video_id % 7, 0) AS ms FROM c LEFT JOIN r USING (video_id)),
+t AS (SELECT count(*) AS n_videos, count(*) FILTER (ok) AS n_count_ok, round(count(*) FILTER (ok) / count(*), 6) AS count_accuracy, count(rmse) AS n_paired, round(avg(rmse), 6) AS rmse_mean, round(avg(ms), 6) AS ms_mean, round(median(rmse), 6) AS rmse_median FROM x)
+SELECT s.status, s.n, t.* FROM (SELECT status, count(*) AS n FROM x GROUP BY 1) s, t""")
+def benchmark_roll_up(spark, d):
+    v = metrics.count_check(videos(spark, d), truth(spark, d), predictions(spark, d), "video_id")
+    v = v.join(metrics.agreement(pairs(spark, d), "video_id").select("video_id", "rmse"), "video_id", "left")
+    return rounded(metrics.roll_up(v.withColumn("ms", (F.col("video_id") % 7).cast("double"))))

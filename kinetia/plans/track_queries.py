@@ -214,3 +214,13 @@ def valleys_apart(spark, d):
     """The published sides, depth and spacing, on waves whose valleys are nearer than that."""
     w = waves(spark, d).withColumnRenamed("pos", "idx")
     return rounded(windows.valleys(w, "video_id", "idx", "y"))
+
+
+@query(f"""WITH {FRAMES}, x AS (SELECT *, idx % 40 AS i, video_id * 1000 + idx // 40 AS part, count(*) OVER (PARTITION BY video_id, idx // 40) AS n FROM f WHERE idx % 40 < 1 + (video_id + idx // 40) % 17), w AS (SELECT *, CASE WHEN n > 11 THEN 11 ELSE n - 1 - n % 2 END AS win FROM x),
+a AS (SELECT *, greatest(0, least(i - win // 2, n - win)) AS lo FROM w WHERE win >= 5), s AS (SELECT a.part, a.i, any_value(a.i - a.lo - a.win // 2)::DOUBLE AS u, (a.win // 2)::DOUBLE AS h, sum(b.conf) AS s0, sum((b.i - a.lo - a.win // 2) * b.conf) AS s1, sum((b.i - a.lo - a.win // 2) * (b.i - a.lo - a.win // 2) * b.conf) AS s2 FROM a JOIN a b ON b.part = a.part AND b.i >= a.lo AND b.i < a.lo + a.win GROUP BY a.part, a.i, a.win),
+q AS (SELECT *, 2 * h + 1 AS m0, h * (h + 1) * (2 * h + 1) / 3 AS m2, h * (h + 1) * (2 * h + 1) * (3 * h * h + 3 * h - 1) / 15 AS m4 FROM s)
+SELECT w.part, w.i, round((m4 * s0 - m2 * s2) / (m0 * m4 - m2 * m2) + s1 / m2 * u + (m0 * s2 - m2 * s0) / (m0 * m4 - m2 * m2) * u * u, 6) AS smooth FROM w LEFT JOIN q USING (part, i)""")
+def savgol_short(spark, d):
+    """Series of 1 to 17 rows under a window of 11, which shrinks with them down to 5."""
+    f = frames(spark, d).select((F.col("video_id") * 1000 + F.floor(F.col("idx") / 40)).alias("part"), (F.col("idx") % 40).alias("i"), "conf", ((F.col("video_id") + F.floor(F.col("idx") / 40)) % 17).alias("most"))
+    return rounded(peaks.savgol(f.where("i < 1 + most"), "part", "i", "conf", 11, 2, least=5).select("part", "i", "smooth"))

@@ -178,9 +178,9 @@ def test_every_frame_as_the_plain_form(spark, videos):
             assert (r["src"], r["turn"], r["adopted"]) == (src, turn, adopted), (k, n)
             assert [r["x"], r["y"], r["size"]] == pytest.approx([x, y, size], abs=1e-9), (k, n)
             assert r["mpp"] == (None if scale is None else pytest.approx(0.45 / scale))
-            seen.update({src: 1, turn: 1, "adopted": adopted})
+            seen.update({src: 1, f"turn {turn}": 1, "adopted": adopted})
     assert not got
-    assert all(seen[s] for s in ("none", "boot", "yolo", "ncc", "reanchor", "adopt", "adopted", "hold", "miss", "reject", "regrind", "snap", "micro")), seen
+    assert all(seen[s] for s in ("none", "boot", "yolo", "ncc", "reanchor", "adopt", "adopted", "hold", "miss", "reject", "regrind", "turn snap", "turn micro", "turn reject")), seen
     by = {r["k"]: r for r in hybrid.report(out, "k").collect()}
     assert by["v4"]["status"] == "NO_PLATE_DETECTED" and by["v4"]["coverage"] == 0 and by["v1"]["status"] == "TRACKED"
     for k in ("v1", "v3"):

@@ -355,3 +355,23 @@ def test_readers_and_sinks_on_small_files(spark, tmp_path):
     assert sorted(r["frame_idx"] for r in again.collect()) == [0, 1]
     assert sinks.markdown(pairs).splitlines()[:2] == ["| video | gt | pred | error |", "| --- | --- | --- | --- |"]
     assert [tuple(r) for r in sinks.as_strings(spark.createDataFrame([(1.5, float("nan"), None)], "a double, b double, c double")).collect()] == [("1.5", "null", "null")]
+
+
+def test_short_series_take_shorter_windows(spark):
+    """Quadratics come back whole; below the least window there is nothing, one row more than a window is needed for it."""
+    rows = [(n, i, 1.0 + 2 * i - 0.5 * i * i) for n in range(1, 14) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, i long, y double")
+    got = peaks.savgol(df, "k", "i", "y", 11, 2, least=5).collect()
+    assert {r["k"] for r in got if r["smooth"] is None} == {1, 2, 3, 4, 5}
+    assert all(r["smooth"] == pytest.approx(r["y"]) for r in got if r["k"] > 5)
+    line = spark.createDataFrame([(1, i, float(i * i)) for i in range(4)], "k long, i long, y double")
+    assert [r["smooth"] for r in peaks.savgol(line, "k", "i", "y", 15, 3, least=3).orderBy("i").collect()] == pytest.approx([0.0, 1.0, 4.0, 9.0], abs=0.7)
+
+
+def test_roll_up_with_nulls(spark):
+    rows = [("OK", True, 0.1, 2.0), ("OK", False, None, 0.0), (None, None, 0.3, None), ("NO", True, 0.2, 4.0)]
+    got = {r["status"]: r for r in metrics.roll_up(spark.createDataFrame(rows, "status string, count_ok boolean, rmse double, ms double")).collect()}
+    r = got[None]
+    assert {k: v["n"] for k, v in got.items()} == {"OK": 2, None: 1, "NO": 1}
+    assert (r["n_videos"], r["n_count_ok"], r["count_accuracy"], r["n_paired"], r["ms_mean"]) == (4, 2, 0.5, 3, 3.0)
+    assert r["rmse_mean"] == pytest.approx(0.2) and r["rmse_median"] == pytest.approx(0.2)
