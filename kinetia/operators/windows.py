@@ -68,14 +68,15 @@ def sustained(df: DataFrame, key: str, order: str, value: str, frames: int, band
     return df.withColumn("rises", whole & (F.min(value).over(w) > band)).withColumn("falls", whole & (F.max(value).over(w) < -band))
 
 
-def jumps(df: DataFrame, key: str, order: str, position: str, size: str, valid: Column) -> DataFrame:
-    """jump: POS, SCALE or POS+SCALE against the row just before, null where either isn't valid, nothing jumps or that row has no size."""
+def jumps(df: DataFrame, key: str, order: str, position: str, size: str, valid: Column, far: float = 0.5, change: float = 0.3) -> DataFrame:
+    """jump: POS, SCALE or POS+SCALE against the row just before, null where either isn't valid, nothing jumps or that row has no size. A jump is more than far sizes of
+    the row before, or a change by more than that share of it; both are quotients compared with the threshold, so ties fall as in the reference and SQL."""
     w = by(key, order)
     ok = valid & F.coalesce(F.lag(valid).over(w), F.lit(False))
-    last = F.lag(size).over(w)
-    ok = ok & (last > 0)
-    pos = ok & (F.abs(F.col(position) - F.lag(position).over(w)) > 0.5 * last)
-    scale = ok & (F.abs(F.col(size) - last) > 0.3 * last)
+    last = F.when(F.lag(size).over(w) > 0, F.lag(size).over(w))  # no size: quotients are null, under ANSI division too
+    ok = ok & last.isNotNull()
+    pos = ok & (F.abs(F.col(position) - F.lag(position).over(w)) / last > far)
+    scale = ok & (F.abs(F.col(size) - last) / last > change)
     return df.withColumn("jump", F.when(pos & scale, "POS+SCALE").when(pos, "POS").when(scale, "SCALE"))
 
 

@@ -196,8 +196,8 @@ def sg5_interior(spark, d):
 
 @query(f"WITH {FRAMES} SELECT video_id, idx, CASE WHEN p AND s THEN 'POS+SCALE' WHEN p THEN 'POS' WHEN s THEN 'SCALE' END AS jump FROM (SELECT *, coalesce(ok AND lok AND ls > 0 AND abs(t - lt) / ls > 0.5 * 86400, false) AS p, coalesce(ok AND lok AND ls > 0 AND abs(h - ls) / ls > 0.3, false) AS s FROM (SELECT *, y IS NOT NULL AS ok, coalesce(lag(y IS NOT NULL) OVER w, false) AS lok, lag(t) OVER w AS lt, lag(h) OVER w AS ls FROM (SELECT *, CASE WHEN idx % 7 = 0 THEN 0 ELSE conf END AS h FROM f) WINDOW w AS (PARTITION BY video_id ORDER BY idx)))")
 def jump_detect(spark, d):
-    f = frames(spark, d).withColumn("x", F.col("t") / 86400).withColumn("h", F.when(F.col("idx") % 7 == 0, 0.0).otherwise(F.col("conf")))  # each seventh has no size
-    return windows.jumps(f, "video_id", "idx", "x", "h", F.col("y").isNotNull()).select("video_id", "idx", "jump")
+    f = frames(spark, d).withColumn("h", F.when(F.col("idx") % 7 == 0, 0.0).otherwise(F.col("conf")))  # each seventh has no size
+    return windows.jumps(f, "video_id", "idx", "t", "h", F.col("y").isNotNull(), far=0.5 * 86400).select("video_id", "idx", "jump")  # sizes are days, times seconds
 
 
 @query(f"WITH j AS ({ORACLES['jump_detect']}) SELECT video_id, count(jump) AS total, count(*) FILTER (jump LIKE '%POS%') AS pos, count(*) FILTER (jump LIKE '%SCALE%') AS scale, count(*) FILTER (jump = 'POS+SCALE') AS both FROM j GROUP BY 1")

@@ -229,6 +229,18 @@ def test_jumps_without_a_size_before(spark):
     assert [r["jump"] for r in windows.jumps(df, "k", "i", "x", "h", F.lit(True)).orderBy("i").collect()] == [None, None, None, "POS+SCALE"]
 
 
+def test_jumps_at_a_tie_fall_as_quotients_do(spark):
+    pairs = [(0.7 / 500, 0.91 / 500), (0.7 / 500, 0.49 / 500), (2.8 / 500, 1.96 / 500)]  # three tenths: the quotient isn't above 0.3, the difference is above 0.3 * size
+    assert all(abs(b - a) / a <= 0.3 < 0.3 + 1e-15 and abs(b - a) > 0.3 * a for a, b in pairs)
+    rows = [(k, i, 43200.0 * pairs[k][0] * i, pairs[k][i]) for k in range(3) for i in (0, 1)]
+    df = spark.createDataFrame(rows, "k long, i long, x double, h double")
+    got = windows.jumps(df, "k", "i", "x", "h", F.lit(True), far=43200.0)
+    want = {k: "POS" if 43200.0 * a / a > 43200.0 else None for k, (a, _) in enumerate(pairs)}
+    assert {r["k"]: r["jump"] for r in got.where("i = 1").collect()} == want
+    counts = {r["k"]: (r["total"], r["scale"]) for r in metrics.jump_summary(got, "k").collect()}
+    assert counts == {k: (int(x is not None), 0) for k, x in want.items()}
+
+
 def plain_peaks(y, distance, prominence):
     at, n = [], len(y)
     for i in range(1, n - 1):
