@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 from statistics import median
 
 import pandas as pd
@@ -285,11 +286,13 @@ class Descent:
 
 def bottoms(df: DataFrame, key: str, order: str, value: str, radius: float, arm: float = 1.5, back: float = 0.3, frames: int = 4) -> DataFrame:
     """Triggers after the lowest point (largest value, y down) of each descent: (key, order, bottom, at). A descent of arm radii from the top arms; it fires when
-    for so many frames in a row the value has been back radii above the lowest. Then the value must climb arm radii, to a new top, before the next descent counts."""
+    for so many frames in a row the value has been back radii above the lowest. Then the value must climb arm radii, to a new top, before the next descent counts.
+    Thresholds are products of decimals, as written: 1.5 radii of 0.1 are 0.15, not the 0.15000000000000002 of doubles, which a tie would miss."""
+    arms, backs = (float(Decimal(repr(x)) * Decimal(repr(radius))) for x in (arm, back))
 
     def start():
         d = Descent()
-        return lambda i, y: [(i, d.low, d.low_at)] if not missing(y) and d.turned(y, i, radius, arm, back, frames) else []
+        return lambda i, y: [(i, d.low, d.low_at)] if not missing(y) and d.turned(y, i, 1.0, arms, backs, frames) else []
 
     return fold(df, key, [order], [order, value], f"{order} long, bottom double, at long", start)
 

@@ -196,6 +196,14 @@ def test_second_descent_counts_only_after_the_top(spark):
     assert sorted(r["k"] for r in got) == ["a", "b", "b"] and min(r["at"] for r in got) == 30
 
 
+def test_bottoms_at_a_tie_arm_and_fire(spark):
+    y = [0.0, 0.15, *[0.12] * 4, 0.0, 0.15, *[0.12] * 4]  # exactly 1.5 radii of 0.1 down, 0.3 back, and up again
+    assert 1.5 * 0.1 > 0.15 - 0.0
+    back = [0.0, 0.25, *[0.25 - 0.03] * 4]
+    got = sorted((r["k"], r["i"], r["bottom"]) for r in folds.bottoms(series(spark, {"a": y, "b": back}), "k", "i", "y", 0.1).collect())
+    assert got == [("a", 5, 0.15), ("a", 11, 0.15), ("b", 5, 0.25)]
+
+
 def test_association_of_lost_targets(spark):
     cx = [1.0] * 6 + [None, None, 5.0] + [None] * 4 + [9.0]
     rows = spark.createDataFrame([("a", i, x, None if x is None else 2.0) for i, x in enumerate(cx)], "k string, i long, cx double, cy double")
