@@ -12,8 +12,7 @@ reach the threshold and is passed over without loss. These spaces keep the items
 A second space is truly latent: the first ``topics`` right singular vectors of the TF-IDF passages of the documents themselves, over hashed words
 and by a distributed randomised SVD (tasks sum A'(AQ) over their passages, sums are added by Spark, the driver orthogonalises one matrix of fixed size). There,
 words that the documents use in like places are near each other, so a passage that exchanges an item's telling words for such ones is
-near it, where the first spaces see it far. It is fitted on a sample of rows, bounded by ``fit_rows``, and every passage of
-every row is searched in it. Each hit of either is verified on the words around it: the longest common
+near it, where the first spaces see it far. It is counted and fitted on every passage of every row, and every one is searched in it. Each hit of either is verified on the words around it: the longest common
 subsequence with the whole item and, for looser hits, with the item's last words, its answer.
 
 Defined results: null and wordless texts, on either side, match nothing; items of fewer than ``short`` words must occur as
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from kinetia.llm import tokens
-from kinetia.llm.common import few, forget, free, sized, stored, table, typed
+from kinetia.llm.common import forget, free, sized, stored, table, typed
 
 MATCH = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
 
@@ -52,7 +51,6 @@ class Params:
     answer: float = 0.8  #: share of the answer's words
     topics: int = 48  #: dimensions of the documents' latent space; 0: none
     bits: int = 14  #: of its hashed words
-    fit_rows: int = 20_000  #: rows that it is fitted on, those of the least hashes
     alike: float = 0.85  #: cosine in it, of what it keeps of passage and item
     short: int = 8  #: words; items of fewer must occur as they are, since a paraphrase of so few words says nothing
 
@@ -119,11 +117,12 @@ def count_documents(docs: DataFrame, block: Block) -> tuple[int, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size + 1, np.int64)
-        for b, data, bounds in tokens.chunks(batches):
+        for b, data, bounds in tokens.chunks(batches, most=600_000):
             w = tokens.words(data, bounds, space=tokens.MARKS)
             v = block.numbers(w.hash)
             known = np.nonzero(v >= 0)[0]
-            total[:size] += np.bincount(np.unique(w.doc[known] * size + v[known]) % size, minlength=size)
+            cell = np.sort(w.doc[known] * size + v[known])
+            total[:size] += np.bincount(cell[np.diff(cell, prepend=-1) > 0] % size, minlength=size)
             total[size] += len(b)
         used = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["word", "n"])
@@ -190,22 +189,70 @@ class Topics:
         return np.add.reduceat(self.basis[(h >> bits).astype(np.int64)], first) if len(first) else np.zeros((0, self.basis.shape[1]), np.float32)
 
 
-def _passages(batches: Iterator[pa.RecordBatch], params: Params) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Hashed words of batches, each word's passage (even stretches of two strides) and its text."""
-    for _, data, bounds in tokens.chunks(batches, most=600_000):
+def _cells(batches: Iterator[pa.RecordBatch], params: Params) -> Iterator[pa.RecordBatch]:
+    """Of each text its passages (even stretches of two strides) as sparse rows: hashed words, how often each occurs, and how many of them each passage has.
+    A last row has, of each hashed word, the number of the task's texts that hold it."""
+    held = np.zeros(1 << params.bits, np.int64)
+    kind = np.dtype("<u2" if params.bits <= 16 else "<u4")
+
+    def binary(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+        at = np.append(0, ends * kind.itemsize).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(x.astype(kind))]).cast(pa.binary())
+
+    for b, data, bounds in tokens.chunks(batches, most=300_000):
         w = tokens.words(data, bounds, space=tokens.MARKS)
-        if len(w):
-            new = (np.arange(len(w)) - w.first[w.doc]) % (2 * params.stride) == 0
-            yield (w.hash >> np.uint64(64 - params.bits)).astype(np.int64), np.cumsum(new) - 1, w.doc
+        new = (np.arange(len(w)) - w.first[w.doc]) % (2 * params.stride) == 0
+        cell, times = np.unique((np.cumsum(new) - 1 << params.bits) + (w.hash >> np.uint64(64 - params.bits)).astype(np.int64), return_counts=True)
+        sizes = np.bincount(cell >> params.bits, minlength=int(new.sum()))
+        own = np.sort((np.repeat(w.doc[new], sizes) << params.bits) + (cell & (1 << params.bits) - 1))
+        held += np.bincount(own[np.diff(own, prepend=-1) > 0] & (1 << params.bits) - 1, minlength=len(held))
+        passages = np.cumsum(np.bincount(w.doc[new], minlength=len(b)))
+        cells = np.append(0, np.cumsum(sizes))[passages]
+        yield pa.RecordBatch.from_arrays([binary(cell & (1 << params.bits) - 1, cells), binary(times, cells), binary(sizes, passages), pa.nulls(len(b), pa.binary())], names=["words", "times", "sizes", "held"])
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.binary()) for _ in range(3)), pa.array([held.tobytes()])], names=["words", "times", "sizes", "held"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch], params: Params, most: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Stored cells again, in slices of whole passages of about so many cells: words, times and sizes of passages."""
+    kind = "<u2" if params.bits <= 16 else "<u4"
+    for b in batches:
+        flat = []
+        for name in ("words", "times", "sizes"):
+            x = b.column(name).cast(pa.large_binary())
+            _, offsets, data = x.buffers()
+            at = np.frombuffer(offsets, np.int64)[x.offset : x.offset + len(x) + 1]
+            flat.append(np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind) if at[-1] > at[0] else np.zeros(0, kind))
+        words, times, sizes = flat
+        end, lo = np.append(0, np.cumsum(sizes, dtype=np.int64)), 0
+        while lo < len(sizes):
+            hi = max(lo + 1, int(np.searchsorted(end, end[lo] + most, side="right")) - 1)
+            yield words[end[lo] : end[hi]], times[end[lo] : end[hi]], sizes[lo:hi]
+            lo = hi
+
+
+def _normal(word: np.ndarray, times: np.ndarray, sizes: np.ndarray, idf: np.ndarray, q: np.ndarray, total: np.ndarray) -> None:
+    """Adds A'Aq to total, for a slice of A's rows, passages of unit length: as a dense block over the words that the slice has."""
+    passage = np.repeat(np.arange(len(sizes)), sizes)
+    value = times * idf[word]
+    value /= np.sqrt(np.bincount(passage, value**2, len(sizes)))[passage]
+    order = np.argsort(word, kind="stable")
+    new = np.diff(word[order].astype(np.int64), prepend=-1) > 0
+    own = word[order[new]]
+    a = np.zeros((len(sizes), len(own)), np.float32)
+    a[passage[order], np.cumsum(new) - 1] = value[order]
+    total[own] += a.T @ (a @ q[own])
 
 
 def fit_topics(docs: DataFrame, params: Params) -> Topics | None:
-    """The latent space of the passages of a bounded sample of docs, by a randomised SVD with power steps."""
+    """The latent space of all passages of all docs, by a randomised SVD: a power step, and a Nystroem step, whose one pass gives both the span of a second
+    power step and its first vectors. The passages are stored once as sparse rows."""
     size, wide = 1 << params.bits, params.topics + 8
-    held = docs.select("text", F.xxhash64("text").alias("place")).where("text is not null")
-    sample = stored(few(held, params.fit_rows, "place", "text").select("text").repartition(16), "benchmark-sample")
+    held = stored(docs.where("text is not null").select("text").mapInArrow(lambda batches: _cells(batches, params), "words binary, times binary, sizes binary, held binary"), "benchmark-passages")
+    about = held.where("held is null").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("words")), F.lit(0)).alias("bytes")).first()
+    tasks = max(16, about["bytes"] >> 24)  # a task sends sums of fixed size, so it has much to add up
+    rows, sums = (held.where(f"held is {x}").drop(y).coalesce(tasks) for x, y in (("null", "held"), ("not null", "words")))
 
-    def added(part, columns: int) -> np.ndarray:
+    def added(parts: DataFrame, part, columns: int) -> np.ndarray:
         """The sum over tasks of what part(batches) returns, size x columns; tasks send 64 blocks of rows, which Spark adds."""
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,50 +260,50 @@ def fit_topics(docs: DataFrame, params: Params) -> Topics | None:
             yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([x.astype(np.float64).tobytes() for x in blocks], pa.binary())], names=["block", "sums"])
 
         def add(f: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"block": f["block"].iloc[:1].to_numpy(), "sums": [sum(np.frombuffer(x) for x in f["sums"]).tobytes()]})
-
-        rows = sample.mapInArrow(send, "block int, sums binary").groupBy("block").applyInPandas(add, "block int, sums binary").collect()  # 64 blocks of fixed size
-        return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(rows, key=lambda r: r["block"])]).reshape(-1, columns)
+            total = np.frombuffer(f["sums"].iloc[0]).copy()
+            for x in f["sums"].iloc[1:]:
+                total += np.frombuffer(x)
+            return pd.DataFrame({"block": f["block"].iloc[:1].to_numpy(), "sums": [total.tobytes()]})
+
+        schema = "block int, sums binary"
+        sent = parts.mapInArrow(send, schema)
+        if tasks > 64:  # added up in two steps
+            sent = sent.withColumn("salt", F.spark_partition_id() % (tasks // 32)).groupBy("block", "salt").applyInPandas(add, schema)
+        blocks = sent.groupBy("block").applyInPandas(add, schema).collect()  # 64 of fixed size
+        return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(blocks, key=lambda r: r["block"])]).reshape(-1, columns)
 
     def count(batches):
         total = np.zeros((size, 1))
-        for v, _, doc in _passages(batches, params):
-            total[:, 0] += np.bincount(np.unique(doc * size + v) % size, minlength=size)
+        for b in batches:
+            for x in b.column("held"):
+                total[:, 0] += np.frombuffer(x.as_buffer(), np.int64)
         return total
 
-    n, df = sample.count(), added(count, 1)[:, 0]
+    n, df = about["n"], added(sums, count, 1)[:, 0] if about["bytes"] else np.zeros(1)
     if not df.any():
+        forget(held)
         return None
     idf = np.log((n + 1) / (df + 0.5)).clip(0.05)
 
-    def matrix(batches):
-        """Words, weights and passage starts of A's rows, each of unit length."""
-        for v, passage, _ in _passages(batches, params):
-            first = np.nonzero(np.diff(passage, prepend=-1))[0]
-            cell, times = np.unique(passage * size + v, return_counts=True)
-            row, word = cell // size, cell % size
-            value = times * idf[word]
-            norm = np.sqrt(np.bincount(row, value**2, len(first)))
-            yield row, word, (value / norm[row]).astype(np.float32), np.searchsorted(row, np.arange(len(first)))
-
     def times_(q: np.ndarray):
+        """A'Aq."""
+
         def run(batches):
-            total = np.zeros((size, q.shape[1]), np.float64)
-            for row, word, value, first in matrix(batches):
-                y = np.add.reduceat(q[word] * value[:, None], first)
-                order = np.argsort(word, kind="stable")
-                words, at = np.unique(word[order], return_index=True)
-                total[words] += np.add.reduceat(y[row[order]] * value[order][:, None], at)
+            total = np.zeros((size, q.shape[1]))
+            for word, times, sizes in _rows(batches, params):
+                _normal(word, times, sizes, idf, q, total)
             return total
 
         return run
 
     q = np.random.default_rng(22).standard_normal((size, wide)).astype(np.float32)
-    for _ in range(2):
-        q = np.linalg.qr(added(times_(q), wide))[0].astype(np.float32)
-    values, vectors = np.linalg.eigh(q.T @ added(times_(q), wide))
-    basis = q @ vectors[:, np.argsort(values)[::-1][: params.topics]]
-    forget(sample)
+    q = np.linalg.qr(added(rows, times_(q), wide))[0]
+    y = added(rows, times_(q.astype(np.float32)), wide)
+    values, vectors = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
+    some = values > 1e-6 * values[-1]
+    u, _, _ = np.linalg.svd(y @ (vectors[:, some] / np.sqrt(values[some])), full_matrices=False)
+    basis = u[:, : params.topics]
+    forget(held)
     return Topics(idf, (basis * idf[:, None]).astype(np.float32))
 
 
@@ -303,12 +350,13 @@ def _search(block: Block, params: Params, item_type: pa.DataType, topics: Topics
     item, begins = (np.array([x[j] for x in cut], np.int64) for j in (0, 1))
     wanted = _unit(np.concatenate([topics.of(block.words[k][a:b], np.zeros(1, np.int64)) for k, a, b in cut])) if cut else np.zeros((0, 0), np.float32)
 
-    numbers = [block.numbers(x) for x in block.words] if topics else []
+    kinds = [np.unique(block.numbers(x)) for x in block.words]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = np.full((len(block.groups), len(block.vocabulary)), -1, np.int32)  # the vocabulary's numbers in each group
         for own, g in zip(local, block.groups):
             own[g.words] = np.arange(len(g.words))
+        place_of = np.full(len(block.vocabulary) + 1, -1, np.int32)  # of an item's words; the last place is for other words
         for b, data, bounds in tokens.chunks(batches, most=600_000):
             w = tokens.words(data, bounds, space=tokens.MARKS)
             if not len(w):
@@ -329,27 +377,29 @@ def _search(block: Block, params: Params, item_type: pa.DataType, topics: Topics
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             tried: set[tuple[int, int, int]] = set()
 
-            def _with_words(p: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
-                """Those of the passages p and items' passages j around which the item has enough of its words, in any order: what shares() asks first."""
-                order = np.argsort(j, kind="stable")
-                p, j = p[order], j[order]
-                for own_p, own_j in zip(np.split(p, np.nonzero(np.diff(j))[0] + 1), np.split(j, np.nonzero(np.diff(j))[0] + 1)):
-                    if not len(own_j):
+            def enough(p: np.ndarray, k: np.ndarray) -> Iterator[int]:
+                """By item, the places of those of the passages p and items k around which the item has enough of its words, in any order: what shares() asks first."""
+                order = np.argsort(k, kind="stable")
+                for own in np.split(order, np.nonzero(np.diff(k[order]))[0] + 1) if len(order) else []:
+                    of, n = kinds[k[own[0]]], len(block.words[k[own[0]]])
+                    if n < params.short:
+                        yield from own.tolist()
                         continue
-                    k = int(item[own_j[0]])
-                    n, d = len(block.words[k]), owner[own_p]
                     more = n // 2 if n >= 3 * stride else 0
-                    first = w.first[d] + (own_p - base[d]) * stride
-                    lo, hi = np.maximum(w.first[d], first - n - more), np.minimum(w.first[d + 1], first + 2 * stride + n + more)
-                    place = lo[:, None] + np.arange(2 * stride + 2 * (n + more))
-                    own = np.unique(numbers[k])
-                    local = np.full(len(block.vocabulary) + 1, len(own), np.int64)  # the last place, -1, is for other words
-                    local[own] = np.arange(len(own))
-                    there = np.where(place < hi[:, None], local[every_v[np.minimum(place, len(w) - 1)]], len(own))
-                    met = np.zeros((len(d), len(own) + 1), bool)
-                    met[np.arange(len(d))[:, None], there] = True
-                    enough = ((there < len(own)).sum(1) >= params.likely * n) & (met[:, :-1].sum(1) >= params.likely * len(own) - 1)
-                    yield from ((x, int(own_j[0])) for x in own_p[enough].tolist())
+                    wide = 2 * stride + 2 * (n + more)
+                    place_of[of] = np.arange(len(of))
+                    for part in np.array_split(own, -(-len(own) * wide // 1_000_000)):
+                        d = owner[p[part]]
+                        first = w.first[d] + (p[part] - base[d]) * stride
+                        lo, hi = np.maximum(w.first[d], first - n - more), np.minimum(w.first[d + 1], first + 2 * stride + n + more)
+                        place = lo[:, None] + np.arange(wide)
+                        there = place_of[every_v[np.minimum(place, len(w) - 1)]]
+                        there[place >= hi[:, None]] = -1
+                        some = np.nonzero((there >= 0).sum(1) >= params.likely * n)[0]
+                        met = np.zeros((len(some), len(of) + 1), bool)
+                        met[np.arange(len(some))[:, None], there[some]] = True
+                        yield from part[some[met[:, :-1].sum(1) >= params.likely * len(of) - 1]].tolist()
+                    place_of[of] = -1
 
             def verify(p: int, k: int, begin: int, cos: float) -> None:
                 d, n = int(owner[p]), len(block.words[k])
@@ -368,16 +418,19 @@ def _search(block: Block, params: Params, item_type: pa.DataType, topics: Topics
                     best[d, k] = max(best.get((d, k), (0.0, 0.0, 0.0)), (s, a, cos))
 
             for own, g in zip(local, block.groups):
-                for p, k, cos in _hits(g, own[v], stretch_of, square, every, follows, two):
-                    verify(p, int(g.items[k]), int(g.begin[k]), cos)
+                hits = list(_hits(g, own[v], stretch_of, square, every, follows, two))
+                p, k, cos = (np.array([x[j] for x in hits], kind) for j, kind in enumerate((np.int64, np.int64, np.float64)))
+                for x in enough(p, g.items[k]):
+                    verify(int(p[x]), int(g.items[k[x]]), int(g.begin[k[x]]), float(cos[x]))
             if len(wanted):
                 found = set(best)
                 at = topics.of(w.hash, np.nonzero(np.diff(stretch, prepend=-1))[0])
                 at[follows] += at[1:][follows[:-1]]
                 cos = _unit(at) @ wanted.T
-                for p, j in _with_words(*np.nonzero(cos >= params.alike)):
-                    if (int(owner[p]), int(item[j])) not in found:
-                        verify(int(p), int(item[j]), int(begins[j]), float(cos[p, j]))
+                p, j = np.nonzero(cos >= params.alike)
+                for x in enough(p, item[j]):
+                    if (int(owner[p[x]]), int(item[j[x]])) not in found:
+                        verify(int(p[x]), int(item[j[x]]), int(begins[j[x]]), float(cos[p[x], j[x]]))
             if best:
                 ids = b.column("doc_id").to_pylist()
                 out = sorted((d, k, *x) for (d, k), x in best.items())

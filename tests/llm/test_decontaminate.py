@@ -218,3 +218,12 @@ def test_distributed_svd_finds_the_first_singular_vectors(spark):
     basis = got.basis / idf[:, None]
     assert np.allclose(basis.T @ basis, np.eye(6), atol=1e-3)
     assert np.linalg.norm(a @ basis) ** 2 > 0.97 * (values[:6] ** 2).sum()
+
+
+def test_the_latent_space_counts_every_row(spark):
+    texts = [f"w{k % 7} w{k % 11} " * 3 for k in range(21_000)] + ["", None]
+    got = d.fit_topics(frame(spark, texts), d.Params(topics=2, bits=8))
+    df = np.zeros(256)
+    for t in texts[:-1]:
+        df[np.unique((d.tokens.hashes(t, d.tokens.MARKS) >> np.uint64(56)).astype(int))] += 1
+    assert np.allclose(got.idf, np.log((len(texts) - 1 + 1) / (df + 0.5)).clip(0.05))
