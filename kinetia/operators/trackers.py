@@ -6,6 +6,7 @@ Each holds one video's state and the boxes of one frame. Frames without boxes mu
 from __future__ import annotations
 
 import math
+from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,30 +113,63 @@ def displaced_filter(frames: DataFrame, features: DataFrame, key: str, frame: st
 
 
 class Watch:
-    """Clusters of all boxes seen, for a target that was lost to something at rest."""
+    """Clusters of all boxes seen, for a target that was lost to something at rest. A frame's work is for what it adds and for what expires: other clusters are as they were when
+    they weren't to be adopted."""
 
     def __init__(self, least_conf: float, reach: float, keep: int, least: int, motion: float, away: float):
         self.least_conf, self.reach, self.keep, self.least, self.motion, self.away = least_conf, reach, keep, least, motion, away
-        self.clusters: list[list] = []  # centre x, y, observations (frame, cy, h)
+        self.end()
+
+    def end(self) -> None:
+        self.clusters: list[list] = []  # centre x, y, observations (frame, cy, h), number; in order of their numbers
+        self.order: deque = deque()  # frame and cluster of each observation
+        self.number = 0
+        self.target = None
+
+    def moves(self, seen) -> bool:
+        if len(seen) < self.least:
+            return False
+        heights = [o[1] for o in seen]
+        if max(heights) - min(heights) < 1.99 * self.motion:  # a deviation is at most half of the range
+            return False
+        mean = sum(heights) / len(seen)
+        return math.sqrt(sum((y - mean) ** 2 for y in heights) / len(seen)) > self.motion
 
     def see(self, n: int, boxes, target: float) -> tuple[float, float, float, int] | None:
         """A frame's boxes; centre, last height and observations of the cluster to adopt."""
-        for b in boxes:
-            if missing(b["conf"]) or b["conf"] < self.least_conf:
+        return self.take(n, [(b["cx"], b["cy"], b["h"], b["conf"]) for b in boxes], target)
+
+    def take(self, n: int, boxes, target: float) -> tuple[float, float, float, int] | None:
+        """see() of boxes as (cx, cy, h, conf)."""
+        reach, hypot, changed = self.reach, math.hypot, {}
+        if target != self.target:
+            self.target, changed = target, {c[3]: c for c in self.clusters}
+        for x, y, h, conf in boxes:
+            if missing(conf) or conf < self.least_conf:
                 continue
-            hit = next((c for c in self.clusters if math.hypot(b["cx"] - c[0], b["cy"] - c[1]) < self.reach), None)
-            if hit is None:
-                hit = [b["cx"], b["cy"], []]
+            for hit in self.clusters:
+                if hypot(x - hit[0], y - hit[1]) < reach:
+                    break
+            else:
+                hit = [x, y, deque(), self.number]
+                self.number += 1
                 self.clusters.append(hit)
-            hit[0], hit[1] = 0.7 * b["cx"] + 0.3 * hit[0], 0.7 * b["cy"] + 0.3 * hit[1]
-            hit[2].append((n, b["cy"], b["h"]))
-        for c in self.clusters:
-            c[2] = [o for o in c[2] if o[0] >= n - self.keep]
-        self.clusters = [c for c in self.clusters if c[2]]
-        for x, y, seen in self.clusters:
-            mean = sum(o[1] for o in seen) / len(seen)
-            if len(seen) >= self.least and math.sqrt(sum((o[1] - mean) ** 2 for o in seen) / len(seen)) > self.motion and abs(seen[-1][1] - target) > self.away:
-                self.clusters = []
+            hit[0], hit[1] = 0.7 * x + 0.3 * hit[0], 0.7 * y + 0.3 * hit[1]
+            hit[2].append((n, y, h))
+            self.order.append((n, hit))
+            changed[hit[3]] = hit
+        empty = False
+        while self.order and self.order[0][0] < n - self.keep:
+            _, c = self.order.popleft()
+            c[2].popleft()
+            changed[c[3]] = c
+            empty = empty or not c[2]
+        if empty:
+            self.clusters = [c for c in self.clusters if c[2]]
+        for number in sorted(changed):
+            x, y, seen, _ = changed[number]
+            if seen and abs(seen[-1][1] - target) > self.away and self.moves(seen):
+                self.end()
                 return x, y, seen[-1][2], len(seen)
         return None
 
@@ -151,9 +185,9 @@ def watch_clusters(boxes: DataFrame, key: str, frame: str, least_conf: float = 0
     def start():
         watch, target = Watch(least_conf, reach, keep, least, motion, away), 0.0
 
-        def step(n, found):
+        def step(n, *found):
             nonlocal target
-            adopted = watch.see(n, found if found is not None else [], target)
+            adopted = watch.take(n, list(zip(*(x.tolist() for x in found))) if found[0] is not None else [], target)
             if adopted is None:
                 return []
             target = adopted[1]
@@ -161,4 +195,7 @@ def watch_clusters(boxes: DataFrame, key: str, frame: str, least_conf: float = 0
 
         return step
 
-    return fold(by_frame(boxes, key, frame), key, [frame], [frame, "boxes"], f"{frame} long, cx double, cy double, h double, hits long", start)
+    # arrays of numbers reach Python many times faster than structs
+    names = ["cx", "cy", "h", "conf"]
+    rows = by_frame(boxes, key, frame).select(key, frame, *(F.col(f"boxes.{x}").cast("array<double>").alias(f"_{x}") for x in names))
+    return fold(rows, key, [frame], [frame, *(f"_{x}" for x in names)], f"{frame} long, cx double, cy double, h double, hits long", start)

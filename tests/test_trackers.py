@@ -57,6 +57,43 @@ def test_watch_clusters_adopt_what_moves_far_off(spark):
     assert trackers.watch_clusters(boxes(spark, rows).where("f < 200"), "k", "f").count() == 0
 
 
+def test_watch_looks_only_at_what_a_frame_changes():
+    rng, looked = random.Random(26), []
+
+    class Counted(trackers.Watch):
+        def moves(self, seen):
+            looked.append(len(seen))
+            return super().moves(seen)
+
+    def plain(frames, keep, least, motion, away):
+        clusters, target, out = [], 0.0, []
+        for n, boxes in frames:
+            for b in boxes:
+                if b["conf"] >= 0.3:
+                    hit = next((c for c in clusters if math.hypot(b["cx"] - c[0], b["cy"] - c[1]) < 60.0), None)
+                    if hit is None:
+                        clusters.append(hit := [b["cx"], b["cy"], []])
+                    hit[:2] = 0.7 * b["cx"] + 0.3 * hit[0], 0.7 * b["cy"] + 0.3 * hit[1]
+                    hit[2].append((n, b["cy"], b["h"]))
+            clusters = [[x, y, [o for o in seen if o[0] >= n - keep]] for x, y, seen in clusters]
+            clusters = [c for c in clusters if c[2]]
+            for x, y, seen in clusters:
+                if len(seen) >= least and np.std([o[1] for o in seen]) > motion and abs(seen[-1][1] - target) > away:
+                    clusters, target = [], y
+                    out.append((n, x, y, seen[-1][2], len(seen)))
+                    break
+        return out
+
+    frames = [(n, [{"cx": rng.randrange(200) * 3.0, "cy": rng.randrange(100) * 3.0, "h": rng.random(), "conf": rng.randrange(11) / 10} for _ in range(rng.randrange(5))]) for n in range(3000)]
+    watch, target, got = Counted(0.3, 60.0, 90, 4, 25.0, 60.0), 0.0, []
+    for n, boxes in frames:
+        if found := watch.see(n, boxes, target):
+            target = found[1]
+            got.append((n, *found))
+    assert len(got) > 20 and got == plain(frames, 90, 4, 25.0, 60.0)
+    assert 0 < len(looked) < 5 * len(frames)  # at most what the frame's boxes changed, and as many that expired, not all of some fifty clusters
+
+
 def dense_basis(degree, cells, u):
     """Values of all even B-splines by the recursion over knots."""
     knots = np.arange(-degree, cells + degree + 1, dtype=float)
