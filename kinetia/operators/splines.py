@@ -31,19 +31,21 @@ def basis(degree: int, deriv: int = 0) -> np.ndarray:
 
 
 def banded_solve(bands: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """x of A x = right, for a positive definite A with bands[i, k] = A[i, i + k]."""
-    a, x, width = bands.copy(), right.astype(float).copy(), bands.shape[1]
-    n = len(x)
+    """x of A x = right, for a positive definite A with bands[i, k] = A[i, i + k]. Rows are a few numbers wide, so plain floats are many times faster than arrays of them."""
+    a, x, (n, width) = bands.tolist(), right.astype(float).tolist(), bands.shape
     for i in range(n):
-        row = a[i].copy()
+        row, own = a[i], x[i]
         for k in range(1, min(width, n - i)):
-            f = row[k] / row[0]
-            a[i + k, : width - k] -= f * row[k:]
-            x[i + k] -= f * x[i]
+            f, below = row[k] / row[0], a[i + k]
+            for j in range(k, width):
+                below[j - k] -= f * row[j]
+            x[i + k] -= f * own
     for i in range(n - 1, -1, -1):
-        m = min(width, n - i)
-        x[i] = (x[i] - a[i, 1:m] @ x[i + 1 : i + m]) / a[i, 0]
-    return x
+        row, left = a[i], x[i]
+        for k in range(1, min(width, n - i)):
+            left -= row[k] * x[i + k]
+        x[i] = left / row[0]
+    return np.array(x)
 
 
 def _times(bands: np.ndarray, x: np.ndarray) -> np.ndarray:
