@@ -176,6 +176,28 @@ def fit(docs: DataFrame, block: Block, params: Params) -> Block:
     return block
 
 
+def sums(rows: np.ndarray, at: np.ndarray, first: np.ndarray, most: int = 32, wide: int = 2048) -> np.ndarray:
+    """The sum of rows[at] over each stretch of at, none of them empty, which begin at the places first: of so many stretches at a time the j-th entries
+    together, which stay in the processor's cache. Longer stretches than most are summed in parts, and the parts' sums likewise."""
+    sizes = np.diff(np.append(first, len(at)))
+    if sizes.max(initial=0) > most:
+        parts = -(-sizes // most)
+        begin = np.cumsum(parts) - parts
+        inner = np.repeat(first - begin * most, parts) + np.arange(parts.sum()) * most
+        return sums(sums(rows, at, inner, most, wide), np.arange(len(inner)), begin, most, wide)
+    order = np.argsort(sizes, kind="stable")[::-1]
+    out = np.empty((len(first), rows.shape[1]), rows.dtype)
+    taken = np.empty((min(wide, len(first)), rows.shape[1]), rows.dtype)
+    for lo in range(0, len(first), wide):
+        own = order[lo : lo + wide]
+        start, longer = first[own], len(own) - np.searchsorted(sizes[own][::-1], np.arange(sizes[own[0]]), side="right")
+        total = rows.take(at[start], 0)
+        for j, n in enumerate(longer.tolist()[1:], 1):
+            total[:n] += rows.take(at[start[:n] + j], 0, taken[:n], "clip")
+        out[own] = total
+    return out
+
+
 @dataclass
 class Topics:
     """The documents' latent space."""
@@ -186,7 +208,7 @@ class Topics:
     def of(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
         """A row for each stretch of words h, which begin at the places first: the sum of their vectors."""
         bits = np.uint64(64 - (len(self.idf) - 1).bit_length())
-        return np.add.reduceat(self.basis[(h >> bits).astype(np.int64)], first) if len(first) else np.zeros((0, self.basis.shape[1]), np.float32)
+        return sums(self.basis, (h >> bits).astype(np.int64), first)
 
 
 def _cells(batches: Iterator[pa.RecordBatch], params: Params) -> Iterator[pa.RecordBatch]:
@@ -212,7 +234,7 @@ def _cells(batches: Iterator[pa.RecordBatch], params: Params) -> Iterator[pa.Rec
     yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.binary()) for _ in range(3)), pa.array([held.tobytes()])], names=["words", "times", "sizes", "held"])
 
 
-def _rows(batches: Iterator[pa.RecordBatch], params: Params, most: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _rows(batches: Iterator[pa.RecordBatch], params: Params, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Stored cells again, in slices of whole passages of about so many cells: words, times and sizes of passages."""
     kind = "<u2" if params.bits <= 16 else "<u4"
     for b in batches:
@@ -231,16 +253,16 @@ def _rows(batches: Iterator[pa.RecordBatch], params: Params, most: int = 2048) -
 
 
 def _normal(word: np.ndarray, times: np.ndarray, sizes: np.ndarray, idf: np.ndarray, q: np.ndarray, total: np.ndarray) -> None:
-    """Adds A'Aq to total, for a slice of A's rows, passages of unit length: as a dense block over the words that the slice has."""
+    """Adds A'Aq to total, for a slice of A's rows, passages of unit length, but for the factor idf of its rows; q has that factor already.
+    So both products are plain sums, over each passage's words and over the passages of each word."""
     passage = np.repeat(np.arange(len(sizes)), sizes)
-    value = times * idf[word]
-    value /= np.sqrt(np.bincount(passage, value**2, len(sizes)))[passage]
-    order = np.argsort(word, kind="stable")
-    new = np.diff(word[order].astype(np.int64), prepend=-1) > 0
-    own = word[order[new]]
-    a = np.zeros((len(sizes), len(own)), np.float32)
-    a[passage[order], np.cumsum(new) - 1] = value[order]
-    total[own] += a.T @ (a @ q[own])
+    square = np.bincount(passage, (times * idf[word]) ** 2, len(sizes))
+    word, passage = np.repeat(word, times).astype(np.int64), np.repeat(passage, times)
+    y = sums(q, word, np.nonzero(np.diff(passage, prepend=-1))[0])
+    y /= square[:, None]
+    order = np.argsort(word.astype(np.uint16) if len(idf) <= 1 << 16 else word, kind="stable")
+    first = np.nonzero(np.diff(word[order], prepend=-1))[0]
+    total[word[order[first]]] += sums(y, passage[order], first)
 
 
 def fit_topics(docs: DataFrame, params: Params) -> Topics | None:
@@ -288,17 +310,19 @@ def fit_topics(docs: DataFrame, params: Params) -> Topics | None:
     def times_(q: np.ndarray):
         """A'Aq."""
 
+        scaled = (q * idf[:, None]).astype(np.float32)
+
         def run(batches):
             total = np.zeros((size, q.shape[1]))
             for word, times, sizes in _rows(batches, params):
-                _normal(word, times, sizes, idf, q, total)
-            return total
+                _normal(word, times, sizes, idf, scaled, total)
+            return total * idf[:, None]
 
         return run
 
-    q = np.random.default_rng(22).standard_normal((size, wide)).astype(np.float32)
+    q = np.random.default_rng(22).standard_normal((size, wide))
     q = np.linalg.qr(added(rows, times_(q), wide))[0]
-    y = added(rows, times_(q.astype(np.float32)), wide)
+    y = added(rows, times_(q), wide)
     values, vectors = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
     some = values > 1e-6 * values[-1]
     u, _, _ = np.linalg.svd(y @ (vectors[:, some] / np.sqrt(values[some])), full_matrices=False)
@@ -351,12 +375,15 @@ def _search(block: Block, params: Params, item_type: pa.DataType, topics: Topics
     wanted = _unit(np.concatenate([topics.of(block.words[k][a:b], np.zeros(1, np.int64)) for k, a, b in cut])) if cut else np.zeros((0, 0), np.float32)
 
     kinds = [np.unique(block.numbers(x)) for x in block.words]
+    further = lambda n: n // 2 if n >= 3 * stride else 0
+    longest = max(map(len, block.words))
+    widest = 2 * stride + 2 * (longest + further(longest))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = np.full((len(block.groups), len(block.vocabulary)), -1, np.int32)  # the vocabulary's numbers in each group
         for own, g in zip(local, block.groups):
             own[g.words] = np.arange(len(g.words))
-        place_of = np.full(len(block.vocabulary) + 1, -1, np.int32)  # of an item's words; the last place is for other words
+        place_of = np.zeros(len(block.vocabulary) + 1, np.int64)  # of an item's words, from 1; 0 for others, and the last word's place, which stands for those outside
         for b, data, bounds in tokens.chunks(batches, most=600_000):
             w = tokens.words(data, bounds, space=tokens.MARKS)
             if not len(w):
@@ -377,6 +404,9 @@ def _search(block: Block, params: Params, item_type: pa.DataType, topics: Topics
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             tried: set[tuple[int, int, int]] = set()
 
+            padded = np.concatenate([np.where(every_v < 0, len(block.vocabulary), every_v), np.full(widest, len(block.vocabulary))]).astype(np.int32)
+            windows: dict[int, np.ndarray] = {}  # by width, the words from each place on, as views
+
             def enough(p: np.ndarray, k: np.ndarray) -> Iterator[int]:
                 """By item, the places of those of the passages p and items k around which the item has enough of its words, in any order: what shares() asks first."""
                 order = np.argsort(k, kind="stable")
@@ -385,30 +415,31 @@ def _search(block: Block, params: Params, item_type: pa.DataType, topics: Topics
                     if n < params.short:
                         yield from own.tolist()
                         continue
-                    more = n // 2 if n >= 3 * stride else 0
+                    more = further(n)
                     wide = 2 * stride + 2 * (n + more)
-                    place_of[of] = np.arange(len(of))
-                    for part in np.array_split(own, -(-len(own) * wide // 1_000_000)):
+                    if wide not in windows:
+                        windows[wide] = np.lib.stride_tricks.sliding_window_view(padded, wide)
+                    place_of[of] = np.arange(1, len(of) + 1)
+                    step = max(1, 1_000_000 // wide)
+                    for part in (own[x : x + step] for x in range(0, len(own), step)):
                         d = owner[p[part]]
                         first = w.first[d] + (p[part] - base[d]) * stride
                         lo, hi = np.maximum(w.first[d], first - n - more), np.minimum(w.first[d + 1], first + 2 * stride + n + more)
-                        place = lo[:, None] + np.arange(wide)
-                        there = place_of[every_v[np.minimum(place, len(w) - 1)]]
-                        there[place >= hi[:, None]] = -1
-                        some = np.nonzero((there >= 0).sum(1) >= params.likely * n)[0]
+                        there = place_of.take(windows[wide][lo])
+                        short = np.nonzero(hi - lo < wide)[0]
+                        there[short] *= np.arange(wide) < (hi - lo)[short, None]
+                        some = np.nonzero((there > 0).sum(1) >= params.likely * n)[0]
                         met = np.zeros((len(some), len(of) + 1), bool)
-                        met[np.arange(len(some))[:, None], there[some]] = True
-                        yield from part[some[met[:, :-1].sum(1) >= params.likely * len(of) - 1]].tolist()
-                    place_of[of] = -1
+                        met.reshape(-1)[there[some] + np.arange(0, met.size, len(of) + 1)[:, None]] = True
+                        yield from part[some[met[:, 1:].sum(1) >= params.likely * len(of) - 1]].tolist()
+                    place_of[of] = 0
 
             def verify(p: int, k: int, begin: int, cos: float) -> None:
                 d, n = int(owner[p]), len(block.words[k])
                 if (d, k) in best and best[d, k][0] == 1.0:
                     return
                 first = w.first[d] + (p - base[d]) * stride
-                more = 0
-                if n >= 3 * stride:  # of several passages, whose hits mostly stand for the same place
-                    more = n // 2
+                if more := further(n):  # of several passages, whose hits mostly stand for the same place
                     if (at := (d, k, (first - begin) // (n // 4))) in tried:
                         return
                     tried.add(at)
@@ -453,14 +484,12 @@ def _hits(g: Group, v: np.ndarray, stretch: np.ndarray, square: np.ndarray, ever
     wanted[picked] = True
     wanted[picked[follows[picked]] + 1] = True
     words = words[wanted[stretch[words]]]
-    at, begin, n_words = np.unique(stretch[words], return_index=True, return_counts=True)
-    sums, place = np.zeros((len(at) + 1, rank), np.float32), np.full(size + 1, len(at))
-    place[at] = np.arange(len(at))
-    for j in range(int(n_words.max(initial=0))):  # the j-th known word of each stride
-        has = np.nonzero(n_words > j)[0]
-        sums[has] += g.basis[v[words[begin[has] + j]]]
-    own = sums[place[picked]]
-    own[follows[picked]] += sums[place[picked[follows[picked]] + 1]]
+    begin = np.nonzero(np.diff(stretch[words], prepend=-1))[0]
+    place = np.full(size + 1, len(begin))
+    place[stretch[words[begin]]] = np.arange(len(begin))
+    known = np.concatenate([sums(g.basis, v[words], begin), np.zeros((1, rank), np.float32)])
+    own = known[place[picked]]
+    own[follows[picked]] += known[place[picked[follows[picked]] + 1]]
     cos = own @ g.latent.T / np.sqrt(every[picked])[:, None].astype(np.float32)
     for p, k in zip(*np.nonzero(cos >= g.least)):
         yield int(picked[p]), int(k), float(cos[p, k])

@@ -227,3 +227,54 @@ def test_the_latent_space_counts_every_row(spark):
     for t in texts[:-1]:
         df[np.unique((d.tokens.hashes(t, d.tokens.MARKS) >> np.uint64(56)).astype(int))] += 1
     assert np.allclose(got.idf, np.log((len(texts) - 1 + 1) / (df + 0.5)).clip(0.05))
+
+
+def test_sums_of_stretches():
+    rng = np.random.default_rng(25)
+    rows = rng.integers(-9, 9, (50, 7)).astype(np.float32)
+    for sizes in ([1], [1, 2000, 3, 32, 33, 1, 64], rng.integers(1, 5000, 40), rng.integers(1, 40, 5000)):
+        first = np.cumsum(sizes) - sizes
+        at = rng.integers(0, 50, np.sum(sizes))
+        assert np.array_equal(d.sums(rows, at, first), np.add.reduceat(rows[at], first))
+    assert d.sums(rows, np.zeros(0, np.int64), np.zeros(0, np.int64)).shape == (0, 7)
+
+
+def test_a_pass_over_passages_is_right_and_costs_less_than_dense_blocks():
+    """A'Aq of random passages, whose words are as uneven as a language's, beside the product of dense blocks of about 2,048 cells over their own words."""
+    from time import process_time
+
+    rng, size = np.random.default_rng(26), 1 << 14
+    share = 1 / (np.arange(size) + 10)
+    drawn = rng.permutation(size)[rng.choice(size, (6000, 40), p=share / share.sum())]
+    cell, times = np.unique(np.arange(6000)[:, None] * size + drawn, return_counts=True)
+    word, sizes = (cell % size).astype(np.uint16), np.bincount(cell // size)
+    idf, q, times = rng.uniform(0.05, 9, size), rng.standard_normal((size, 56)).astype(np.float32), times.astype(np.uint16)
+
+    def dense():
+        out, end = np.zeros((size, 56)), np.append(0, np.cumsum(sizes))
+        for lo in range(0, 6000, 60):
+            at = slice(end[lo], end[min(lo + 60, 6000)])
+            passage = np.repeat(np.arange(len(sizes[lo : lo + 60])), sizes[lo : lo + 60])
+            value = times[at] * idf[word[at]]
+            value /= np.sqrt(np.bincount(passage, value**2))[passage]
+            own, column = np.unique(word[at], return_inverse=True)
+            a = np.zeros((passage[-1] + 1, len(own)), np.float32)
+            a[passage, column] = value
+            out[own] += a.T @ (a @ q[own])
+        return out
+
+    def sparse():
+        out = np.zeros((size, 56))
+        d._normal(word, times, sizes, idf, (q * idf[:, None]).astype(np.float32), out)
+        return out * idf[:, None]
+
+    def cost(run):
+        spent = []
+        for _ in range(5):
+            begun = process_time()
+            run()
+            spent.append(process_time() - begun)
+        return min(spent)
+
+    assert np.allclose(sparse(), dense(), atol=1e-3)
+    assert cost(sparse) < 0.7 * cost(dense)
