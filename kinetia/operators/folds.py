@@ -1,7 +1,7 @@
 """Ordered folds: state machines and filters that need the last state for the next row.
 
 Rows are dealt by key and sorted, and a fold runs over the sorted stream of a partition. It holds one key's state and one
-batch, never a key's rows, so a key of any length fits.
+batch, never a key's rows, so a key of any length fits. A window deals and sorts them, so rows that are dealt by key already are not shuffled again.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from decimal import Decimal
 from statistics import median
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,20 +22,19 @@ def fold(df: DataFrame, key: str, order: list[str], columns: list[str], schema:
     kind = dict(df.dtypes)[key]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, step, names = None, None, [key, "_null", *(x.split()[0] for x in schema.split(", "))]
+        step, names = None, [key, "_null", *(x.split()[0] for x in schema.split(", "))]
         for f in frames:
             out = []
-            for *k, row in zip(f["_key"], f["_null"], zip(*(f[c] for c in columns))):
-                own = k if k[0] == k[0] else ["NaN", *k[1:]]
-                if step is None or own != last:
-                    last, step = own, start()
+            for *k, place, row in zip(f["_key"], f["_null"], f["_place"], zip(*(f[c] for c in columns))):
+                if place == 1:
+                    step = start()
                 out += [(*k, *x) for x in step(*row)]
             yield pd.DataFrame(out, columns=names)
 
     # the flag stands for null, as pandas would make doubles of whole numbers with nulls
     some = F.lit("1970-01-01" if kind.startswith(("date", "timestamp")) else "0").cast(kind)
-    held = df.select(F.coalesce(F.col(key), some).alias("_key"), F.col(key).isNull().alias("_null"), *dict.fromkeys([*order, *columns]))
-    rows = held.repartition("_key", "_null").sortWithinPartitions("_key", "_null", *order)
+    held = df.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).sortWithinPartitions(key, *order)
+    rows = held.select(F.coalesce(F.col(key), some).alias("_key"), F.col(key).isNull().alias("_null"), "_place", *dict.fromkeys(columns))
     out = rows.mapInPandas(run, f"{key} {kind}, _null boolean, {schema}")
     # pandas makes nulls of NaNs, too: keys that weren't null were NaN
     own = F.coalesce(F.col(key), F.lit(float("nan")).cast(kind)) if kind in ("double", "float") else F.col(key)
@@ -134,23 +133,24 @@ def traced(df: DataFrame, key: str, order: str, thresh: float = 0.08, band: floa
     return fold(ready, key, [order], [order, "t", "y", "v", "_next", "_live"], schema, start)
 
 
-def kalman_scalar(df: DataFrame, key: str, order: str, value: str, q: float = 0.005, r: float = 0.05) -> DataFrame:
-    """A random-walk filter of one value from 0 with variance 1: (key, order, filtered)."""
+def kalman_scalar(df: DataFrame, key: str, order: str, value: str, q: float = 0.005, r: float = 0.05, keep: str | None = None) -> DataFrame:
+    """A random-walk filter of one value from 0 with variance 1: (key, order, filtered), and with keep that column of doubles as it was."""
 
     def start():
         x, p = 0.0, 1.0
 
-        def step(i, z):
+        def step(i, z, *kept):
             nonlocal x, p
             p += q
             if not missing(z):
                 k = p / (p + r)
                 x, p = x + k * (z - x), (1 - k) * p
-            return [(i, x)]
+            return [(i, *kept, x)]
 
         return step
 
-    return fold(df, key, [order], [order, value], f"{order} long, filtered double", start)
+    kept = [keep] if keep else []
+    return fold(df, key, [order], [order, value, *kept], f"{order} long, {''.join(f'{c} double, ' for c in kept)}filtered double", start)
 
 
 class Motion:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -101,22 +103,41 @@ def peak_troughs(signal: DataFrame, peaks_: DataFrame, troughs: DataFrame, key:
     return rows.select(key, order, end.alias("end"), F.when(found, "trough").otherwise("lowest").alias("found"), F.col(value).alias("peak_value"), F.when(found, F.col("_first.v")).otherwise(F.col("_low.v")).alias("end_value"))
 
 
+def first_troughs(y: np.ndarray, apart: int, prominence: float, gap: int, reach: int, share: float = 0.6) -> list[tuple[int, int]]:
+    """Places of each peak and its trough, as peak_troughs pairs them, of one signal (NaN: no value). Troughs are half as far apart as peaks, of any depth."""
+    has = np.nonzero(~np.isnan(y))[0]
+    if not len(has):
+        return []
+    known = y[has]
+    tops, lows = has[find(known, apart, prominence)[0]], has[find(-known, max(apart // 2, 10))[0]]
+    ranked, at = np.sort(known), (len(known) - 1) * share
+    a, b = ranked[math.floor(at)], ranked[math.ceil(at)]
+    lows = lows[y[lows] < (a if a == b else (math.ceil(at) - at) * a + (at - math.floor(at)) * b)]
+    later = np.searchsorted(lows, tops + gap, "right")
+    return [(int(p), int(lows[k]) if k < len(lows) else int(p + np.nanargmin(y[p : p + reach + 1]))) for p, k in zip(tops, later)]
+
+
 def peak_first(df: DataFrame, key: str, order: str, value: str, speed: str, fps: float, scale: float, least_rows: int = 30, seconds: tuple[float, float] = (0.2, 7.5), least_cm: float = 8.0, prominence: float = 12.0) -> DataFrame:
     """(key, start, end, duration_s, rom_cm, mcv, pv): repetitions from each peak of value to its trough. Peaks are apart half a second, or 20 rows if that is more, and prominent;
-    troughs are half as far apart. mcv is the mean of the positive speeds before the end (0: none), pv the largest one. Keys of fewer rows have none."""
-    apart = max(int(fps * 0.5), 20)
-    n = F.count("*").over(Window.partitionBy(key))
-    held = df.withColumn("_n", n).where(F.col("_n") >= least_rows).select(key, order, value, speed)
-    high = peaks(held, key, order, value, apart, prominence)
-    low = peaks(held.withColumn("_down", -F.col(value)), key, order, "_down", max(apart // 2, 10))
-    pairs = peak_troughs(held, high, low, key, order, value, int(fps * 0.15), max(int(fps * 3.0), 60))
-    took, rom = (F.col("end") - F.col(order)) / fps, F.abs(F.col("end_value") - F.col("peak_value")) * scale * 100.0
-    reps = pairs.select(key, F.col(order).alias("start"), F.col("end").alias("_end"), took.alias("duration_s"), rom.alias("rom_cm")).where(F.col("duration_s").between(*seconds) & (F.col("rom_cm") >= least_cm))
-    from kinetia.operators.metrics import rep_velocities
+    troughs are half as far apart. mcv is the mean of the positive speeds before the end (0: none), pv the largest one. Keys of fewer rows, and a null key, have none.
 
-    spans = reps.withColumn("end", F.col("_end") - 1)
-    v = rep_velocities(held, spans, key, order, speed)
-    return spans.join(v, [key, "start", "end"]).select(key, "start", F.col("_end").alias("end"), "duration_s", "rom_cm", F.col("mcv_pos").alias("mcv"), "pv")
+    As peaks are found over a key's whole signal in one task, its repetitions are taken there, too: joins of the peaks, troughs and spans with the signal would
+    shuffle all rows four times. Rows that are dealt by key are not shuffled."""
+    apart, kinds = max(int(fps * 0.5), 20), dict(df.dtypes)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(order)
+        out, place, y, v = [], f[order].to_numpy(), f[value].to_numpy(float), f[speed].to_numpy(float)
+        for p, t in first_troughs(y, apart, prominence, int(fps * 0.15), max(int(fps * 3.0), 60)) if len(f) >= least_rows else []:
+            took, rom = (place[t] - place[p]) / fps, abs(y[t] - y[p]) * scale * 100.0
+            if seconds[0] <= took <= seconds[1] and rom >= least_cm:
+                own = v[p:t][~np.isnan(v[p:t])]
+                up = own[own > 0]
+                out.append((f[key].iloc[0], place[p], place[t], took, rom, up.mean() if len(up) else 0.0, own.max() if len(own) else None))
+        return pd.DataFrame(out, columns=[key, "start", "end", "duration_s", "rom_cm", "mcv", "pv"])
+
+    rows = df.where(F.col(key).isNotNull()).select(key, order, value, speed)
+    return rows.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, start {kinds[order]}, end {kinds[order]}, duration_s double, rom_cm double, mcv double, pv double")
 
 
 def trailing_event(events: DataFrame, ends: DataFrame, key: str, order: str, fps: float, scale: float, seconds: tuple[float, float], least_rom: float) -> DataFrame:

@@ -94,19 +94,22 @@ def smoothest(gram: np.ndarray, moment: np.ndarray, square: float, most: float)
     return best, rss, unit * 10.0**low
 
 
-def smoothing_spline(df: DataFrame, key: str, time: str, value: str, degree: int = 3, noise: float = 0.5, rows_a_knot: float = 6.0, most_knots: int = 4096) -> DataFrame:
+def smoothing_spline(df: DataFrame, key: str, time: str, value: str, degree: int = 3, noise: float = 0.5, rows_a_knot: float = 6.0, most_knots: int = 4096, null_keys: bool = True) -> DataFrame:
     """df with spline (value), slope (its derivative by time), rss and fits of each row.
 
     The smoothest spline of each key whose squared residuals sum to at most noise * rows; fits is false where even the roughest one of these knots has more (then that
     one is taken). There is a cell of even width for each rows_a_knot rows, at most most_knots. Rows with a null time or value don't count; with fewer than degree + 2 rows
-    or no span of time a key has null results, as rows without a time have. A null key is a group of its own."""
+    or no span of time a key has null results, as rows without a time have. A null key is a group of its own; without null_keys there are none (their rows are left out),
+    and rows that are dealt by key already are joined where they are: a join that takes nulls for equal shuffles all of them."""
+    df = df if null_keys else df.where(F.col(key).isNotNull())
+    same = Column.eqNullSafe if null_keys else Column.__eq__
     known = F.col(time).isNotNull() & F.col(value).isNotNull()
     t, y = (F.when(known, F.col(c).cast("double")) for c in (time, value))
     shape = df.groupBy(F.col(key).alias("_k")).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"), F.count(t).alias("_n"), F.avg(y).alias("_mean"))
     cells = F.least(F.lit(float(most_knots)), F.greatest(F.lit(1.0), F.ceil(F.col("_n") / rows_a_knot)))
     shape = shape.withColumn("_cells", F.when((F.col("_n") >= degree + 2) & (F.col("_t1") > F.col("_t0")), cells))
     span = F.when(F.col("_t1") > F.col("_t0"), F.col("_t1") - F.col("_t0"))
-    placed = df.join(shape, df[key].eqNullSafe(shape["_k"])).withColumn("_u", (F.col(time).cast("double") - F.col("_t0")) / span * F.col("_cells"))
+    placed = df.join(shape, same(df[key], shape["_k"])).withColumn("_u", (F.col(time).cast("double") - F.col("_t0")) / span * F.col("_cells"))
     placed = placed.withColumn("_cell", F.greatest(F.lit(0.0), F.least(F.floor("_u"), F.col("_cells") - 1))).withColumn("_x", F.col("_u") - F.col("_cell"))
 
     def poly(row: np.ndarray) -> Column:
@@ -133,7 +136,7 @@ def smoothing_spline(df: DataFrame, key: str, time: str, value: str, degree: int
         return pd.DataFrame({"_key": f["_k"].iloc[:1].to_numpy(), "_c": [c.tolist()], "rss": [rss], "fits": [rss <= noise * float(f["_n"].iloc[0])]})
 
     solved = cells_.groupBy("_k").applyInPandas(solve, f"_key {kind}, _c array<double>, rss double, fits boolean")
-    out = placed.join(solved, placed["_k"].eqNullSafe(solved["_key"]), "left")
+    out = placed.join(solved, same(placed["_k"], solved["_key"]), "left")
     near = [F.get("_c", (F.col("_cell") + i).cast("int")) for i in range(width)]
     total = lambda rows: sum((poly(r) * c for r, c in zip(rows, near)), F.lit(0.0))
     slope = total(basis(degree, 1)) * F.col("_cells") / span

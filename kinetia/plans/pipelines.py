@@ -1,13 +1,15 @@
 """The five older pipelines by name, run side by side over one table of detections.
 
 A pipeline is a way to get (y, v) from a target's detections; how repetitions are found in them is the same for all. The table is read once: it is persisted on the executors' disks
-(lost parts are computed again from it), the signals are stacked as rows of (pipeline, video), and one search for repetitions runs over all of them.
+(lost parts are computed again from it), dealt by video. A video's rows then stay together in each pipeline, up to its repetitions: signals are neither stored nor, but for what a
+filter in Python returns, shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -34,23 +36,32 @@ def smoothed(df: DataFrame, column: str, window: int, degree: int) -> DataFrame:
     return peaks.savgol(df, "video_id", "idx", column, window, degree, 0, "_s").withColumn(column, F.col("_s")).drop("_s")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows by video, in as many parts as the session's shuffles have. With a number Spark keeps them so, and joins by video find their other side's rows there; parts that it has
+    put together would be dealt anew for a join."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id")
+
+
 def filled(points: DataFrame) -> DataFrame:
-    """(video_id, idx, y): gaps on the line between their neighbours, edges held."""
-    return windows.interpolate(points.select("video_id", "idx", F.col("cy").alias("y")), "video_id", "idx", "y").select("video_id", "idx", F.col("y_filled").alias("y"))
+    """points with y, their cy: gaps on the line between their neighbours, edges held."""
+    return windows.interpolate(points, "video_id", "idx", "cy").withColumnRenamed("cy_filled", "y")
+
+
+def heights(points: DataFrame) -> DataFrame:
+    return points.select("video_id", "idx", "y")
 
 
 def baseline_sg(points: DataFrame, setup: Setup) -> DataFrame:
-    return smoothed(speed(filled(points), setup), "v", 15, 3)
+    return smoothed(speed(heights(points), setup), "v", 15, 3)
 
 
 def kalman_sg(points: DataFrame, setup: Setup) -> DataFrame:
-    raw = speed(filled(points), setup)
-    v = folds.kalman_scalar(raw, "video_id", "idx", "v").withColumnRenamed("filtered", "v")
-    return smoothed(raw.drop("v").join(v, ["video_id", "idx"]), "v", 11, 2)
+    v = folds.kalman_scalar(speed(heights(points), setup), "video_id", "idx", "v", keep="y").withColumnRenamed("filtered", "v")
+    return smoothed(v, "v", 11, 2)
 
 
 def spline(points: DataFrame, setup: Setup, degree: int, noise: float) -> DataFrame:
-    fit = splines.smoothing_spline(filled(points).withColumn("_t", F.col("idx") / setup.fps), "video_id", "_t", "y", degree, noise)
+    fit = splines.smoothing_spline(heights(points).withColumn("_t", F.col("idx") / setup.fps), "video_id", "_t", "y", degree, noise, null_keys=False)
     return fit.select("video_id", "idx", "y", (-F.col("slope") * setup.scale).alias("v"))
 
 
@@ -69,12 +80,13 @@ def associated(points: DataFrame, setup: Setup) -> DataFrame:
 def associator(points: DataFrame, setup: Setup) -> DataFrame:
     """The target's height, held while it is lost; smoothed twice, as its detections are before anything is made of them."""
     held = associated(points, setup).select("video_id", "idx", F.when(F.col("valid"), F.col("cy")).alias("cy"))
-    even = filled(held)
+    even = heights(filled(held))
     for _ in range(2):
         even = smoothed(windows.median3(even, "video_id", "idx", "y").select("video_id", "idx", F.col("median3").alias("y")), "y", 5, 2)
     return smoothed(speed(even, setup), "v", 9, 2)
 
 
+#: from points that are filled
 PIPELINES: dict[str, Callable[[DataFrame, Setup], DataFrame]] = {
     "baseline_sg": baseline_sg,
     "subpixel_spline": subpixel_spline,
@@ -84,35 +96,38 @@ PIPELINES: dict[str, Callable[[DataFrame, Setup], DataFrame]] = {
 }
 
 
-def signals(points: DataFrame, setup: Setup = Setup(), pipelines: tuple[str, ...] = tuple(PIPELINES)) -> DataFrame:
-    """(pipeline, video_id, idx, y, v) of each pipeline's signal."""
+def known(pipelines: tuple[str, ...]) -> list[str]:
     unknown = set(pipelines) - set(PIPELINES)
     if unknown or not pipelines:
         raise ValueError(f"no such pipelines: {sorted(unknown)}")
-    out = None
-    for name in dict.fromkeys(pipelines):
-        part = PIPELINES[name](points, setup).select(F.lit(name).alias("pipeline"), "video_id", "idx", "y", "v")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return list(dict.fromkeys(pipelines))
+
+
+def signals(points: DataFrame, setup: Setup = Setup(), pipelines: tuple[str, ...] = tuple(PIPELINES)) -> DataFrame:
+    """(pipeline, video_id, idx, y, v) of each pipeline's signal."""
+    parts = [PIPELINES[name](filled(points), setup).select(F.lit(name).alias("pipeline"), "video_id", "idx", "y", "v") for name in known(pipelines)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def run(points: DataFrame, setup: Setup = Setup(), pipelines: tuple[str, ...] = tuple(PIPELINES)) -> DataFrame:
     """(pipeline, video_id, start, end, duration_s, rom_cm, mcv, pv): repetitions of each (pipeline, video). points: (video_id, idx, cx, cy), idx from 0 without gaps, pixels, null where
-    nothing was found. Videos of fewer than least_rows rows or without a detection, and rows with a null video_id, have none. Repetitions of the associator that touch a loss longer
-    than lost_s, from which the target came back, are dropped. points and signals stay persisted on disk until the caller unpersists
-    them (spark.catalog.clearCache())."""
-    kind = dict(points.dtypes)["video_id"]
-    points = points.where("video_id is not null")
+    nothing was found; dealt by video they are not shuffled as they are. Videos of fewer than least_rows rows or without a detection, and rows with a null video_id, have none.
+    Repetitions of the associator that touch a loss longer than lost_s, from which the target came back, are dropped. points, filled, stay persisted on disk until the caller
+    unpersists them (spark.catalog.clearCache())."""
+    names = known(pipelines)
+    points = filled(points.where("video_id is not null").select("video_id", "idx", "cx", "cy"))
     points.persist(StorageLevel.DISK_ONLY)
-    rows = signals(points, setup, pipelines).where("y is not null and v is not null")
-    rows = rows.select(F.concat_ws(":", "pipeline", F.col("video_id").cast("string")).alias("run"), "idx", "y", "v").persist(StorageLevel.DISK_ONLY)
-    found = peaks.peak_first(rows, "run", "idx", "y", "v", setup.fps, setup.scale, setup.least_rows)
-    if "associator" in pipelines:
-        last = points.groupBy("video_id").agg(F.max("idx").alias("last"))
-        lost = windows.runs(associated(points, setup), "video_id", "idx", F.col("state") == "LOST").where(F.col("n") > int(setup.lost_s * setup.fps))
-        lost = lost.join(last, "video_id").where("end < last").select(F.concat_ws(":", F.lit("associator"), F.col("video_id").cast("string")).alias("_run"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-        found = found.join(lost, (F.col("run") == F.col("_run")) & (F.col("start") <= F.col("_end")) & (F.col("end") >= F.col("_start")), "left_anti")
-    return found.select(F.expr("substring(run, 1, instr(run, ':') - 1)").alias("pipeline"), F.expr("substring(run, instr(run, ':') + 1)").cast(kind).alias("video_id"), *(c for c in found.columns if c != "run"))
+    parts = []
+    for name in names:
+        rows = PIPELINES[name](points, setup).where("y is not null and v is not null")
+        found = peaks.peak_first(rows, "video_id", "idx", "y", "v", setup.fps, setup.scale, setup.least_rows)
+        if name == "associator":
+            last = points.groupBy("video_id").agg(F.max("idx").alias("last"))
+            lost = windows.runs(associated(points, setup), "video_id", "idx", F.col("state") == "LOST").where(F.col("n") > int(setup.lost_s * setup.fps))
+            lost = lost.join(last, "video_id").where("end < last").select(F.col("video_id").alias("_video"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+            found = found.join(lost, (F.col("video_id") == F.col("_video")) & (F.col("start") <= F.col("_end")) & (F.col("end") >= F.col("_start")), "left_anti")
+        parts.append(found.select(F.lit(name).alias("pipeline"), *found.columns))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def compare(reps: DataFrame, truth: DataFrame) -> DataFrame:

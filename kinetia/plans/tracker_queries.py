@@ -9,7 +9,7 @@ from kinetia.functions import columns as C
 from kinetia.operators import folds, hybrid, peaks, splines, trackers, tracks, windows
 from kinetia.plans import pipelines
 from kinetia.plans.queries import query, rounded
-from kinetia.sources.testdata import FRAMES, SHOTS, frames, shots, table
+from kinetia.sources.testdata import FRAMES, SHOTS, boxes, frames, shots, table
 
 MOVED = """y + v * d + a * e AS y1, v + a * d AS v1, a AS a1, m00 + d * m01 + e * m02 + n00 AS q00, m01 + d * m02 + n01 AS q01, m02 + n02 AS q02, m11 + d * m12 + n11 AS q11, m12 + n12 AS q12, p22 + n22 AS q22"""
 HALF = "*, d * d / 2 AS e, p00 + d * p01 + d * d / 2 * p02 AS m00, p01 + d * p11 + d * d / 2 * p12 AS m01, p02 + d * p12 + d * d / 2 * p22 AS m02, p11 + d * p12 AS m11, p12 + d * p22 AS m12"
@@ -143,10 +143,10 @@ def video_checks(spark, d):
 @query()
 def named_pipelines(spark, d):
     """The five pipelines over the heights of each frame's first box, weak ones counting as missing. A video is 400 frame numbers on end, so that videos keep their length as the table grows; frames are numbered anew, as those without a box have no row."""
-    s = shots(spark, d).where("pos = 0").withColumns({"video_id": F.floor(F.col("frame") / 400), "frame_idx": F.col("frame")})
-    idx = F.row_number().over(windows.by("video_id", "frame_idx")) - 1
     seen = F.col("conf") >= 0.1
-    points = s.select("video_id", idx.cast("long").alias("idx"), F.when(seen, F.col("cx")).alias("cx"), F.when(seen, F.col("h")).alias("cy"))
+    s = boxes(spark, d, first=True).select(F.floor(F.col("frame") / 400).alias("video_id"), "frame", F.when(seen, F.col("cx")).alias("cx"), F.when(seen, F.col("h")).alias("cy"))
+    idx = F.row_number().over(windows.by("video_id", "frame")) - 1
+    points = pipelines.dealt(s).select("video_id", idx.cast("long").alias("idx"), "cx", "cy")
     return rounded(pipelines.run(points, pipelines.Setup(scale=0.005)))
 
 

@@ -22,10 +22,12 @@ FRAMES = """f AS (SELECT user_id AS video_id, CAST(row_number() OVER (PARTITION
   (epoch_us(ts) - 1704067200000000) / 1e6 AS t, CASE WHEN event_type <> 'error' THEN value / 100 END AS y, event_type AS kind, value / 500 AS conf FROM events)"""
 
 
-def boxes(spark: SparkSession, d: str) -> DataFrame:
-    """frame, pos (numbers from 0, line numbers repeat), cx, cy, w, h, conf."""
-    li = table(spark, d, "lineitem")
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
+def boxes(spark: SparkSession, d: str, first: bool = False) -> DataFrame:
+    """frame, pos (numbers from 0, line numbers repeat), cx, cy, w, h, conf. With first, only each frame's first box; the others are then dropped before rows are shuffled, as far
+    as a task sees them together."""
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    li = table(spark, d, "lineitem").withColumn("_n", n)
+    li, pos = li.where("_n = 1") if first else li, F.col("_n") - 1
     return li.select(F.col("l_orderkey").alias("frame"), pos.cast("long").alias("pos"), (F.col("l_partkey") % 200).cast("double").alias("cx"), (F.col("l_suppkey") % 100).cast("double").alias("cy"), (F.col("l_quantity") * 4).alias("w"), (F.col("l_extendedprice") / 1000).alias("h"), (F.col("l_discount") * 10).alias("conf"))
 
 

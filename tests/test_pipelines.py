@@ -4,7 +4,11 @@ from statistics import median
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from kinetia.operators import folds, metrics, peaks, splines
 from kinetia.plans import pipelines
+from kinetia.sources import testdata
 from tests.test_operators import plain_peaks
 
 SETUP = pipelines.Setup(fps=30.0, scale=0.002)
@@ -131,3 +135,84 @@ def test_pipelines_read_the_table_once(spark, tmp_path):
     assert "parquet" not in plan.split("InMemoryRelation")[0].lower() and plan.count("InMemoryRelation") > 2
     with pytest.raises(ValueError):
         pipelines.run(points, SETUP, ("none",))
+
+
+def exchanges(df):
+    """The shuffles of a plan that has run, without those of what is persisted."""
+    out, inside = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if inside is not None and depth > inside:
+            continue
+        inside = depth if "InMemoryRelation" in line else None
+        if "== Initial Plan ==" in line:
+            break
+        if "Exchange hashpartitioning" in line:
+            out.append(line)
+    return out
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for c in names:
+        spark.conf.set(c, "-1")
+    yield
+    for c in names:
+        spark.conf.unset(c)
+
+
+def test_signals_are_not_shuffled(spark, tmp_path, no_broadcasts):
+    rows = [(k, i, *(p or (None, None))) for k, ps in videos().items() for i, p in enumerate(ps)]
+    spark.createDataFrame(rows, "video_id long, idx long, cx double, cy double").write.parquet(f"{tmp_path}/p")
+    reps = pipelines.run(pipelines.dealt(spark.read.parquet(f"{tmp_path}/p")), SETUP)
+    assert len(reps.collect()) > 20
+    # what the two filters return, losses, repetitions next to losses, and the coefficients of the two splines
+    assert len(exchanges(reps)) <= 6
+
+
+def test_folds_leave_dealt_rows_where_they_are(spark):
+    df = spark.createDataFrame([(k, i, float(i % 5)) for k in range(9) for i in range(30)] + [(None, 0, 2.0)], "k long, i long, x double")
+    out = folds.kalman_scalar(df.repartition(4, "k"), "k", "i", "x", keep="x")
+    got = out.collect()
+    assert len(exchanges(out)) == 1 and len(got) == 271 and all(r["x"] == r["i"] % 5 for r in got if r["k"] is not None)
+    assert [r["filtered"] for r in sorted(got, key=lambda r: r["i"]) if r["k"] == 3] == pytest.approx(plain_kalman([float(i % 5) for i in range(30)]))
+
+
+def test_splines_of_dealt_rows(spark, no_broadcasts):
+    df = spark.createDataFrame([(k, float(i), 9 * math.sin(i / 5 + k)) for k in range(4) for i in range(60)] + [(None, float(i), 1.0 * i) for i in range(9)], "k long, t double, y double").repartition(4, "k").persist()
+    at = lambda out: {(r["k"], r["t"]): (r["spline"], r["slope"], r["rss"], r["fits"]) for r in out.collect()}
+    whole, own = splines.smoothing_spline(df, "k", "t", "y"), splines.smoothing_spline(df, "k", "t", "y", null_keys=False)
+    want, got = at(whole), at(own)
+    df.unpersist()
+    assert got.keys() == {k for k in want if k[0] is not None} and len(want) == len(got) + 9
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
+    assert len(exchanges(own)) == 1 < len(exchanges(whole))
+
+
+def test_repetitions_of_a_key_are_those_of_joins(spark):
+    """peak_first takes them in one task; here peaks, troughs and speeds are joined with the signal."""
+    rng, rows = np.random.default_rng(11), []
+    for k in range(6):
+        y = 300 + 70 * np.sin(np.arange(330) / (6 + 2 * k)) + rng.normal(0, 3, 330)
+        y = np.round(y) if k % 2 else y  # flat tops and equal lows
+        rows += [(k, i, None if k > 3 and i % 41 == 7 else float(y[i]), None if k == 2 and i % 7 else float(rng.normal())) for i in range(330)]
+    rows += [(7, i, None, 1.0) for i in range(40)] + [(8, i, 5.0, 1.0) for i in range(40)] + [(9, i, 90.0 * (i % 20 > 9), 1.0) for i in range(29)] + [(None, i, 90.0 * (i % 20 > 9), 1.0) for i in range(99)]
+    df = spark.createDataFrame(rows, "k long, i long, y double, v double")
+    long = df.where("k != 9")  # 9 has too few rows
+    high, low = peaks.peaks(long, "k", "i", "y", 20, 12.0), peaks.peaks(long.withColumn("d", -F.col("y")), "k", "i", "d", 10)
+    pairs = peaks.peak_troughs(long, high, low, "k", "i", "y", 4, 90).withColumn("rom", F.abs(F.col("end_value") - F.col("peak_value")) * 0.002 * 100)
+    spans = pairs.where("(end - i) / 30D between 0.2 and 7.5 and rom >= 8").select("k", F.col("i").alias("start"), (F.col("end") - 1).alias("end"), "rom", "found")
+    v = metrics.rep_velocities(df, spans, "k", "i", "v").select("k", "start", "end", "mcv_pos", "pv")
+    want = sorted(spans.join(v, ["k", "start", "end"]).select("k", "start", F.col("end") + 1, "rom", "mcv_pos", "pv", "found").collect())
+    got = sorted(peaks.peak_first(df, "k", "i", "y", "v", 30.0, 0.002).select("k", "start", "end", "rom_cm", "mcv", "pv").collect())
+    assert {r["found"] for r in want} == {"trough", "lowest"} and {r["k"] for r in want} == set(range(6))
+    assert len(got) == len(want) and [tuple(r) for r in got] == [tuple(pytest.approx(x, abs=1e-12) if isinstance(x, float) else x for x in tuple(r)[:6]) for r in want]
+
+
+def test_first_boxes_are_those_of_place_0(spark, tmp_path):
+    rows = [(o, o * 7 % 5, o * 3 % 4, n % 2, float(n), 100.0 * n, 0.01 * n) for o in range(50) for n in range(6, 0, -1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    first, every = testdata.boxes(spark, str(tmp_path), first=True), testdata.boxes(spark, str(tmp_path))
+    assert sorted(first.collect()) == sorted(every.where("pos = 0").collect()) and first.columns == every.columns and first.dtypes == every.dtypes
+    assert "WindowGroupLimit" in first._jdf.queryExecution().executedPlan().toString()
